@@ -42,3 +42,13 @@ def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
 def null_safe_hash(*cols: Column) -> Column:
     """A 64-bit hash in which a null differs from any value and cannot trade places with one."""
     return F.xxhash64(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as the cluster runs tasks.
+
+    For expensive per-row work on an input of few files. An input that already has enough
+    partitions, as any large one, is not shuffled.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
