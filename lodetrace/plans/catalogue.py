@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import changes, dependencies, nested
+from . import changes, dependencies, nested, reference
 
 QUERIES = {
     "p3_found": nested.p3_found,
     "p4_found": changes.p4_found,
     "p5_found": dependencies.p5_found,
     "p5_hierarchy": dependencies.p5_hierarchy,
+    **reference.QUERIES,
 }
 
-SQL = {"p3_found": nested.P3_SQL, "p4_found": changes.P4_SQL, "p5_found": dependencies.P5_SQL}
+SQL = {"p3_found": nested.P3_SQL, "p4_found": changes.P4_SQL, "p5_found": dependencies.P5_SQL, **reference.SQL}
