@@ -66,8 +66,8 @@ def base_v3(vector: Column) -> Column:
     impact = lambda p: F.struct(
         F.when(p["changed"], 7.52 * (p["iss"] - 0.029) - 3.25 * F.pow(p["iss"] - 0.02, F.lit(15.0))).otherwise(6.42 * p["iss"]).alias("impact"), p["reach"].alias("reach"), p["changed"].alias("changed")
     )
-    total = lambda p: F.struct(F.least(F.when(p["changed"], 1.08 * (p["impact"] + p["reach"])).otherwise(p["impact"] + p["reach"]), F.lit(10.0)).alias("total"), p["impact"].alias("impact"))
-    score = lambda t: F.when(t["total"].isNull(), None).when(t["impact"] <= 0, F.lit(0.0)).otherwise(round_up(t["total"]))
+    total = lambda p: F.struct(F.when(p["changed"], 1.08 * (p["impact"] + p["reach"])).otherwise(p["impact"] + p["reach"]).alias("total"), p["impact"].alias("impact"))
+    score = lambda t: F.when(t["total"].isNull(), None).when(t["impact"] <= 0, F.lit(0.0)).when(t["total"] >= 10, F.lit(10.0)).otherwise(round_up(t["total"]))
     return _let(_let(_let(_let(weights, parts), impact), total), score)
 
 

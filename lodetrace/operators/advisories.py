@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cvss import best, severity, severity_label
+from ..functions.cvss import base_score, severity, severity_label
 from ..functions.packages import pypi_name
 from ..functions.versions import within
 
@@ -43,7 +43,10 @@ def fixed_versions(osv: DataFrame) -> DataFrame:
 def rated(osv: DataFrame) -> DataFrame:
     """(delivery_id, id, score, vector, severity): the best score of each delivery; without
     a vector the written label decides."""
-    s = osv.select("delivery_id", "id", best(F.transform("severity", lambda x: x["score"])).alias("b"), F.col("database_specific.severity").alias("label"))
+    v = osv.select("delivery_id", "id", F.col("database_specific.severity").alias("label"), F.posexplode_outer(F.transform("severity", lambda x: x["score"])).alias("at", "vector"))
+    # one row a delivery: the greatest score, the first vector on a tie
+    top = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("at")).alias("first"), "vector")))
+    s = v.withColumn("score", base_score(F.col("vector"))).groupBy("delivery_id", "id", "label").agg(top.alias("b"))
     return s.select("delivery_id", "id", F.col("b.score").alias("score"), F.col("b.vector").alias("vector"), F.coalesce(severity(F.col("b.score")), severity_label(F.col("label"))).alias("severity"))
 
 
