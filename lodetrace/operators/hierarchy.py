@@ -239,18 +239,19 @@ def _local_forest(batch: pd.DataFrame) -> pd.DataFrame:
     g = ChainGraph(list(batch["src"]) + list(links["dst"]), list(zip(links["src"], links["dst"])))
     grp = batch["grp"].iloc[0]
     rows = [
-        (grp, g.keys[v], g.depth[v], g.keys[g.root[v]], g.keys[g.parent[v]] if g.parent[v] >= 0 else None, g.path(v), g.size[v], g.chain[v], g.place[v], g.cyclic[v])
+        (grp, g.keys[v], g.depth[v], g.keys[g.root[v]], g.keys[g.parent[v]] if g.parent[v] >= 0 else None, g.path(v), g.size[v], g.keys[g.members[g.chain[v]][0]], g.place[v], g.cyclic[v])
         for v in g.order
     ]
     return pd.DataFrame(rows, columns=["grp", "node", "depth", "root", "parent", "path", "subtree", "chain", "place", "on_cycle"])
 
 
-FOREST_SCHEMA = "grp string, node string, depth int, root string, parent string, path array<string>, subtree int, chain int, place int, on_cycle boolean"
+FOREST_SCHEMA = "grp string, node string, depth int, root string, parent string, path array<string>, subtree int, chain string, place int, on_cycle boolean"
 
 
 def forest(nodes: DataFrame, links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
     """One row per node: depth (fewest links from a root), root, parent, path from the root
-    (keys), subtree size, chain and place on it, and whether it depends on itself.
+    (keys), subtree size, chain (its first key) and place on it, and whether it depends on
+    itself.
 
     Roots are nodes nothing links to; of a cycle nothing else links to, the smallest key.
     For groups beyond `local_links` depth, root, parent, path and on_cycle come from
@@ -285,7 +286,8 @@ def _distributed_forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
         depth += 1
         step = level.join(links, (level.grp == links.grp) & (level.node == links.src)).select(level.grp, F.col("dst").alias("node"), "root", F.col("src").alias("parent"), "path")
         step = step.join(done.select("grp", "node"), ["grp", "node"], "left_anti")
-        best = step.groupBy("grp", "node").agg(F.min(F.struct("root", "parent", "path")).alias("b"))
+        # of several parents the one whose own path comes first, as a queue would have it
+        best = step.groupBy("grp", "node").agg(F.min(F.struct("path", "root", "parent")).alias("b"))
         level = cut(best.select("grp", "node", F.lit(depth).alias("depth"), "b.root", "b.parent", F.concat("b.path", F.array("node")).alias("path")))
         if level.isEmpty():
             break
@@ -302,5 +304,4 @@ def _distributed_forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("i", F.col("node").alias("head"))).alias("h"))
     )
     placed = flagged.join(heads, ["grp", "node"]).join(tagged.select("grp", "node", "on_cycle"), ["grp", "node"])
-    chain = F.xxhash64("h.head").cast("int")
-    return placed.select("grp", "node", "depth", "root", "parent", "path", "subtree", chain.alias("chain"), (F.col("depth") - F.col("h.i")).cast("int").alias("place"), "on_cycle")
+    return placed.select("grp", "node", "depth", "root", "parent", "path", "subtree", F.col("h.head").alias("chain"), (F.col("depth") - F.col("h.i")).cast("int").alias("place"), "on_cycle")

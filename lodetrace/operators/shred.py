@@ -31,6 +31,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
 _AFTER_ESCAPE = np.zeros(256, bool)
 _AFTER_ESCAPE[[ord(c) for c in '"\\/bfnrtu']] = True
+_HEX = np.zeros(256, bool)
+_HEX[[ord(c) for c in "0123456789abcdefABCDEF"]] = True
 _NUMBER = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\Z")
 _NAMED = {b"true", b"false", b"null"}
 
@@ -84,6 +86,9 @@ class StructuralIndex:
         if escaped is not None:
             self._bad(self._doc_of(np.flatnonzero(escaped & ~_AFTER_ESCAPE[b])))
             self._bad(self._doc_of(np.flatnonzero(slash & ~parity)))
+            codes = np.flatnonzero(escaped & (b == 117))  # \\u wants four hex digits
+            for k in range(1, 5):
+                self._bad(self._doc_of(codes[~_HEX[b[np.minimum(codes + k, n - 1)]]]))
         code = np.where(parity, 0, _CODE[b]).astype(np.int8)
         opens = quote & parity
         plain = ~parity & ~quote & ~_SPACE[b] & (code == 0)
