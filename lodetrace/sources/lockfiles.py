@@ -109,7 +109,7 @@ def parse_pnpm(content: str, manifest: dict[str, str]) -> list[Node]:
     import yaml
 
     doc = yaml.safe_load(content) or {}
-    split = lambda k: re.match(r"/?(.+)@([^@(]+)", k)
+    split = lambda k: re.match(r"/?(.+)@([^@]+)$", re.sub(r"\(.*$", "", k))
     nodes = {}
     for k in {**(doc.get("packages") or {}), **(doc.get("snapshots") or {})}:
         if m := split(str(k)):

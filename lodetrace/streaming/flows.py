@@ -20,7 +20,7 @@ def first_seen(matches: DataFrame, keys: list[str], time: str, within: str = "7
 def patch_logs(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of patch-log files, one row a file: a file is one repository's log, and its
     order matters, so it is never split."""
-    return spark.readStream.option("wholetext", "true").text(folder)
+    return spark.readStream.text(folder, wholetext=True)
 
 
 def patch_lines_to(stream: DataFrame, path: str, checkpoint: str):
