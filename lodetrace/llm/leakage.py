@@ -147,6 +147,9 @@ class LeakScanner:
             where[ws[j]].append(j)
         chains: list[dict[int, tuple[float, int, int, int]]] = []  # per passage word: document word -> score, first i, first j, common
         best = None
+        owned = [0]
+        for w in passage:
+            owned.append(owned[-1] + (w in self.own))
         for i, w in enumerate(passage):
             here: dict[int, tuple[float, int, int, int]] = {}
             for j in where.get(w, ()):
@@ -164,7 +167,9 @@ class LeakScanner:
                         break  # an own word of the item may not be passed over
                 here[j] = top
                 span = i - top[1] + 1
-                if span >= need and top[3] >= COMMON * span and (best is None or span > best[3]):
+                # words that many items share prove nothing without one of the item's own
+                named = not owned[-1] or owned[i + 1] > owned[top[1]]
+                if span >= need and named and top[3] >= COMMON * span and (best is None or span > best[3]):
                     best = (top[2], j, top[3], span)
             chains.append(here)
         return best

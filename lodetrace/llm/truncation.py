@@ -240,12 +240,12 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def truncation_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, keep.., score): how likely each text was cut before its end.
 
-    Defined cases: null and empty texts are left out (nothing stands that could have been
+    Defined cases: null, empty and blank texts are left out (nothing stands that could have been
     cut); repeated documents are scored each; with an empty table or one whose texts are
     too short to cut, scores are 0.5 or there are no rows. Other columns play no part.
     """
     spark = docs.sparkSession
-    base = docs.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != "")).select(
+    base = docs.where(F.col(text).rlike(r"\S")).select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"keep_{k}") for k in keep]
     )
     base = spread(base)
