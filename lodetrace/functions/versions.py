@@ -54,20 +54,32 @@ def highest(versions: Column) -> Column:
     return F.array_max(F.transform(F.filter(versions, lambda v: sort_key(v).isNotNull()), lambda v: F.struct(sort_key(v).alias("k"), v.alias("v")))).v
 
 
-def within(v: Column, events: Column) -> Column:
-    """Whether a version lies in a range of events (maps with introduced, fixed,
-    last_affected), which are read in order: an `introduced` opens, a `fixed` or
-    `last_affected` closes. Null events are passed over; no events match nothing."""
-    key = sort_key(v)
+def event_keys(events: Column) -> Column:
+    """Range events (maps with introduced, fixed, last_affected) as array of struct(kind,
+    open, key): 1 opens at `key` (or from the start), 0 closes before it, -1 closes after it.
+    Null events and those of other kinds are left out; null events give no entries."""
+    get = lambda e, k: F.try_element_at(e, F.lit(k))
+    kind = lambda e: F.when(get(e, "introduced").isNotNull(), 1).when(get(e, "fixed").isNotNull(), 0).when(get(e, "last_affected").isNotNull(), -1)
+    value = lambda e: F.coalesce(get(e, "introduced"), get(e, "fixed"), get(e, "last_affected"))
+    known = F.filter(F.coalesce(events, F.array().cast("array<map<string,string>>")), lambda e: e.isNotNull() & kind(e).isNotNull())
+    return F.transform(known, lambda e: F.struct(kind(e).alias("kind"), ((kind(e) == 1) & (value(e) == "0")).alias("open"), sort_key(value(e)).alias("key")))
+
+
+def within_keys(key: Column, events: Column) -> Column:
+    """Whether a version's sort key lies in a range of `event_keys`, read in their order."""
 
     def step(inside: Column, e: Column) -> Column:
-        intro, fixed, last = (F.try_element_at(e, F.lit(k)) for k in ("introduced", "fixed", "last_affected"))
-        opened = intro.isNotNull() & ((intro == "0") | (sort_key(intro) <= key))
         return (
-            F.when(opened, F.lit(True))
-            .when(fixed.isNotNull() & (sort_key(fixed) <= key), F.lit(False))
-            .when(last.isNotNull() & (sort_key(last) < key), F.lit(False))
+            F.when((e["kind"] == 1) & (e["open"] | (e["key"] <= key)), F.lit(True))
+            .when((e["kind"] == 0) & (e["key"] <= key), F.lit(False))
+            .when((e["kind"] == -1) & (e["key"] < key), F.lit(False))
             .otherwise(inside)
         )
 
-    return F.coalesce(F.aggregate(F.filter(events, lambda e: e.isNotNull()), F.lit(False), step), F.lit(False))
+    return F.coalesce(F.aggregate(events, F.lit(False), step), F.lit(False))
+
+
+def within(v: Column, events: Column) -> Column:
+    """Whether a version lies in a range of events, which are read in order: an `introduced`
+    opens, a `fixed` or `last_affected` closes. No events match nothing."""
+    return within_keys(sort_key(v), event_keys(events))
