@@ -216,9 +216,6 @@ def artificial_cuts(text: str, seed: int, n: int = 3) -> list[str]:
     return out
 
 
-_VERSIONS = "doc_id bigint, version int, body string, piece string"
-
-
 def _with_piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         yield pdf.assign(piece=[last_piece(t) for t in pdf["text"]])
@@ -257,8 +254,8 @@ def truncation_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     total = base.count()
     if not total:
         return base.select("doc_id", *[F.col(f"keep_{k}").alias(k) for k in keep], F.lit(0.5).alias("score"))
-    schema = base.schema.simpleString()[7:-1].replace("keep_", "keep_") + ",piece:string"
-    ended = base.mapInPandas(_with_piece, schema.replace(":", " ").replace(",", ", "))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
+    ended = base.mapInPandas(_with_piece, ", ".join([*fields, "piece string"]))
     # the ends of all texts, with what the whole table says about them
     ended = cut(
         ended.withColumn("size", F.length("text")).join(limits, "size", "left").join(vocabulary, "piece", "left")
@@ -293,7 +290,7 @@ def truncation_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             rows = [hashed(features(t, k, a)) for t, k, a in zip(pdf["text"], pdf["known"], limit)]
             yield pdf[["doc_id", *names]].assign(score=score(held.value, rows))
 
-    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in ended.schema if f.name in names)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in ended.schema if f.name in names)
     out = ended.mapInPandas(run, f"doc_id bigint{kept}, score double")
     return out.select(F.col("doc_id").alias(doc_id), *[F.col(f"keep_{k}").alias(k) for k in keep], "score")
 
