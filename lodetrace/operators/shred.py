@@ -215,57 +215,51 @@ def match_paths(index: StructuralIndex, paths: Mapping[str, Sequence[str]], name
     levels, first = np.unique(ix.level[vals][order], return_index=True)
     for i, lv in enumerate(levels):
         by_level[int(lv)] = order[first[i] : first[i + 1] if i + 1 < len(levels) else None]
-    # keys of object members: the token two slots before the value, found by position
-    key_of = np.full(len(ix.kind), -1, np.int64)
-    member = np.flatnonzero((ix.parent >= 0) & (ix.slot >= 0))
-    is_key = member[(ix.kind[ix.parent[member]] == OPEN_OBJ) & ((ix.slot[member] & 3) == 0) & (ix.kind[member] == STRING)]
-    lookup = {(int(ix.parent[t]), int(ix.slot[t])): int(t) for t in is_key}
-    for i in vals:
-        p = ix.parent[i]
-        if p >= 0 and ix.kind[p] == OPEN_OBJ:
-            key_of[i] = lookup.get((int(p), int(ix.slot[i]) - 2), -1)
     names = list(paths)
     pats = [tuple(paths[n]) for n in names]
     alive: dict[int, list[int]] = {int(vals[j]): list(range(len(pats))) for j in by_level.get(0, ())}
     segs: dict[int, tuple] = {t: () for t in alive}
+    live = np.zeros(len(ix.kind), bool)
+    live[list(alive)] = True
     out: list[tuple] = []
     tag = {tuple(k.split(".")): v for k, v in named_by.items()}
-    deepest = max(map(len, pats), default=0)
-    for lv in range(1, deepest + 1):
+    none = np.zeros(0, np.int64)
+    for lv in range(1, max(map(len, pats), default=0) + 1):
+        at = by_level.get(lv, none)
+        at = at[live[par[at]]]  # only what lies below a value that a path has led to
         nxt: dict[int, list[int]] = {}
-        for j in by_level.get(lv, ()):
+        for j in at.tolist():
             t, p = int(vals[j]), int(par[j])
-            live = alive.get(p)
-            if not live:
-                continue
             in_obj = ix.kind[p] == OPEN_OBJ
             place = int(ix.slot[t] // (4 if in_obj else 2))
-            key = _unquote(ix.text(key_of[t])) if in_obj else str(place)
-            hit = [q for q in live if len(pats[q]) >= lv and (pats[q][lv - 1] == "*" or (in_obj and pats[q][lv - 1] == key))]
+            key = _unquote(ix.text(t - 2)) if in_obj else str(place)  # key, colon, value follow each other
+            hit = [q for q in alive[p] if len(pats[q]) >= lv and (pats[q][lv - 1] == "*" or (in_obj and pats[q][lv - 1] == key))]
             if not hit:
                 continue
             if not in_obj and ix.kind[t] == OPEN_OBJ and (want := tag.get(segs[p])) is not None:
-                key = _member(ix, t, want, lookup, key)
+                key = _member(ix, t, want, key)
             nxt[t] = hit
             segs[t] = segs[p] + (key,)
             for q in hit:
                 if len(pats[q]) == lv:
-                    raw = ix.text(t)
+                    raw = ix.text(t) if kind[j] in (STRING, LITERAL) else b""
                     kd = "null" if raw == b"null" and kind[j] == LITERAL else KINDS[int(kind[j])]
                     text = _unquote(raw) if kind[j] == STRING else raw.decode("utf-8", "replace") if kind[j] == LITERAL else None
                     out.append((int(ix.doc[t]), names[q], t, p, segs[t], place, kd, KINDS[int(ix.kind[p])], text))
         alive = nxt
+        live[:] = False
+        live[[t for t in nxt if ix.kind[t] in (OPEN_OBJ, OPEN_ARR)]] = True
     return out
 
 
-def _member(ix: StructuralIndex, obj: int, want: str, lookup: dict, default: str) -> str:
-    """The string member `want` of an object, else `default`."""
-    slot = 0
+def _member(ix: StructuralIndex, obj: int, want: str, default: str) -> str:
+    """The last string member `want` of an object, else `default`."""
+    stop = int(np.searchsorted(ix.pos, ix.end[obj]))
+    keys = obj + 1 + np.flatnonzero((ix.parent[obj + 1 : stop] == obj) & ((ix.slot[obj + 1 : stop] & 3) == 0) & (ix.kind[obj + 1 : stop] == STRING))
     found = default
-    while (key := lookup.get((obj, slot))) is not None:
-        if _unquote(ix.text(key)) == want and key + 2 < len(ix.kind) and ix.kind[key + 2] == STRING:
+    for key in keys.tolist():
+        if ix.kind[key + 2] == STRING and _unquote(ix.text(key)) == want:
             found = _unquote(ix.text(key + 2))
-        slot += 4
     return found
 
 
