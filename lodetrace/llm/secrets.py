@@ -316,6 +316,21 @@ def redact(text: str, found: list[Secret]) -> str:
     return "".join(out) + text[at:]
 
 
+def joined(found: list[Secret]) -> list[Secret]:
+    """Spans of several readings of one text: of those that overlap, one that covers them all.
+    Marks of private keys, which stay in the text, are kept apart."""
+    out: list[Secret] = []
+    for mark in (False, True):
+        last = None
+        for s in sorted((s for s in found if (s.rule == "private-key" and s.counts) == mark), key=lambda s: (s.start, -s.end)):
+            if last is not None and s.start < out[last].end:
+                out[last] = out[last]._replace(end=max(out[last].end, s.end))
+            else:
+                last = len(out)
+                out.append(s)
+    return sorted(out, key=lambda s: s.start)
+
+
 def find_secrets(df: DataFrame, row_id: str, text: str, with_text: bool = False) -> DataFrame:
     """(row_id, line_no, start, end, rule, counts) of every secret span in column `text`;
     with `with_text`, instead (row_id, redacted, spans) of every row.
@@ -359,27 +374,79 @@ _LEAD = r"^(match: |[\w./-]+:[0-9]+ )"
 _BARE = r"^\S+$|^\S+\(\S*( \S*)?\)$"
 
 
-def preview_lines(spark: SparkSession, root: str) -> DataFrame:
-    """(match_id, text): what each preview shows. A bare value says nothing about what it is,
-    so where the file's line still holds it, the line stands in, cut to that value's literal."""
-    m = table(spark, root, "file_secret_matches").where("match_id is not null and preview is not null").select("match_id", "file_id", "line", "preview", "pattern_id", "kind").distinct()
+def preview_lines(matches: DataFrame, files: DataFrame) -> DataFrame:
+    """(match_id, preview, shown, text) of every preview, once each: the part that shows
+    something, and the text it is judged by. A bare value says nothing about what it is, so
+    where the file's line still holds it, that line stands in, else the value under its
+    pattern's name; what counts is only what `preview_secrets` finds of it in `shown`."""
+    m = matches.where("match_id is not null and preview is not null").select("match_id", "file_id", "line", "preview", "pattern_id", "kind").distinct()
     shown = F.regexp_replace("preview", _LEAD, "")
     m = m.withColumn("shown", shown)
     bare = shown.rlike(_BARE) & ~shown.contains("=") & ~shown.contains("://") & ~shown.contains("****") & (F.length(shown) >= 6)
-    files = table(spark, root, "source_files").select("file_id", "content")
+    files = files.select("file_id", "content")
     asked = m.where(bare)
     held = files.join(asked.select("file_id").distinct(), "file_id", "left_semi").dropDuplicates(["file_id"])
     found = asked.join(held, "file_id", "left")
     source = F.try_element_at(F.split("content", r"\r\n|\n|\r"), F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).cast("int"))
     named = F.concat(F.coalesce(F.regexp_replace(F.lower("pattern_id"), "_", "-"), F.col("kind"), F.lit("value")), F.lit(': "'), F.col("shown"), F.lit('"'))
     context = F.when(F.contains(source, F.col("shown")), source).otherwise(named)
-    return m.where(~bare).select("match_id", F.col("shown").alias("text")).unionByName(found.select("match_id", context.alias("text")))
+    texts = m.where(~bare).select("match_id", "preview", "shown", F.col("shown").alias("text"))
+    return texts.unionByName(found.select("match_id", "preview", "shown", context.alias("text"))).distinct()
+
+
+def preview_secrets(crf: LinearChainCRF, preview: str, shown: str, text: str) -> list[Secret]:
+    """The spans of `text` that reach into `shown`, as spans of the preview, which ends in it."""
+    lead, got = len(preview) - len(shown), set()
+    if found := text_secrets(crf, text):
+        at = text.find(shown)
+        while at >= 0:
+            for s in found:
+                a, b = max(s.start, at), min(s.end, at + len(shown))
+                if a < b:
+                    got.add(s._replace(start=a - at + lead, end=b - at + lead))
+            at = text.find(shown, at + 1)
+    return sorted(got, key=lambda s: (s.start, -s.end))
+
+
+def find_preview_secrets(matches: DataFrame, files: DataFrame) -> DataFrame:
+    """(row_id, preview, start, end, rule, counts) of every secret span of every preview.
+
+    Rows of one `match_id` and preview that lie in different lines give the spans of each.
+    """
+    crf = trained()
+    held = matches.sparkSession.sparkContext.broadcast((crf.w, crf.trans, crf.start))
+    src = spread(preview_lines(matches, files).select(F.col("match_id").cast("bigint").alias("row_id"), "preview", "shown", "text"))
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = LinearChainCRF()
+        m.w, m.trans, m.start = held.value
+        for pdf in batches:
+            got = [(i, p, s.start, s.end, s.rule, s.counts) for i, p, w, t in zip(pdf["row_id"], pdf["preview"], pdf["shown"], pdf["text"]) for s in preview_secrets(m, p, w, t)]
+            yield pd.DataFrame(got, columns=["row_id", "preview", "start", "end", "rule", "counts"])
+
+    return src.mapInPandas(spans, "row_id bigint, preview string, start int, end int, rule string, counts boolean")
+
+
+def redact_previews(matches: DataFrame, files: DataFrame) -> DataFrame:
+    """(row_id, redacted, spans) of every distinct (match_id, preview); null previews stay null."""
+    found = find_preview_secrets(matches, files).groupBy("row_id", "preview").agg(F.collect_set(F.struct("start", "end", "rule", "counts")).alias("found"))
+    every = matches.where("match_id is not null").select(F.col("match_id").cast("bigint").alias("row_id"), "preview").distinct()
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for i, p, found in zip(pdf["row_id"], pdf["preview"], pdf["found"]):
+                f = joined([Secret(1, s["start"], s["end"], s["rule"], s["counts"]) for s in (() if found is None else found)])
+                got.append((i, None if p is None else redact(p, f), len(f)))
+            yield pd.DataFrame(got, columns=["row_id", "redacted", "spans"])
+
+    return every.join(found, ["row_id", "preview"], "left").mapInPandas(rows, "row_id bigint, redacted string, spans int")
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """(origin, row_id, line_no) of every line that shows a usable credential in full."""
     files = find_secrets(table(spark, root, "source_files"), "file_id", "content")
-    shown = find_secrets(preview_lines(spark, root), "match_id", "text")
+    shown = find_preview_secrets(table(spark, root, "file_secret_matches"), table(spark, root, "source_files"))
     return (
         files.where("counts").select(F.lit("source_files").alias("origin"), "row_id", "line_no")
         .unionByName(shown.where("counts").select(F.lit("file_secret_matches").alias("origin"), "row_id", F.lit(1).alias("line_no")))
@@ -393,5 +460,5 @@ def p1_redacted_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_redacted_previews(spark: SparkSession, root: str) -> DataFrame:
-    """(row_id, redacted, spans): every preview without credentials."""
-    return find_secrets(table(spark, root, "file_secret_matches").select("match_id", "preview").distinct(), "match_id", "preview", with_text=True)
+    """(row_id, redacted, spans): every preview without the credentials `p1_found` sees in it."""
+    return redact_previews(table(spark, root, "file_secret_matches"), table(spark, root, "source_files"))

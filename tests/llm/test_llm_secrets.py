@@ -5,7 +5,7 @@ import pytest
 
 from lodetrace.llm.crf import LinearChainCRF, feature_ids
 from lodetrace.llm.secret_lexer import placeholder, tokens
-from lodetrace.llm.secrets import MASK, Writer, find_secrets, labelled, line_secrets, redact, text_secrets, trained
+from lodetrace.llm.secrets import MASK, Writer, find_preview_secrets, find_secrets, labelled, line_secrets, p1_found, p1_redacted_previews, redact, redact_previews, text_secrets, trained
 
 KEY = "AKIA" + "7ZLM7F5CY5SW2X6T"
 
@@ -103,3 +103,26 @@ def test_table(spark):
     red = {r.row_id: (r.redacted, r.spans) for r in find_secrets(df, "file_id", "content", with_text=True).collect()}
     assert red[1] == (f'token = "{MASK}"', 1) and red[2] == (None, 0) and red[3] == ("", 0) and KEY not in red[4][0]
     assert find_secrets(df.limit(0), "file_id", "content").count() == 0
+
+
+def test_previews_are_redacted_where_they_are_found(spark):
+    files = spark.createDataFrame([(1, "a = 1\nsmtp_pass: Juniper!velvet_159\nx = 'bcrypt' # token " + KEY)], "file_id bigint, content string")
+    rows = [
+        (1, 1, 2, "match: Juniper!velvet_159", "generic", "password"), (2, None, None, "qu1ll-saddl377", "DB_PASSWORD", None), (3, 1, 3, "bcrypt", None, None), (4, 9, 1, f'src/a.py:3 token = "{KEY}"', None, None),
+        (5, None, None, None, None, None), (6, None, None, "match: ", None, None), (7, None, None, "AKIA****************", None, None), (8, 1, 2, "Juniper!velvet_159", None, None), (8, None, None, "Juniper!velvet_159", None, None),
+    ]
+    m = spark.createDataFrame(rows, "match_id bigint, file_id bigint, line int, preview string, pattern_id string, kind string")
+    found = {r.row_id for r in find_preview_secrets(m, files).where("counts").collect()}
+    got = redact_previews(m, files).collect()
+    red = {r.row_id: (r.redacted, r.spans) for r in got}
+    assert found == {1, 2, 4, 8} and len(got) == len(red) == 8
+    assert all(red[i][1] > 0 and MASK in red[i][0] for i in found)
+    assert red[1] == (f"match: {MASK}", 1) and red[2] == (MASK, 1) and red[4] == (f'src/a.py:3 token = "{MASK}"', 1) and red[8] == (MASK, 1)
+    assert red[3] == ("bcrypt", 0) and red[5] == (None, 0) and red[6] == ("match: ", 0) and red[7] == ("AKIA****************", 0)
+
+
+def test_every_preview_found_in_the_tables_is_redacted(spark):
+    sf = "/root/testdata/sf0.01"
+    found = {r.row_id for r in p1_found(spark, sf).where("origin = 'file_secret_matches'").collect()}
+    red = p1_redacted_previews(spark, sf).where("spans > 0").collect()
+    assert found and found <= {r.row_id for r in red}
