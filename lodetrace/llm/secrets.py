@@ -30,6 +30,8 @@ from .secret_lexer import _PEM, LOOKUP, WORTH, Token, format_of, key_material, p
 TRAIN_LINES, SEED = 10_000, 20
 MASK = "REDACTED"
 _BREAK = re.compile(r"\r\n|\n|\r")
+#: A line of a key's body: base64 only, beside a comment's lead, quotes and what joins literals.
+_BODY = re.compile(r"\s*+(?:(?:#|//|\*|;|--|>|\|)\s++)?(?:\\[nr])*+[\"'`]?(?=[+/=]*+[A-Za-z0-9])([A-Za-z0-9+/=]++)(?:\\[nr])*+[\"'`]?\s*+[+,;.)\\]*+\s*+$")
 
 
 class Secret(NamedTuple):
@@ -276,6 +278,37 @@ def line_secrets(crf: LinearChainCRF, line: str, block: str = "none", body_next:
     return out
 
 
+def key_body(text: str, bounds: list[tuple[int, int]], no: int, mark: re.Match, at: int) -> tuple[bool, dict[int, tuple[int, int]]]:
+    """Whether key material follows the BEGIN mark `mark`, the last of line `no` (`at`: where that
+    line starts), and by line the base64 stretch of each body line. Up to the key's END mark
+    every base64 line is body, however short; without one, those up to another line are."""
+    spans: list[tuple[int, int, int]] = []
+    first = other = gap = None  # line that decides alone; body lines before another line, before a blank one
+    closed = False
+    if got := _BODY.match(text, at + mark.end(), bounds[no - 1][1]):
+        spans.append((no, *got.span(1)))
+    for n in range(no, len(bounds)):
+        c, d = bounds[n]
+        end = _PEM.search(text, c, d) if text.find("-----", c, d) >= 0 else None
+        if got := _BODY.match(text, c, end.start() if end else d):
+            spans.append((n + 1, *got.span(1)))
+        elif not end and not text[c:d].strip():
+            gap = len(spans) if spans and gap is None else gap
+            continue
+        following = text[c:d].strip().strip("\"'`+,;\\ ").removesuffix("\\n")
+        header = re.match(r"[A-Za-z-]+: ", following)
+        if first is None and following and not header:
+            first = key_material(following)
+        if end:
+            closed = end[1] == "END" and end[2] == mark[2]
+            break
+        if not got and not header and other is None:
+            other = len(spans)
+    run = spans[:other] if closed else spans[: min((x for x in (other, gap) if x is not None), default=None)]
+    whole = "".join(text[s:e] for _, s, e in run)
+    return bool(first) or key_material(whole) and len(set(whole)) > 2, {n: (s, e) for n, s, e in (spans if closed else run)}
+
+
 def text_secrets(crf: LinearChainCRF, text: str) -> list[Secret]:
     """Every secret span of a text, by line; lines end at \\r\\n, \\n or \\r."""
     if not WORTH.search(text):
@@ -286,19 +319,19 @@ def text_secrets(crf: LinearChainCRF, text: str) -> list[Secret]:
         at = m.end()
     bounds.append((at, len(text)))
     out = []
-    block = "none"
+    block, body = "none", {}
     for no, (a, b) in enumerate(bounds, 1):
         line = text[a:b]
         body_next = False
         marks = list(_PEM.finditer(line)) if "-----" in line else []
+        ours = body.get(no)
         if marks and marks[-1][1] == "BEGIN":
-            for c, d in bounds[no:]:  # the first line after the mark that is not blank decides
-                following = text[c:d].strip().strip("\"'`+,;\\ ").removesuffix("\\n")
-                if following and not re.match(r"[A-Za-z-]+: ", following):
-                    body_next = key_material(following)
-                    break
-        for s, e, rule, counts in line_secrets(crf, line, block, body_next):
-            out.append(Secret(no, a + s, a + e, rule, counts))
+            body_next, body = key_body(text, bounds, no, marks[-1], a)
+            if "PRIVATE" not in marks[-1][2] or not (body_next or key_material(line[marks[-1].end() :])):
+                body = {}
+            ours = ours or body.get(no)
+        found = [Secret(no, a + s, a + e, rule, counts) for s, e, rule, counts in line_secrets(crf, line, block, body_next)]
+        out += joined([*found, Secret(no, *ours, "private-key", False)]) if ours else found
         if marks:
             block = "none" if marks[-1][1] == "END" else "private" if "PRIVATE" in marks[-1][2] else "public"
     return out
