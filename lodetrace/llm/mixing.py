@@ -97,43 +97,77 @@ def plan_repeats(stats: dict[str, tuple[int, int]], targets: list[tuple[str, flo
     return plan
 
 
-def _narrow(mine: DataFrame, rest: dict[str, int], knapsack_tokens: int) -> tuple[dict[str, int], dict[str, int], dict[str, int]]:
-    """Per source: documents before place `bulk` are used once more; those from there to
-    `drawn` are the knapsack's; `left` is what it has to fill.
+def _pieces(mine: DataFrame, span: dict[str, tuple[int, int]], cap: dict[str, int]) -> Iterator[tuple[str, int, int, int, dict[int, int]]]:
+    """(source, lo, hi, width, tokens by piece) of each span, of documents of at most `cap` tokens."""
+    rows = [(s, lo, hi, max(1, -(-(hi - lo) // PIECES)), cap[s]) for s, (lo, hi) in sorted(span.items())]
+    now = F.broadcast(mine.sparkSession.createDataFrame(rows, "source string, lo bigint, hi bigint, width bigint, cap bigint"))
+    # whole numbers: places are beyond what a double tells apart
+    piece = F.expr("cast((o - lo) div width as int)")
+    tokens: dict[str, dict[int, int]] = {}
+    for r in mine.join(now, "source").where("o >= lo and o < hi and n_tokens <= cap").groupBy("source", piece.alias("piece")).agg(F.sum("n_tokens").alias("t")).collect():
+        tokens.setdefault(r.source, {})[r.piece] = r.t
+    for s, lo, hi, width, _ in rows:
+        yield s, lo, hi, width, tokens.get(s, {})
+
+
+def _bulk(mine: DataFrame, rest: dict[str, int], knapsack_tokens: int) -> tuple[list[tuple[str, int, int, int]], dict[str, int]]:
+    """Stretches (source, from, to, cap) whose documents of at most `cap` tokens are used once
+    more, and the tokens left per source.
 
     A stretch is measured in `PIECES` pieces; pieces that fit by more than the knapsack's
-    bound are taken, and a piece too large to be drawn on is measured again, finer.
+    bound are taken, and a piece too large to be drawn on is measured again, finer. A single
+    place that does not fit is passed over, with all later documents longer than what is left.
     """
-    spark = mine.sparkSession
-    span = {s: (0, SPACE) for s in rest}
-    bulk, drawn, left = dict.fromkeys(rest, 0), dict.fromkeys(rest, 0), dict(rest)
-    open_ = {s for s, r in rest.items() if r > 0}
-    while open_:
-        rows = [(s, span[s][0], span[s][1], max(1, (span[s][1] - span[s][0]) // PIECES)) for s in sorted(open_)]
-        now = F.broadcast(spark.createDataFrame(rows, "source string, lo bigint, hi bigint, width bigint"))
-        piece = F.least(F.floor((F.col("o") - F.col("lo")) / F.col("width")), F.lit(PIECES)).cast("int")
-        sums = mine.join(now, "source").where("o >= lo and o < hi").groupBy("source", piece.alias("piece")).agg(F.sum("n_tokens").alias("t")).collect()
-        tokens: dict[str, dict[int, int]] = {}
-        for r in sums:
-            tokens.setdefault(r.source, {})[r.piece] = r.t
-        for s, lo, hi, width in rows:
-            got = tokens.get(s, {})
+    left, cap = dict(rest), dict(rest)
+    span = {s: (0, SPACE) for s, r in rest.items() if r >= knapsack_tokens}
+    begin = dict.fromkeys(span, 0)
+    taken = []
+    while span:
+        for s, lo, hi, width, got in list(_pieces(mine, span, cap)):
             at = 0
             edge = lambda k: min(hi, lo + k * width)
             while edge(at) < hi and left[s] - got.get(at, 0) >= knapsack_tokens:
                 left[s] -= got.get(at, 0)
                 at += 1
-            bulk[s] = edge(at)
-            if got.get(at, 0) > 4 * knapsack_tokens and width > 1:
-                span[s] = (edge(at), edge(at + 1))
+            here, after, t = edge(at), edge(at + 1), got.get(at, 0)
+            if here == hi < SPACE:
+                span[s] = (hi, SPACE)
                 continue
-            pool = 0
-            while edge(at) < hi and pool < 2 * left[s]:
-                pool += got.get(at, 0)
+            if here < hi and t > 4 * knapsack_tokens and width > 1:
+                span[s] = (here, after)
+                continue
+            fits = here < hi and 4 * knapsack_tokens < t <= left[s]
+            if fits:
+                left[s] -= t
+                here = after
+            if begin[s] < here:
+                taken.append((s, begin[s], here, cap[s]))
+            if not fits and t > 4 * knapsack_tokens and after < SPACE:
+                begin[s], cap[s], span[s] = after, left[s], (after, SPACE)
+                continue
+            del span[s]
+    return taken, left
+
+
+def _drawn(mine: DataFrame, left: dict[str, int], knapsack_tokens: int) -> dict[str, int]:
+    """Per source, the place up to which `mine` holds enough documents for the knapsack: those
+    of at most `left` tokens, twice `left` together and no fewer than the knapsack's bound."""
+    span = {s: (0, SPACE) for s, n in left.items() if n > 0}
+    drawn, held = dict.fromkeys(left, 0), dict.fromkeys(left, 0)
+    while span:
+        for s, lo, hi, width, got in list(_pieces(mine, span, left)):
+            wanted = max(2 * left[s], knapsack_tokens)
+            at = 0
+            edge = lambda k: min(hi, lo + k * width)
+            while edge(at) < hi and held[s] < wanted and (width == 1 or held[s] + got.get(at, 0) <= wanted + 4 * knapsack_tokens):
+                held[s] += got.get(at, 0)
                 at += 1
             drawn[s] = edge(at)
-            open_.discard(s)
-    return bulk, drawn, left
+            if held[s] < wanted and drawn[s] < SPACE:
+                span[s] = (drawn[s], edge(at + 1)) if drawn[s] < hi else (hi, SPACE)
+            else:
+                del span[s]
+    return drawn
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, knapsack_tokens: int = KNAPSACK_TOKENS) -> DataFrame:
@@ -155,10 +189,14 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, knapsack_tok
     # partial sums before the shuffle are as few as the sources, however hot one of them is
     stats = {r.source: (r.n, r.t) for r in mine.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
     plan = plan_repeats(stats, goals, total)
-    bulk, drawn, left = _narrow(mine, {s: rest for s, (_, rest) in plan.items()}, knapsack_tokens)
-    bounds = spark.createDataFrame([(s, plan[s][0], bulk[s], drawn[s]) for s in plan], "source string, whole int, bulk bigint, drawn bigint")
-    mine = mine.join(F.broadcast(bounds), "source")
-    pool = mine.where("o >= bulk and o < drawn")
+    taken, left = _bulk(mine, {s: rest for s, (_, rest) in plan.items()}, knapsack_tokens)
+    bounds = spark.createDataFrame([(s, plan[s][0], left[s]) for s in plan], "source string, whole int, left bigint")
+    stretches = spark.createDataFrame(taken, "source string, lo bigint, hi bigint, cap bigint")
+    mine = mine.join(F.broadcast(bounds), "source").alias("m").join(F.broadcast(stretches.alias("b")), F.expr("m.source = b.source and o >= lo and o < hi and n_tokens <= cap"), "left")
+    mine = mine.select("m.*", F.col("lo").isNotNull().alias("bulk"))
+    rest = mine.where("not bulk and n_tokens <= left").select("doc_id", "source", "n_tokens", "o")
+    drawn = spark.createDataFrame(list(_drawn(rest, left, knapsack_tokens).items()), "source string, drawn bigint")
+    pool = rest.join(F.broadcast(drawn), "source").where("o < drawn")
     lengths: dict[str, dict[int, int]] = {}
     for r in pool.groupBy("source", "n_tokens").count().collect():
         lengths.setdefault(r.source, {})[r.n_tokens] = r["count"]
@@ -170,7 +208,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, knapsack_tok
     rank = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("o", "doc_id"))
     extra = pool.join(F.broadcast(picks), ["source", "n_tokens"]).withColumn("rank", rank).where("rank <= take").select("doc_id", "o", F.lit(1).alias("once")).distinct()
     out = mine.join(extra, ["doc_id", "o"], "left")
-    repeats = F.col("whole") + F.when(F.col("o") < F.col("bulk"), 1).otherwise(F.coalesce("once", F.lit(0)))
+    repeats = F.col("whole") + F.when(F.col("bulk"), 1).otherwise(F.coalesce("once", F.lit(0)))
     return out.select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
 
 

@@ -58,3 +58,14 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "a" * 50_000)], "doc_id bigint, text string")
     got = {r.doc_id: r.n_tokens for r in count_tokens(df).collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 1000
+
+
+def test_long_documents_do_not_end_the_filling(spark):
+    rows = [(i, "a", 5_000 if i < 8 else 7 + i % 5) for i in range(1_500)] + [(i, "b", 30) for i in range(2_000, 5_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    total = sum(r[2] for r in rows)
+    for want in (4_000, 50):
+        targets = spark.createDataFrame([("a", want / total, 1)], "source string, target_share double, max_repeats int")
+        for seed in (1, 2):
+            got = mix_sources(docs, targets, seed, knapsack_tokens=100).collect()
+            assert all(r.repeats == 1 for r in got) and sum(r.n_tokens for r in got) == want, (want, seed)
