@@ -71,22 +71,29 @@ class Hit(NamedTuple):
 class LeakScanner:
     """Scans texts for stretches of items given as (item id, passage, answer)."""
 
-    def __init__(self, items: list[tuple[int, str, str]]):
+    def __init__(self, items: list[tuple[int, str, str]], rare: set[str] | None = None):
+        """`rare`: words found in few of all items, where `items` are only a part of them."""
         import ahocorasick
 
-        self.items = {i: words(p or "") for i, p, _ in items}
-        df = Counter(w for ws in self.items.values() for w in set(ws))
-        self.own = {w for w, n in df.items() if n <= OWN_ITEMS or any(c.isdigit() for c in w)}
+        answers: dict[tuple[int, str], set[str]] = defaultdict(set)
+        for i, p, a in items:
+            answers[i, p or ""].add(a or "")
+        passages = sorted(answers)
+        self.items = [(i, words(p)) for i, p in passages]
+        if rare is None:
+            of = Counter(w for w, _ in {(w, i) for i, ws in self.items for w in ws})
+            rare = {w for w, n in of.items() if n <= OWN_ITEMS}
+        self.own = rare | {w for _, ws in self.items for w in ws if any(c.isdigit() for c in w)}
         patterns: dict[str, set[int]] = defaultdict(set)
-        for i, ws in self.items.items():
+        for k, (_, ws) in enumerate(self.items):
             for w in ws:
                 if w in self.own:
-                    patterns[f" {w} "].add(i)
-            for k in range(len(ws) - 2):
-                patterns[" " + " ".join(ws[k : k + 3]) + " "].add(i)
-        for i, _, a in items:
-            if aw := words(a or ""):
-                patterns[" " + " ".join(aw) + " "].add(i)
+                    patterns[f" {w} "].add(k)
+            for n in range(len(ws) - 2):
+                patterns[" " + " ".join(ws[n : n + 3]) + " "].add(k)
+            for a in answers[passages[k]]:
+                if aw := words(a):
+                    patterns[" " + " ".join(aw) + " "].add(k)
         self.automaton = ahocorasick.Automaton()
         for p, ids in patterns.items():
             self.automaton.add_word(p, tuple(sorted(ids)))
@@ -109,20 +116,17 @@ class LeakScanner:
         for w in ws:
             starts.append(at)
             at += len(w) + 1
-        out = []
-        for i, ends in sorted(seen.items()):
-            passage = self.items[i]
+        best: dict[int, Hit] = {}
+        for k, ends in sorted(seen.items()):
+            i, passage = self.items[k]
             need = max(LEAST_WORDS, -int(-len(passage) * LEAST_SHARE // 1))
             if len(passage) < need or len(ws) < need * COMMON:
                 continue
-            best = None
             for lo, hi in self._regions(ends, starts, len(ws), len(passage)):
                 got = self._stretch(passage, ws, lo, hi, need)
-                if got and (best is None or got[3] > best.span):
-                    best = Hit(i, *got)
-            if best:
-                out.append(best)
-        return out
+                if got and (i not in best or got[3] > best[i].span):
+                    best[i] = Hit(i, *got)
+        return list(best.values())
 
     @staticmethod
     def _regions(ends: list[int], starts: list[int], n: int, reach: int) -> Iterator[tuple[int, int]]:
@@ -179,11 +183,25 @@ class LeakScanner:
         return any(ws[j] in self.own or any(c.isdigit() for c in ws[j]) for j in range(a, b))
 
 
+def rare_words(items: DataFrame) -> set[str]:
+    """Words without a digit found in at most `OWN_ITEMS` of all items."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(i, w) for i, p in zip(pdf["item_id"], pdf["passage"]) for w in set(words(p)) if not any(c.isdigit() for c in w)]
+            yield pd.DataFrame(got, columns=["item_id", "w"])
+
+    pairs = items.where("passage is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "passage").mapInPandas(run, "item_id bigint, w string").distinct()
+    return {r.w for r in pairs.groupBy("w").count().where(F.col("count") <= OWN_ITEMS).select("w").collect()}
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, start, end, common, span): the longest leaked stretch of each item
     in each document, `start` and `end` being offsets in the original text.
 
-    `items` has item_id, passage and answer; it is collected in blocks of `BLOCK_ITEMS`.
+    `items` has item_id, passage and answer; it is collected in blocks of `BLOCK_ITEMS`, each
+    with the rare words of all items, so that rows do not depend on the number of blocks. An
+    item of several passages leaks by any of them.
     Defined cases: null and empty texts or passages have no leaks, passages shorter than
     `LEAST_WORDS` cannot leak, repeated documents are reported each. Texts are scanned
     whole. No shuffle beyond spreading an input of few files.
@@ -194,13 +212,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     rows = items.where("item_id is not null").select("item_id", "passage", "answer").distinct()
     total = rows.count()
     blocks = max(1, -(-total // BLOCK_ITEMS))
+    rare = spark.sparkContext.broadcast(rare_words(rows) if blocks > 1 else None)
     out = None
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else rows
         held = spark.sparkContext.broadcast([(r.item_id, r.passage, r.answer) for r in part.collect()])
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            scanner = LeakScanner(held.value)
+            scanner = LeakScanner(held.value, rare.value)
             for pdf in batches:
                 got = []
                 for d, t in zip(pdf[doc_id], pdf[text]):

@@ -50,3 +50,14 @@ def test_words_and_spans_agree():
         t = "".join(r.choice("ab1 .,-*_<>/\n é—") for _ in range(60))
         assert len(words(t)) == len(word_spans(t))
         assert [words(t[a:b]) for a, b in word_spans(t) if "<" not in t] == ([[w] for w in words(t)] if "<" not in t else [])
+
+
+def test_blocks_and_passages_of_one_item(spark, monkeypatch):
+    texts = [P0, P1, P0.replace("mirror kept", "mirror worker"), *(p.replace("broken", "loader") for p in OTHERS), *OTHERS, P0.replace("broken", "failed")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([*ITEMS, (0, OTHERS[0].replace("90", "33"), "block kelp"), (0, P1, "other")], "item_id bigint, passage string, answer string")
+    whole = sorted(map(tuple, find_leaks(docs, items).collect()))
+    monkeypatch.setattr("lodetrace.llm.leakage.BLOCK_ITEMS", 2)
+    assert sorted(map(tuple, find_leaks(docs, items).collect())) == whole
+    pairs = {(d, i) for d, i, *_ in whole}
+    assert {(0, 0), (1, 0), (1, 1)} <= pairs and len(pairs) == len(whole)
