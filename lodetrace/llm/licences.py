@@ -28,6 +28,9 @@ Zlib: zlib license; zlib libpng
 EUPL-1.2: eupl {1.2}; european union public license {1.2}
 """
 
+#: Setting that lets a payload with a repeated key be read.
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
+
 TYPED = """
 WITH doc AS (SELECT record_id, try_parse_json(payload) AS j FROM {docs}),
 held AS (
@@ -40,7 +43,8 @@ held AS (
 named AS (
   SELECT DISTINCT record_id, version,
          CASE WHEN schema_of_variant(l) LIKE 'OBJECT%' THEN try_variant_get(l, '$.type', 'string')
-              WHEN schema_of_variant(l) = 'STRING' THEN CAST(l AS STRING) END AS raw
+              WHEN schema_of_variant(l) = 'STRING' THEN CAST(l AS STRING)
+              WHEN schema_of_variant(l) <> 'VOID' THEN to_json(l) END AS raw
   FROM held WHERE l IS NOT NULL)
 SELECT record_id, version, raw FROM named WHERE raw IS NOT NULL AND trim(regexp_replace(raw, '\\\\s', ' ')) <> ''
 """
@@ -102,10 +106,16 @@ def map_licences(spark: SparkSession, docs: DataFrame, reference: DataFrame) ->
     """(record_id, version, raw, license_id) of every licence typed in `docs.payload`.
 
     Null, blank and unreadable ones give no rows; a value that holds no letter or digit, or
-    means no entry, comes out as `unmatched`.
+    means no entry, comes out as `unmatched`. An array, number or boolean is taken as its JSON
+    text. Of a key repeated in an object the last value counts.
     """
     docs.createOrReplaceTempView("_licence_docs")
-    held = cut(spark.sql(TYPED.format(docs="_licence_docs")))
+    before = spark.conf.get(REPEATED_KEYS)
+    spark.conf.set(REPEATED_KEYS, "true")
+    try:
+        held = cut(spark.sql(TYPED.format(docs="_licence_docs")))
+    finally:
+        spark.conf.set(REPEATED_KEYS, before)
     held.createOrReplaceTempView("_licence_held")
     values = cut(spark.sql(f"SELECT raw, {PLAIN.format(v='raw')} AS value FROM (SELECT DISTINCT raw FROM _licence_held)"))
     mapped = cut(map_values(spark, values.select("value"), spellings(spark, reference)))

@@ -64,3 +64,14 @@ def test_documents_of_all_shapes(spark):
 
 def test_empty(spark):
     assert mapped(spark, []) == []
+
+
+def test_licences_of_other_types_and_repeated_keys(spark):
+    rows = [
+        (1, '{"versions": {"1": {"license": ["MIT"]}, "2": {"license": ["MIT", "ISC"]}, "3": {"license": true}, "4": {"license": 7}, "5": {"license": []}, "6": {"license": null}}}'),
+        (2, '{"name": "a", "name": "b", "versions": {"1": {"license": "MIT", "x": {"k": 1, "k": 2}}, "2": {"license": "ISC", "license": "MIT"}}}'),
+    ]
+    docs = spark.createDataFrame(rows, "record_id bigint, payload string")
+    ref = spark.createDataFrame([("MIT", "MIT License"), ("ISC", "ISC License")], "license_id string, full_name string")
+    got = sorted((r.record_id, r.version, r.license_id) for r in map_licences(spark, docs, ref).collect())
+    assert got == [(1, "1", "MIT"), *((1, v, "unmatched") for v in "2345"), (2, "1", "MIT"), (2, "2", "MIT")]
