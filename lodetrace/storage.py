@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Estimated bytes a task below which an input is spread out.
+SPREAD_BYTES = 64 << 20
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Table `name` under `root`, one Parquet file or folder."""
@@ -16,15 +21,21 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder checkpoints go to.
 
-    On a cluster it is the shared folder named in spark.checkpoint.dir. Only where that
-    setting is absent (tests, a single machine) a temporary folder is made.
+    On a cluster it is the shared folder named in spark.checkpoint.dir, and it must be named:
+    a folder of the driver's machine is no place that executors share. Only a local session
+    without that setting makes a temporary folder, which goes with the process.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodetrace-checkpoint-"))
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lodetrace-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -34,11 +45,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Whether `df` has at most `max_rows` rows; reads no more than that many and one."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def null_safe_hash(*cols: Column) -> Column:
     """A 64-bit hash in which a null differs from any value and cannot trade places with one."""
     return F.xxhash64(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}))
@@ -47,8 +53,10 @@ def null_safe_hash(*cols: Column) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as the cluster runs tasks.
 
-    For expensive per-row work on an input of few files. An input that already has enough
-    partitions, as any large one, is not shuffled.
+    For expensive per-row work on an input of few files. The optimizer's estimate of the
+    input's size decides, so nothing is run; an input of more than `SPREAD_BYTES` a task, as
+    any large one, is not shuffled.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(tasks) if size < SPREAD_BYTES * tasks else df
