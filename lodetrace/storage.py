@@ -53,10 +53,11 @@ def null_safe_hash(*cols: Column) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many partitions as the cluster runs tasks.
 
-    For expensive per-row work on an input of few files. The optimizer's estimate of the
-    input's size decides, so nothing is run; an input of more than `SPREAD_BYTES` a task, as
-    any large one, is not shuffled.
+    For expensive per-row work on an input of few files. The number of files and the
+    optimizer's estimate of the size decide, so nothing is run; an input of as many files as
+    tasks or of more than `SPREAD_BYTES` a task, as any large one, is not shuffled.
     """
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(tasks) if size < SPREAD_BYTES * tasks else df
+    if len(df.inputFiles()) >= tasks or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= SPREAD_BYTES * tasks:
+        return df
+    return df.repartition(tasks)
