@@ -19,10 +19,11 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut, spread, table
@@ -38,6 +39,10 @@ LEAST_SEEN = 4
 #: Weight of all cut texts together in the fit: cuts are rarer than whole texts.
 CUT_WEIGHT = 0.2
 FOLDS = 3
+#: Greatest step of a logarithm in a feature; commonest outstanding lengths the fit draws on.
+TOP_STEP, PEAKS = 6, 200
+#: Copies of a joined value, so that the rows of one frequent length or piece are spread.
+SALT = 16
 
 # Marks that follow a break.
 MARKS = ("", "", "", "", "", "", "…", " […", " [", "[", "...", " ...", "\r\n", "\n", "�", " [truncated]", " (", " <")
@@ -47,13 +52,10 @@ _MARK = re.compile(r"[\s�]+$|\s*(?:…|\.{3}|\[…\]?|\[\.{3}\]?|\[truncated\]
 _BULLET = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 _TRAILER = re.compile(r"[A-Z][A-Za-z-]{2,30}: \S+$")
 _END = re.compile(r"[.!?…:;](?=\s)")
-_PIECE = re.compile(r"[A-Z]+(?![a-z])|[^\W\d_A-Z]+|[A-Z][^\W\d_A-Z]*")
-
-
-def last_piece(text: str) -> str:
-    """The last run of letters of the last word, split at case changes; '' if it ends otherwise."""
-    m = re.search(r"[^\W\d_]+$", strip_marks(text)[0][-200:])
-    return _PIECE.findall(m[0])[-1].lower() if m and _PIECE.findall(m[0]) else ""
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_LAST_RUN = re.compile(r"[^\W\d_]+$")
+_FENCE = re.compile(r"^[^\S\n]*```", re.M)
+_ITEM = re.compile(r"^[^\S\n]*(?:[-*+•]|\d{1,3}[.)])[^\S\n]+[^\n]*", re.M)
 
 
 def strip_marks(text: str) -> tuple[str, str]:
@@ -88,14 +90,24 @@ def presumed_intact(text: str) -> bool:
     return len(line) <= 24 or bool(_BULLET.match(line) or _TRAILER.match(line) or line.startswith(("#", "```")))
 
 
-def features(text: str, known: float, at_limit: float) -> list[str]:
-    """Names of the features a text has. `known`: texts that hold its last piece of a word
-    whole; `at_limit`: how many times more texts stop at its length than around it."""
+class Ending(NamedTuple):
+    """How a text ends: features the text alone decides, and what the others hang on."""
+
+    piece: str  # last piece of a word, '' if the text ends otherwise
+    names: list[str]
+    open_word: bool  # whether the text ends in a lower-case letter
+    open_end: bool  # whether no closing character ends it
+    tail: str  # kind of line and class of its last token, '' where they say nothing
+
+
+def ending(text: str) -> Ending:
     body, marks = strip_marks(text)
-    lines = body.replace("\r\n", "\n").split("\n")
-    line = lines[-1]
-    before = next((x for x in reversed(lines[:-1]) if x.strip()), "")
-    fence = sum(x.lstrip().startswith("```") for x in lines) & 1
+    m = _LAST_RUN.search(body[-200:])
+    piece = _CAMEL.split(m[0])[-1].lower() if m else ""
+    at = body.rfind("\n") + 1
+    line, head = body[at:], body[:at].rstrip()
+    before = head[head.rfind("\n") + 1 :]
+    fence = "```" in body and len(_FENCE.findall(body)) & 1
     bullet = _BULLET.match(line)
     content = line[bullet.end() :] if bullet else line
     kind = (
@@ -105,7 +117,7 @@ def features(text: str, known: float, at_limit: float) -> list[str]:
     last = body[-1:] or "empty"
     shut = last if not last.isalnum() else "A" if last.isupper() else "9" if last.isdigit() else "a"
     if bullet:
-        sib = [x for x in lines[:-1] if _BULLET.match(x)]
+        sib = _ITEM.findall(body, 0, at)
         stops = sum(x.rstrip()[-1:] in ".!?" for x in sib)
         style = "none" if not sib else "all" if stops == len(sib) else "no" if not stops else "some"
     else:
@@ -115,12 +127,11 @@ def features(text: str, known: float, at_limit: float) -> list[str]:
     toks = _TOKEN.findall(sentence)
     ks = [_klass(t) for t in toks]
     tail = ks[-4:]
-    word = re.search(r"\S*$", body)[0]
+    word = re.search(r"\S*$", body[-400:])[0]
     f = [f"shut={shut}", f"kind={kind}", f"ks={kind}|{shut}", f"mark={marks}", f"km={kind}|{marks}|{shut in '.!?'}", f"style={style}|{shut in '.!?'}"]
-    f.append(f"know={min(int(np.log2(known + 1)), 6)}|{shut == 'a'}")
-    f.append(f"limit={min(int(np.log2(max(at_limit, 0) + 1)), 6)}|{shut in '.!?`}'}")
+    hangs = ""
     if kind in ("bullet", "text", "quote", "comment") and shut not in ".!?":
-        f.append(f"kk={kind}|{tail[-1] if tail and tail[-1][0] == '<' else 'w'}|{min(int(np.log2(known + 1)), 6)}")
+        hangs = f"{kind}|{tail[-1] if tail and tail[-1][0] == '<' else 'w'}"
         for n in (1, 2, 3, 4):
             f.append(f"{n}g={'none' if len(tail) < n else ' '.join(tail[-n:])}")
         f.append(f"open={' '.join(ks[:2])}|{len(ks)}")
@@ -130,10 +141,20 @@ def features(text: str, known: float, at_limit: float) -> list[str]:
         f.append(f"line={line}|{before[:12] if before.startswith('#') else ''}")
     f.append(f"under={before.startswith('#')}|{kind}|{shut == 'a'}")
     if kind == "trail" or "://" in word:
-        f.append(f"value={line.split(':')[0][:20]}|{len(re.search(r'[^/ ]*$', body)[0])}")
+        f.append(f"value={line.split(':')[0][:20]}|{len(re.search(r'[^/ ]*$', body[-400:])[0])}")
     if fence or kind == "close":
-        f.append(f"fence={line[:3]}|{fence}")
-    return f
+        f.append(f"fence={line[:3]}|{int(fence)}")
+    return Ending(piece, f, shut == "a", shut not in ".!?`}", hangs)
+
+
+def known_names(e: Ending, step: int) -> list[str]:
+    """Features of how many texts hold the last piece whole (`step`: its logarithm)."""
+    return [f"know={step}|{e.open_word}", *([f"kk={e.tail}|{step}"] if e.tail else [])]
+
+
+def limit_name(open_end: bool, step: int) -> str:
+    """The feature of how much the length stands out among its neighbours."""
+    return f"limit={step}|{not open_end}"
 
 
 def hashed(names: list[str]) -> np.ndarray:
@@ -144,13 +165,16 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, rate: float = 0
     """Weights of a logistic regression over hashed features, the last being the bias
     (Adagrad over batches in a fixed order). All positives together weigh `CUT_WEIGHT`."""
     w = np.zeros(BUCKETS + 1)
-    g2 = np.full(BUCKETS + 1, 1e-8)
     if not len(rows) or y.min() == y.max():
         return w
     share = np.where(y == 1, CUT_WEIGHT / y.mean(), (1 - CUT_WEIGHT) / (1 - y.mean()))
     seen = np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    rare = seen < min(LEAST_SEEN, max(1, len(rows) // 50))
-    rows = [r[~rare[r]] for r in rows]
+    often = np.flatnonzero(seen >= min(LEAST_SEEN, max(1, len(rows) // 50)))
+    # only buckets that have a weight are kept while fitting, numbered without gaps
+    number = np.full(BUCKETS, -1)
+    number[often] = np.arange(len(often))
+    rows = [n[n >= 0] for n in (number[r] for r in rows)]
+    full, w, g2 = w, np.zeros(len(often) + 1), np.full(len(often) + 1, 1e-8)
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -161,13 +185,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, rate: float = 0
             owner = np.repeat(np.arange(len(b)), size)
             z = np.bincount(owner, w[idx], len(b)) + w[-1]
             e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[b]) * share[b] / len(b)
-            grad = np.bincount(idx, e[owner], BUCKETS + 1)
+            grad = np.bincount(idx, e[owner], len(w))
             grad[-1] = e.sum()
             hit = np.flatnonzero(grad)
             g = grad[hit] + ridge * w[hit]
             g2[hit] += g * g
             w[hit] -= rate * g / np.sqrt(g2[hit])
-    return w
+    full[often], full[-1] = w[:-1], w[-1]
+    return full
 
 
 def score(w: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -216,83 +241,133 @@ def artificial_cuts(text: str, seed: int, n: int = 3) -> list[str]:
     return out
 
 
-def _with_piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(piece=[last_piece(t) for t in pdf["text"]])
+#: Tail of a text in which its last word and the marks after it are looked for.
+TAIL = 240
+_JVM_TAIL = r"\p{L}*(?:[\s\x{FFFD}]+|…|\.{3}|\[…\]?|\[\.{3}\]?|\[truncated\]?|\[|\(|<)*$"
+
+
+def whole_pieces(text: Column) -> Column:
+    """Distinct pieces of words (runs of letters, split where a capital follows a small
+    letter), in lower case, that a text holds before its last word."""
+    body = F.concat(F.substring(text, F.lit(1), F.greatest(F.length(text) - TAIL, F.lit(0))), F.regexp_replace(F.right(text, F.lit(TAIL)), _JVM_TAIL, ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.regexp_replace(body, "([a-z])([A-Z])", "$1 $2")), r"\P{L}+")), "")
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(piece, n): texts of a batch that hold each piece of a word whole, before their end."""
-    from collections import Counter
+def _step(c: Column) -> Column:
+    """The whole part of log2(c + 1), 6 at most; 0 for null and negative values."""
+    return F.least(F.floor(F.log2(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) + 1)), F.lit(TOP_STEP)).cast("int")
+
+
+def _survey(base: DataFrame, share: float) -> DataFrame:
+    """(k, s, h, n) in one scan: `p` texts that hold piece s; `s` different texts of length s;
+    `t` the texts (s) of the documents (h) that a fixed share by hash takes for the fit."""
+    none = F.lit(0).cast("bigint")
+    row = lambda k, s, h: F.struct(F.lit(k).alias("k"), s.alias("s"), h.alias("h"))
+    taken = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)
+    facts = F.concat(
+        F.transform(whole_pieces(F.col("text")), lambda p: row("p", p, none)),
+        F.array(row("s", F.length("text").cast("string"), F.xxhash64("text"))),
+        F.when(taken, F.array(row("t", F.col("text"), F.col("doc_id")))).otherwise(F.array().cast("array<struct<k:string,s:string,h:bigint>>")),
+    )
+    return cut(base.select(F.explode(facts).alias("r")).groupBy("r.k", "r.s", "r.h").agg(F.count("*").alias("n")))
+
 
+def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows for the fit: the ends of texts presumed intact (cut 0) and of their artificial cuts."""
     for pdf in batches:
-        seen: Counter[str] = Counter()
-        for t in pdf["text"]:
-            body = strip_marks(t)[0]
-            body = body[: re.search(r"[^\W\d_]*$", body).start()]
-            seen.update({p.lower() for p in _PIECE.findall(body)})
-        yield pd.DataFrame(list(seen.items()), columns=["piece", "n"])
+        got = []
+        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            if presumed_intact(text):
+                doc = 0 if pd.isna(doc) else int(doc)
+                for k, t in enumerate([text, *artificial_cuts(text, doc & 0x7FFFFFFF)]):
+                    e = ending(t)
+                    got.append((doc, zlib.crc32(text.encode("utf-8", "surrogatepass")), k, len(text) if not k else -1, e.piece, hashed(e.names).tolist(), e.open_word, e.open_end, e.tail))
+        yield pd.DataFrame(got, columns=["doc", "of", "k", "size", "piece", "ids", "open_word", "open_end", "tail"])
+
+
+EXAMPLE = "doc bigint, of bigint, k int, size int, piece string, ids array<int>, open_word boolean, open_end boolean, tail string"
+
+
+def _with_known(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """`rows` with `known`, the step of each row's piece. Pieces are made distinct before the
+    vocabulary is asked, and the rows of one frequent piece are spread by a salt."""
+    asked = rows.where("piece <> ''").select("piece").distinct().join(vocabulary, "piece", "left").select("piece", _step(F.col("known")).alias("known"))
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    spelt = rows.where("piece <> ''").withColumn("salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in ("piece", "ids", "steps")]), F.lit(SALT)).cast("int"))
+    return spelt.join(asked, ["piece", "salt"]).drop("salt").unionByName(rows.where("piece = ''").withColumn("known", F.lit(TOP_STEP)))
+
+
+def _with_limit(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """`rows` with `limit`, the step of how much each row's size stands out."""
+    out = limits.select("size", _step(F.col("at_limit")).alias("limit")).where("limit > 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c not in ("size", "ids", "steps")]), F.lit(SALT)).cast("int"))
+    return salted.join(out, ["size", "salt"], "left").drop("salt").withColumn("limit", F.coalesce("limit", F.lit(0)))
+
+
+def _fitted(examples: DataFrame, limits: DataFrame) -> np.ndarray:
+    """The model's weights; the driver holds hashed features of the sample, no texts."""
+    rows = sorted(examples.collect(), key=lambda r: (r.doc, r.of, r.k))
+    # lengths that stand out, the commonest ones
+    peaks = limits.where("here >= 4 and at_limit >= 3").orderBy(F.desc("here"), "size").limit(PEAKS).select("here", _step(F.col("at_limit")).alias("limit")).collect()
+    rng = random.Random(3)
+    neg, pos, owner = [], [], []
+    for r in rows:
+        e = Ending(r.piece, [], r.open_word, r.open_end, r.tail)
+        # half of the cuts stand at a length at which many texts stop, if there are such
+        limit = r.limit if not r.k else rng.choices(peaks, [p.here for p in peaks])[0].limit if peaks and rng.random() < 0.5 else 0
+        ids = np.concatenate([np.array(r.ids, np.int64), hashed([*known_names(e, r.known), limit_name(e.open_end, limit)])])
+        if not r.k:
+            neg.append(ids)
+        else:
+            pos.append(ids)
+            owner.append(len(neg) - 1)
+    return fit_cleaned(neg, pos, owner)
 
 
 def truncation_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, keep.., score): how likely each text was cut before its end.
 
+    The texts are read twice: once for the vocabulary, the lengths and the sample, once for the
+    scores. What is shuffled are counts and short rows: the part of the score that the text
+    decides, and what it still hangs on, its length and its last piece of a word.
+
     Defined cases: null, empty and blank texts are left out (nothing stands that could have been
     cut); repeated documents are scored each; with an empty table or one whose texts are
     too short to cut, scores are 0.5 or there are no rows. Other columns play no part.
     """
     spark = docs.sparkSession
-    base = docs.where(F.col(text).rlike(r"\S")).select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"keep_{k}") for k in keep]
-    )
-    base = spread(base)
-    # lengths at which many different texts stop
-    lengths = base.select(F.length("text").alias("size"), F.xxhash64("text").alias("h")).distinct().groupBy("size").agg(F.count("*").alias("here"))
+    kept = [f"keep_{k}" for k in keep]
+    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(c) for k, c in zip(keep, kept)])
+    base = spread(base).where(F.col("text").rlike(r"\S"))
+    total = docs.count()  # from the files' own counts
+    survey = _survey(base.select("doc_id", "text"), min(1.0, 1.1 * train_docs / max(total, 1)))
+    vocabulary = survey.where("k = 'p'").select(F.col("s").alias("piece"), F.col("n").alias("known"))
+    lengths = survey.where("k = 's'").groupBy(F.col("s").cast("int").alias("size")).agg(F.count("*").alias("here"))
     around = lengths.select(F.explode(F.sequence(F.col("size") - 20, F.col("size") + 20)).alias("size"), "here").groupBy("size").agg(F.sum("here").alias("near"))
-    limits = lengths.join(around, "size").select("size", "here", (F.col("here") / ((F.col("near") - F.col("here")) / 40.0 + 1.0)).alias("at_limit"))
-    vocabulary = base.select("text").mapInPandas(_pieces, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("known"))
-    total = base.count()
-    if not total:
-        return base.select("doc_id", *[F.col(f"keep_{k}").alias(k) for k in keep], F.lit(0.5).alias("score"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema]
-    ended = base.mapInPandas(_with_piece, ", ".join([*fields, "piece string"]))
-    # the ends of all texts, with what the whole table says about them
-    ended = cut(
-        ended.withColumn("size", F.length("text")).join(limits, "size", "left").join(vocabulary, "piece", "left")
-        .select("doc_id", "text", *[f"keep_{k}" for k in keep], "at_limit", F.when(F.col("piece") == "", 64.0).otherwise(F.coalesce("known", F.lit(0))).cast("double").alias("known"))
-    )
-    # a fixed share by hash, then a bound in hash order
-    share = min(1.0, 1.1 * train_docs / total)
-    h = F.xxhash64("doc_id", F.lit(11))
-    sample = [r for r in ended.where(F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(h).limit(train_docs).select("doc_id", "text", "at_limit", "known").collect() if presumed_intact(r.text)]
-    cutted = [(i, t) for i, r in enumerate(sample) for t in artificial_cuts(r.text, (r.doc_id or 0) & 0x7FFFFFFF)]
-    pieces = {last_piece(t) for _, t in cutted} - {""}
-    asked = spark.createDataFrame(pd.DataFrame({"piece": sorted(pieces)}), "piece string") if pieces else None
-    known = {r.piece: float(r.known) for r in vocabulary.join(asked, "piece").collect()} if asked is not None else {}
-    # lengths that stand out, the commonest ones; a bounded list
-    peaks = limits.where("here >= 4 and at_limit >= 3").orderBy(F.desc("here"), "size").limit(200).collect()
-    rng = random.Random(3)
-    neg = [hashed(features(r.text, r.known, r.at_limit or 0)) for r in sample]
-    pos, owner = [], []
-    for i, t in cutted:
-        p = last_piece(t)
-        # half of the cuts stand at a length at which many texts stop, if there are such
-        lim = rng.choices(peaks, [r.here for r in peaks])[0].at_limit if peaks and rng.random() < 0.5 else 0.0
-        pos.append(hashed(features(t, known.get(p, 0.0) if p else 64.0, lim)))
-        owner.append(i)
-    w = fit_cleaned(neg, pos, owner)
+    limits = cut(lengths.join(around, "size").select("size", "here", (F.col("here") / ((F.col("near") - F.col("here")) / 40.0 + 1.0)).alias("at_limit")))
+    sample = survey.where("k = 't'").select(F.col("h").alias("doc_id"), F.col("s").alias("text")).orderBy(F.xxhash64("doc_id", F.lit(11)), "text").limit(train_docs)
+    examples = cut(sample.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_examples, EXAMPLE))
+    w = _fitted(_with_limit(_with_known(examples, vocabulary), limits), limits)
     held = spark.sparkContext.broadcast(w)
-    names = [f"keep_{k}" for k in keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = held.value
         for pdf in batches:
-            limit = pdf["at_limit"].fillna(0.0)
-            rows = [hashed(features(t, k, a)) for t, k, a in zip(pdf["text"], pdf["known"], limit)]
-            yield pdf[["doc_id", *names]].assign(score=score(held.value, rows))
-
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in ended.schema if f.name in names)
-    out = ended.mapInPandas(run, f"doc_id bigint{kept}, score double")
-    return out.select(F.col("doc_id").alias(doc_id), *[F.col(f"keep_{k}").alias(k) for k in keep], "score")
+            got = []
+            for t in pdf["text"]:
+                e = ending(t)
+                steps = [float(w[hashed(known_names(e, s))].sum()) for s in ((TOP_STEP,) if not e.piece else range(TOP_STEP + 1))]
+                z = float(w[hashed(e.names)].sum() + w[-1])
+                got.append((len(t), e.piece, z if e.piece else z + steps[0], steps if e.piece else None, e.open_end))
+            yield pd.concat([pdf[["doc_id", *kept]].reset_index(drop=True), pd.DataFrame(got, columns=["size", "piece", "z", "steps", "open_end"])], axis=1)
+
+    fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name in kept)
+    ends = cut(base.mapInPandas(run, f"doc_id bigint{fields}, size int, piece string, z double, steps array<double>, open_end boolean"))
+    limit_weights = [F.array(*[F.lit(float(w[hashed([limit_name(o, s)])[0]])) for s in range(TOP_STEP + 1)]) for o in (False, True)]
+    z = F.col("z") + F.coalesce(F.try_element_at("steps", F.col("known") + 1), F.lit(0.0))
+    z = z + F.element_at(F.when(F.col("open_end"), limit_weights[1]).otherwise(limit_weights[0]), F.col("limit") + 1)
+    scored = _with_limit(_with_known(ends, vocabulary), limits)
+    return scored.select(F.col("doc_id").alias(doc_id), *[F.col(c).alias(k) for k, c in zip(keep, kept)], (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

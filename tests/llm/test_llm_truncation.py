@@ -1,6 +1,8 @@
 import random
 
-from lodetrace.llm.truncation import THRESHOLD, artificial_cuts, features, last_piece, strip_marks, truncation_scores
+from pyspark.sql import functions as F
+
+from lodetrace.llm.truncation import THRESHOLD, artificial_cuts, ending, strip_marks, truncation_scores, whole_pieces
 
 NOUNS = "parser registry worker archive mirror policy resolver token schema branch manifest header".split()
 VERBS = "reloads rewrites shadows trusts drops caches hides logs".split()
@@ -36,14 +38,20 @@ def test_held_out_cuts_are_found(spark):
 def test_marks_and_pieces():
     assert strip_marks("abc def […") == ("abc def", "[…") or strip_marks("abc def […")[0] == "abc def"
     assert strip_marks("abc...")[0] == "abc" and strip_marks("abc�")[0] == "abc" and strip_marks("abc.\r\n")[0] == "abc."
-    assert last_piece("see fooBarBaz") == "baz" and last_piece("a_bc de…") == "de" and last_piece("end.") == "" and last_piece("") == ""
+    assert [ending(t).piece for t in ("see fooBarBaz", "a_bc de…", "end.", "")] == ["baz", "de", "", ""]
 
 
 def test_features_of_anything():
     for t in ("x", "….", "\n\n", "- ", "```", "# h", "a: b", "é" * 100_000, "\ud800", "http://a/b"):
-        assert features(t, 0.0, 0.0)
+        assert ending(t).names
 
 
 def test_tiny_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "ok"), (1, "ok"), (2, "x")], "doc_id bigint, text string")
     assert truncation_scores(df).count() == 3 and truncation_scores(df.limit(0)).count() == 0
+
+
+def test_pieces_counted_before_the_end(spark):
+    df = spark.createDataFrame([("Read fooBar from resolv…",), ("one Two.",), ("",), ("end",)], "text string")
+    got = [sorted(r[0]) for r in df.select(whole_pieces(F.col("text"))).collect()]
+    assert got == [["bar", "foo", "from", "read"], ["one", "two"], [], []]
