@@ -2,8 +2,8 @@
 
 Links of many independent groups (projects) form directed graphs. Per group:
 
-1. Cycle separation: strongly connected components (Tarjan, iterative) mark what depends on
-   itself; roots are the smallest keys of the components nothing points to.
+1. Cycle separation: strongly connected components mark what depends on itself; roots are the
+   smallest keys of the components nothing points to.
 2. A breadth-first forest from the roots gives every node a depth, one parent and a root.
 3. Subtree sizes of the forest choose each node's heavy child; heavy links join into chains,
    and a node is known by (chain, place on the chain).
@@ -11,26 +11,33 @@ Links of many independent groups (projects) form directed graphs. Per group:
 5. Descendants come out as chain intervals: entering a chain at a place reaches the rest of
    it, one link further at each step. Links of the forest alone would miss descendants of
    nodes with several parents, so all other links are followed too, and an interval ends
-   where an earlier one reaches its remainder in as few links.
+   where an entry further down the chain serves its remainder in fewer links. Intervals, not
+   pairs, are what is searched and passed on; pairs are made of them last, by SQL.
 
-Groups up to `local_links` links are handled whole in one task (their size is known before,
-by a count); larger groups run the same search as distributed joins on (group, node), so no
-task ever holds a large group.
+Groups up to `local_links` links are decomposed in a task, many groups after one another; of
+larger groups the same steps run as joins (components by trimming and colouring, chains from
+the paths, entries of chains relaxed until none improves), so no task ever holds a large group
+and no pair is made twice.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
 
-#: Links of a group that one task may hold; beyond it the distributed search takes over.
+#: Links of a group that one task may hold; beyond it the distributed form takes over.
 LOCAL_LINKS = 20_000
+#: Rows of a batch a task passes on.
+BATCH_ROWS = 5_000
 
 
 class ChainGraph:
@@ -138,7 +145,15 @@ class ChainGraph:
             else:
                 self.chain[v] = len(self.members)
                 self.members.append([v])
-        self.light = [[w for w in self.out[v] if w != heavy[v]] for v in range(n)]
+        # links other than heavy ones, by chain in the order of their places
+        self.side_at: list[list[int]] = [[] for _ in self.members]
+        self.side_to: list[list[int]] = [[] for _ in self.members]
+        for c, run in enumerate(self.members):
+            for i, v in enumerate(run):
+                for w in self.out[v]:
+                    if w != heavy[v]:
+                        self.side_at[c].append(i)
+                        self.side_to[c].append(w)
 
     def path(self, v: int) -> list[str]:
         """Keys from the root to `v`, chain segment by chain segment."""
@@ -149,10 +164,13 @@ class ChainGraph:
             v = self.parent[seg[0]]
         return [self.keys[x] for seg in reversed(parts) for x in seg]
 
-    def reach(self, start: int) -> dict[int, int]:
-        """Least number of links (one or more) to every node reached from `start`."""
-        dist: dict[int, int] = {}
-        todo: dict[int, list[int]] = {1: list(self.out[start])}
+    def intervals(self, start: int) -> Iterator[tuple[int, int, int, int]]:
+        """(chain, first place, place after the last, links to the first) of all that `start`
+        reaches over one or more links, each place in the interval that serves it best."""
+        chain, place = self.chain, self.place
+        places: dict[int, list[int]] = {}
+        dists: dict[int, list[int]] = {}
+        todo: dict[int, list[int]] = {1: self.out[start]}
         step = 1
         while todo:
             entries = todo.pop(step, None)
@@ -160,19 +178,35 @@ class ChainGraph:
                 step += 1
                 continue
             for v in entries:
-                run = self.members[self.chain[v]]
-                d = step
-                for i in range(self.place[v], len(run)):
-                    w = run[i]
-                    if dist.get(w, d + 1) <= d:
-                        break  # the rest of the chain is reached as early already
-                    dist[w] = d
-                    for x in self.light[w]:
-                        if dist.get(x, d + 2) > d + 1:
-                            todo.setdefault(d + 1, []).append(x)
-                    d += 1
+                c, at = chain[v], place[v]
+                ps = places.get(c)
+                if ps is None:
+                    places[c], dists[c] = [at], [step]
+                    stop = len(self.members[c])
+                else:
+                    k = bisect_right(ps, at)
+                    if k and dists[c][k - 1] + at - ps[k - 1] <= step:
+                        continue  # the rest of the chain is reached as early already
+                    stop = ps[k] if k < len(ps) else len(self.members[c])
+                    if k and ps[k - 1] == at:
+                        dists[c][k - 1] = step
+                    else:
+                        ps.insert(k, at)
+                        dists[c].insert(k, step)
+                side = self.side_at[c]
+                for j in range(bisect_left(side, at), bisect_left(side, stop)):
+                    w = self.side_to[c][j]
+                    d = step + side[j] - at + 1
+                    qs = places.get(chain[w])
+                    if qs:
+                        k = bisect_right(qs, place[w])
+                        if k and dists[chain[w]][k - 1] + place[w] - qs[k - 1] <= d:
+                            continue
+                    todo.setdefault(d, []).append(w)
             step += 1
-        return dist
+        for c, ps in places.items():
+            for i, (at, d) in enumerate(zip(ps, dists[c])):
+                yield c, at, ps[i + 1] if i + 1 < len(ps) else len(self.members[c]), d
 
 
 def clean_links(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +217,7 @@ def clean_links(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     return nodes, links.join(src, ["grp", "src"], "left_semi").join(dst, ["grp", "dst"], "left_semi")
 
 
-def _split(links: DataFrame, local_links: int) -> tuple[DataFrame, DataFrame | None]:
+def split_groups(links: DataFrame, local_links: int) -> tuple[DataFrame, DataFrame | None]:
     """Links of groups that fit one task, and those of larger groups if there are any."""
     big = links.groupBy("grp").count().where(F.col("count") > local_links).select("grp")
     if big.isEmpty():
@@ -192,31 +226,80 @@ def _split(links: DataFrame, local_links: int) -> tuple[DataFrame, DataFrame | N
     return links.join(big, "grp", "left_anti"), links.join(big, "grp", "left_semi")
 
 
-def _local_closure(batch: pd.DataFrame) -> pd.DataFrame:
-    g = ChainGraph([*batch["src"], *batch["dst"]], list(zip(batch["src"], batch["dst"])))
-    grp = batch["grp"].iloc[0]
-    rows = [(grp, g.keys[v], g.keys[w], d) for v in range(g.n) if g.out[v] for w, d in g.reach(v).items()]
-    return pd.DataFrame(rows, columns=["grp", "ancestor", "descendant", "distance"])
+def by_group(rows: DataFrame, run: Callable[[str, list, list], Iterator[tuple]], schema: str, types: pa.Schema) -> DataFrame:
+    """`run(grp, src, dst)` for every group of rows(grp, src, dst), its tuples as rows.
+
+    Groups are clustered and sorted, so that a task works through all of its groups without
+    a call from Spark for each; it holds one group and one batch of results at a time.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str]]:
+        for b in batches:
+            yield from zip(*(b.column(i).to_pylist() for i in range(3)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for grp, members in groupby(flat(batches), lambda r: r[0]):
+            _, src, dst = zip(*members)
+            for row in run(grp, list(src), list(dst)):
+                held.append(row)
+                if len(held) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), types)], schema=types)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), types)], schema=types)
+
+    return rows.select("grp", "src", "dst").repartition("grp").sortWithinPartitions("grp").mapInArrow(task, schema)
+
+
+_TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
+
+
+def _local_closure(grp: str, src: list[str], dst: list[str]) -> Iterator[tuple]:
+    g = ChainGraph([*src, *dst], list(zip(src, dst)))
+    named = [[g.keys[v] for v in run] for run in g.members]
+    for v in range(g.n):
+        if g.out[v]:
+            for c, a, b, d in g.intervals(v):
+                yield grp, g.keys[v], d, named[c][a:b]
+
+
+def _expanded(intervals: DataFrame) -> DataFrame:
+    """The pairs of intervals(grp, ancestor, first, members)."""
+    return intervals.select("grp", "ancestor", "first", F.posexplode("members").alias("i", "descendant")).select("grp", "ancestor", "descendant", (F.col("first") + F.col("i")).alias("distance"))
+
+
+def _undominated(entries: DataFrame) -> DataFrame:
+    """Of entries(grp, ancestor, chain, place, dist, ..) those that no entry further up the
+    chain serves as well."""
+    w = Window.partitionBy("grp", "ancestor", "chain").orderBy("place", "dist").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.min(F.col("dist") - F.col("place")).over(w)
+    return entries.withColumn("_best", best).where("_best is null or dist - place < _best").drop("_best")
 
 
-def _distributed_closure(links: DataFrame) -> DataFrame:
-    """Breadth-first levels of all sources at once; every pair is kept at its first level."""
+def _distributed_closure(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries of chains are relaxed: each covers the rest of its chain, and every other link
+    that leaves what it covers is a new entry, until none serves a place better."""
     links = cut(links)
-    found = cut(links.select("grp", F.col("src").alias("ancestor"), F.col("dst").alias("descendant"), F.lit(1).alias("distance")))
-    frontier, step = found, 1
-    while True:
-        step += 1
-        reached = (
-            frontier.join(links, (frontier.grp == links.grp) & (frontier.descendant == links.src))
-            .select(frontier.grp, "ancestor", F.col("dst").alias("descendant"))
-            .distinct()
-            .join(found, ["grp", "ancestor", "descendant"], "left_anti")
-            .withColumn("distance", F.lit(step))
-        )
-        frontier = cut(reached)
-        if frontier.isEmpty():
-            return found
-        found = cut(found.unionByName(frontier))
+    known = cut(_distributed_forest(nodes, links).select("grp", "node", "parent", "chain", "place"))
+    src = known.select("grp", F.col("node").alias("src"), F.col("chain").alias("c1"), F.col("place").alias("p1"))
+    dst = known.select("grp", F.col("node").alias("dst"), F.col("parent"), F.col("chain"), F.col("place"))
+    placed = cut(links.join(src, ["grp", "src"]).join(dst, ["grp", "dst"]))
+    heavy = F.coalesce((F.col("parent") == F.col("src")) & (F.col("c1") == F.col("chain")), F.lit(False))
+    side = cut(placed.where(~heavy).select("grp", F.col("c1").alias("chain"), "p1", F.col("chain").alias("c2"), F.col("place").alias("p2")).distinct())
+    fresh = cut(_undominated(placed.select("grp", F.col("src").alias("ancestor"), "chain", "place", F.lit(1).alias("dist"))))
+    entries = fresh
+    while not fresh.isEmpty():
+        step = fresh.join(side, ["grp", "chain"]).where("p1 >= place")
+        step = step.groupBy("grp", "ancestor", F.col("c2").alias("chain"), F.col("p2").alias("place")).agg(F.min(F.col("dist") + F.col("p1") - F.col("place") + 1).alias("dist"))
+        both = cut(_undominated(entries.withColumn("new", F.lit(False)).unionByName(step.withColumn("new", F.lit(True)))))
+        entries, fresh = both.drop("new"), both.where("new").drop("new")
+    length = known.groupBy("grp", "chain").agg(F.max("place").alias("last"))
+    after = F.lead("place").over(Window.partitionBy("grp", "ancestor", "chain").orderBy("place"))
+    spans = entries.withColumn("after", after).join(length, ["grp", "chain"])
+    spans = spans.select("grp", "ancestor", "chain", "dist", F.col("place").alias("from"), F.explode(F.sequence(F.col("place"), F.coalesce(F.col("after") - 1, F.col("last")))).alias("place"))
+    at = known.select("grp", "chain", "place", F.col("node").alias("descendant"))
+    return spans.join(at, ["grp", "chain", "place"]).select("grp", "ancestor", "descendant", (F.col("dist") + F.col("place") - F.col("from")).cast("int").alias("distance"))
 
 
 def closure(nodes: DataFrame, links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame:
@@ -227,22 +310,22 @@ def closure(nodes: DataFrame, links: DataFrame, local_links: int = LOCAL_LINKS)
     cases: nulls and links to keys that are no nodes are left out, repeated rows count once,
     empty tables give no rows.
     """
-    _, links = clean_links(nodes.select("grp", "node"), links.select("grp", "src", "dst"))
+    nodes, links = clean_links(nodes.select("grp", "node"), links.select("grp", "src", "dst"))
     links = cut(links)
-    small, large = _split(links, local_links)
-    out = small.groupBy("grp").applyInPandas(_local_closure, "grp string, ancestor string, descendant string, distance int")
-    return out if large is None else out.unionByName(_distributed_closure(large))
+    small, large = split_groups(links, local_links)
+    types = pa.schema([("grp", _TEXT), ("ancestor", _TEXT), ("first", pa.int32()), ("members", _TEXTS)])
+    out = _expanded(by_group(small, _local_closure, "grp string, ancestor string, first int, members array<string>", types))
+    return out if large is None else out.unionByName(_distributed_closure(_of_groups(nodes, large), large))
+
+
+def _of_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    return nodes.join(links.select("grp").distinct(), "grp", "left_semi")
 
 
-def _local_forest(batch: pd.DataFrame) -> pd.DataFrame:
-    links = batch[batch["dst"].notna()]
-    g = ChainGraph(list(batch["src"]) + list(links["dst"]), list(zip(links["src"], links["dst"])))
-    grp = batch["grp"].iloc[0]
-    rows = [
-        (grp, g.keys[v], g.depth[v], g.keys[g.root[v]], g.keys[g.parent[v]] if g.parent[v] >= 0 else None, g.path(v), g.size[v], g.keys[g.members[g.chain[v]][0]], g.place[v], g.cyclic[v])
-        for v in g.order
-    ]
-    return pd.DataFrame(rows, columns=["grp", "node", "depth", "root", "parent", "path", "subtree", "chain", "place", "on_cycle"])
+def _local_forest(grp: str, src: list[str], dst: list[str | None]) -> Iterator[tuple]:
+    g = ChainGraph([*src, *(d for d in dst if d is not None)], [(a, b) for a, b in zip(src, dst) if b is not None])
+    for v in g.order:
+        yield grp, g.keys[v], g.depth[v], g.keys[g.root[v]], g.keys[g.parent[v]] if g.parent[v] >= 0 else None, g.path(v), g.size[v], g.keys[g.members[g.chain[v]][0]], g.place[v], g.cyclic[v]
 
 
 FOREST_SCHEMA = "grp string, node string, depth int, root string, parent string, path array<string>, subtree int, chain string, place int, on_cycle boolean"
@@ -259,21 +342,67 @@ def forest(nodes: DataFrame, links: DataFrame, local_links: int = LOCAL_LINKS) -
     """
     nodes, links = clean_links(nodes.select("grp", "node"), links.select("grp", "src", "dst"))
     links = cut(links)
-    small, large = _split(links, local_links)
+    small, large = split_groups(links, local_links)
     lone = nodes if large is None else nodes.join(large.select("grp").distinct(), "grp", "left_anti")
     rows = small.unionByName(lone.select("grp", F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")))
-    out = rows.groupBy("grp").applyInPandas(_local_forest, FOREST_SCHEMA)
-    if large is None:
-        return out
-    return out.unionByName(_distributed_forest(nodes.join(large.select("grp").distinct(), "grp", "left_semi"), large))
+    types = pa.schema([(n, t) for n, t in zip("grp node depth root parent path subtree chain place on_cycle".split(), [_TEXT, _TEXT, pa.int32(), _TEXT, _TEXT, _TEXTS, pa.int32(), _TEXT, pa.int32(), pa.bool_()])])
+    out = by_group(rows, _local_forest, FOREST_SCHEMA, types)
+    return out if large is None else out.unionByName(_distributed_forest(_of_groups(nodes, large), large))
+
+
+def _trimmed(links: DataFrame) -> DataFrame:
+    """Links that may lie on a cycle: both their ends are entered and left by such links."""
+    left = links.count()
+    while left:
+        src, dst = links.select("grp", F.col("src").alias("dst")).distinct(), links.select("grp", F.col("dst").alias("src")).distinct()
+        links = cut(links.join(dst, ["grp", "src"], "left_semi").join(src, ["grp", "dst"], "left_semi"))
+        before, left = left, links.count()
+        if left == before:
+            break
+    return links
+
+
+def _cycles(links: DataFrame) -> DataFrame:
+    """(grp, node, comp) of nodes on cycles, `comp` the smallest of those they share one with.
+
+    What lies on no cycle is trimmed off. In the rest every node takes the smallest node that
+    reaches it as its colour; those that reach the node their colour names share a cycle with
+    it. They are taken out, and the rest is trimmed and coloured again.
+    """
+    core = cut(links.where("src <> dst"))
+    found = [cut(links.where("src = dst").select("grp", F.col("src").alias("node"), F.col("src").alias("comp")).distinct())]
+    while True:
+        core = _trimmed(core)
+        if core.isEmpty():
+            break
+        colour = cut(core.select("grp", F.col("src").alias("node"), F.col("src").alias("c")).distinct())
+        moved = True
+        while moved:
+            came = core.join(colour.withColumnRenamed("node", "src"), ["grp", "src"]).groupBy("grp", F.col("dst").alias("node")).agg(F.min("c").alias("n"))
+            step = cut(colour.join(came, ["grp", "node"]).select("grp", "node", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+            moved, colour = not step.where("moved").isEmpty(), step.select("grp", "node", "c")
+        a, b = colour.select("grp", F.col("node").alias("src"), "c"), colour.select("grp", F.col("node").alias("dst"), F.col("c").alias("d"))
+        within = cut(core.join(a, ["grp", "src"]).join(b, ["grp", "dst"]).where("c = d").select("grp", "src", "dst"))
+        front = cut(colour.where("node = c"))
+        levels = [front]
+        while not front.isEmpty():
+            into = within.join(front.withColumnRenamed("node", "dst"), ["grp", "dst"]).select("grp", F.col("src").alias("node"), "c").distinct()
+            front = cut(into.join(union(levels).select("grp", "node"), ["grp", "node"], "left_anti"))
+            levels.append(front)
+        done = cut(union(levels).select("grp", "node", F.col("c").alias("comp")))
+        found.append(done)
+        out = done.select("grp", F.col("node"))
+        core = cut(core.join(out.withColumnRenamed("node", "src"), ["grp", "src"], "left_anti").join(out.withColumnRenamed("node", "dst"), ["grp", "dst"], "left_anti"))
+    return union(found).groupBy("grp", "node").agg(F.min("comp").alias("comp"))
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _distributed_forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
     links, nodes = cut(links), cut(nodes)
-    # pairs in both directions of the closure are the components with cycles
-    pairs = _distributed_closure(links).select("grp", F.col("ancestor").alias("a"), F.col("descendant").alias("b"))
-    back = pairs.select("grp", F.col("b").alias("a"), F.col("a").alias("b"))
-    comp = cut(pairs.join(back, ["grp", "a", "b"], "left_semi").groupBy("grp", F.col("a").alias("node")).agg(F.min("b").alias("comp")))
+    comp = cut(_cycles(links))
     tagged = nodes.join(comp, ["grp", "node"], "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("on_cycle"))
     tagged = cut(tagged)
     src = tagged.select("grp", F.col("node").alias("src"), F.col("comp").alias("cs"))
@@ -281,17 +410,16 @@ def _distributed_forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
     entered = links.join(src, ["grp", "src"]).join(dst, ["grp", "dst"]).where("cs <> cd").select("grp", F.col("cd").alias("comp")).distinct()
     roots = tagged.join(entered, ["grp", "comp"], "left_anti").where("node = comp")
     level = cut(roots.select("grp", "node", F.lit(0).alias("depth"), F.col("node").alias("root"), F.lit(None).cast("string").alias("parent"), F.array("node").alias("path")))
-    done, depth = level, 0
-    while True:
-        depth += 1
+    # each level is written once; a node found at an earlier one is not found again
+    levels = [level]
+    while not level.isEmpty():
         step = level.join(links, (level.grp == links.grp) & (level.node == links.src)).select(level.grp, F.col("dst").alias("node"), "root", F.col("src").alias("parent"), "path")
-        step = step.join(done.select("grp", "node"), ["grp", "node"], "left_anti")
+        step = step.join(union([x.select("grp", "node") for x in levels]), ["grp", "node"], "left_anti")
         # of several parents the one whose own path comes first, as a queue would have it
         best = step.groupBy("grp", "node").agg(F.min(F.struct("path", "root", "parent")).alias("b"))
-        level = cut(best.select("grp", "node", F.lit(depth).alias("depth"), "b.root", "b.parent", F.concat("b.path", F.array("node")).alias("path")))
-        if level.isEmpty():
-            break
-        done = cut(done.unionByName(level))
+        level = cut(best.select("grp", "node", F.lit(len(levels)).alias("depth"), "b.root", "b.parent", F.concat("b.path", F.array("node")).alias("path")))
+        levels.append(level)
+    done = cut(union(levels))
     sizes = done.select("grp", F.explode("path").alias("node")).groupBy("grp", "node").agg(F.count("*").cast("int").alias("subtree"))
     sized = cut(done.join(sizes, ["grp", "node"]))
     # the heavy child of each parent: largest subtree, then smallest key

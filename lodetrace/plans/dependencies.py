@@ -41,10 +41,11 @@ links AS (SELECT g, a, b FROM raw JOIN nodes n1 USING (g) JOIN nodes n2 USING (g
 
 P5_SQL = f"""
 WITH RECURSIVE {_LINKS},
+size AS (SELECT g, count(*) AS c FROM nodes GROUP BY g),
 walk AS (
   SELECT g, a, b, 1 AS d FROM links
   UNION
-  SELECT w.g, w.a, l.b, w.d + 1 FROM walk w JOIN links l ON l.g = w.g AND l.a = w.b
-  WHERE w.d < 40)
+  SELECT w.g, w.a, l.b, w.d + 1 FROM walk w JOIN links l ON l.g = w.g AND l.a = w.b JOIN size s ON s.g = w.g
+  WHERE w.d < s.c)
 SELECT g AS project_id, a AS ancestor_key, b AS descendant_key, min(d)::INTEGER AS distance FROM walk GROUP BY 1, 2, 3
 """

@@ -1,3 +1,4 @@
+import random
 from collections import deque
 
 from hypothesis import given, settings
@@ -24,11 +25,17 @@ def brute(links):
     return got
 
 
+def reached(g, v):
+    pairs = [(g.members[c][i], d + i - a) for c, a, b, d in g.intervals(v) for i in range(a, b)]
+    assert len(pairs) == len({w for w, _ in pairs})
+    return pairs
+
+
 @settings(max_examples=200, deadline=None)
 @given(links_of)
 def test_chains_reach_what_a_search_reaches(links):
     g = ChainGraph([x for e in links for x in e], links)
-    got = {(g.keys[v], g.keys[w]): d for v in range(g.n) for w, d in g.reach(v).items()}
+    got = {(g.keys[v], g.keys[w]): d for v in range(g.n) for w, d in reached(g, v)}
     assert got == brute(links)
     for v in range(g.n):
         assert g.cyclic[v] == ((g.keys[v], g.keys[v]) in got)
@@ -79,4 +86,26 @@ def test_empty_tables(spark):
 def test_long_chain():
     keys = [f"n{i:05d}" for i in range(5000)]
     g = ChainGraph(keys, list(zip(keys, keys[1:])))
-    assert g.depth[4999] == 4999 and len(g.members) == 1 and g.reach(0)[4999] == 4999
+    assert g.depth[4999] == 4999 and len(g.members) == 1 and list(g.intervals(0)) == [(0, 1, 5000, 1)]
+
+
+def test_random_graphs_local_and_distributed(spark):
+    r = random.Random(3)
+    rows, nodes_of = [], []
+    for g in range(6):
+        keys = [f"k{i:02d}" for i in range(14)]
+        nodes_of += [(str(g), k) for k in keys]
+        rows += [(str(g), r.choice(keys), r.choice(keys)) for _ in range(r.randint(8, 30))]
+    n, e = spark.createDataFrame(nodes_of, "grp string, node string"), spark.createDataFrame(rows, "grp string, src string, dst string")
+    want = {(g, a, b): d for g in {x[0] for x in rows} for (a, b), d in brute([x[1:] for x in rows if x[0] == g]).items()}
+    far = closure(n, e, local_links=0).collect()
+    assert len(far) == len(want) and {(x.grp, x.ancestor, x.descendant): x.distance for x in far} == want
+    near, far = [{(x.grp, x.node): tuple(x) for x in forest(n, e, local_links=b).collect()} for b in (20_000, 0)]
+    assert near == far and len(near) == len(nodes_of)
+
+
+def test_results_of_a_group_pass_on_in_batches(spark):
+    keys = [f"n{i:04d}" for i in range(400)]
+    n = spark.createDataFrame([("g", k) for k in keys], "grp string, node string")
+    e = spark.createDataFrame([("g", a, b) for a, b in zip(keys, keys[1:])], "grp string, src string, dst string")
+    assert closure(n, e).count() == 400 * 399 // 2
