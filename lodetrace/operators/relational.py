@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row per `keys`, the least by `order`; whole rows, by a partial aggregate rather
@@ -75,17 +77,23 @@ def prefix_rules(names: DataFrame, exact: list[tuple[str, str]], prefixes: list[
 
 
 def row_numbers(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
-    """0-based positions in a total order over the whole table, without one task sorting it:
-    range partitions, counts per partition, and numbers within each."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    counts = [(r["_p"], r["c"]) for r in ranged.groupBy("_p").agg(F.count("*").alias("c")).orderBy("_p").collect()]
+    """0-based positions in a total order over the whole table, without one task sorting it.
+
+    The table is cut by ranges and sorted within them; every row keeps its part and its place
+    in it, and the result is written before the parts are counted, as ranges that are sampled
+    a second time would be others. Rows of equal `order` get positions in any order.
+    """
+    place = F.monotonically_increasing_id()  # part << 33 | place
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", place.alias("_at")))
+    part = F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("c")).orderBy("_p").collect()
     base, run = [], 0
-    for p, c in counts:
-        base.append((p, run))
-        run += c
-    start = df.sparkSession.createDataFrame(base, "_p int, _b bigint")
-    w = Window.partitionBy("_p").orderBy(*order)
-    return ranged.withColumn("_r", F.row_number().over(w) - 1).join(F.broadcast(start), "_p").withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+    for r in counts:
+        base.append((r["_p"], run))
+        run += r["c"]
+    start = df.sparkSession.createDataFrame(base, "_p bigint, _b bigint")
+    numbered = ranged.withColumn("_p", part).join(F.broadcast(start), "_p")  # one row a part
+    return numbered.withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_b")).drop("_p", "_b", "_at")
 
 
 def snapshot_compare(old: DataFrame, new: DataFrame, key: str, arrays: Sequence[str]) -> DataFrame:
