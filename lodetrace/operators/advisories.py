@@ -28,9 +28,9 @@ def vulnerable(packages: DataFrame, osv: DataFrame) -> DataFrame:
     p = packages.where("name is not null and version is not null").select("ecosystem", "name", "version").distinct()
     p = p.withColumn("_eco", F.lower("ecosystem")).withColumn("_name", F.when(F.col("_eco") == "pypi", pypi_name(F.col("name"))).otherwise(F.col("name")))
     # keys of versions and of range ends are made once a row, below the join
-    p = p.withColumn("_key", sort_key(F.col("version")))
+    p = p.withColumn("_key", sort_key(F.col("version"), F.col("_eco")))
     kept = F.filter("ranges", lambda r: r.isNotNull() & (F.coalesce(r["type"], F.lit("")) != "GIT"))
-    a = affected_packages(osv).select("id", F.col("eco").alias("_eco"), F.col("name").alias("_name"), "versions", F.transform(kept, lambda r: event_keys(r["events"])).alias("_ranges"))
+    a = affected_packages(osv).select("id", F.col("eco").alias("_eco"), F.col("name").alias("_name"), "versions", F.transform(kept, lambda r: event_keys(r["events"], F.col("eco"))).alias("_ranges"))
     listed = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False))
     ranged = F.coalesce(F.exists("_ranges", lambda e: within_keys(F.col("_key"), e)), F.lit(False))
     return p.join(a, ["_eco", "_name"]).where(listed | ranged).select("ecosystem", "name", "version", "id").distinct()

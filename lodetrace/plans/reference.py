@@ -31,11 +31,20 @@ def query(sql: str | None = None):
     return add
 
 
-def _vk(v: str) -> str:
-    num = lambda g: f"lpad(regexp_extract({v}, '^(\\d+)\\.(\\d+)\\.(\\d+)', {g}), 9, '0')"
-    pre = f"regexp_extract({v}, '^\\d+\\.\\d+\\.\\d+-?([A-Za-z]*)\\.?(\\d*)$', 1)"
-    n = f"regexp_extract({v}, '^\\d+\\.\\d+\\.\\d+-?([A-Za-z]*)\\.?(\\d*)$', 2)"
-    return f"({num(1)} || {num(2)} || {num(3)} || CASE WHEN {pre} = '' THEN '1' ELSE '0' END || {pre} || lpad({n}, 6, '0'))"
+_SEMANTIC = "^v?(0|[1-9][0-9]*)[.](0|[1-9][0-9]*)[.](0|[1-9][0-9]*)(-[0-9A-Za-z.-]+)?([+][0-9A-Za-z.-]+)?$"
+
+
+def _vk(v: str, eco: str) -> str:
+    """Sort key of a version as text: its numbers in 12 digits each, without zeros at the end;
+    a blank before a release mark or identifiers, so that fewer numbers come first."""
+    nums = lambda x: f"regexp_replace(array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array({x}, '[.+_-]'), lambda p: regexp_extract(p, '^v?([0-9]+)', 1)), lambda p: p <> ''), lambda p: lpad(p, 12, '0')), ''), '(000000000000)+$', '')"
+    pre = f"regexp_extract({v}, '{_SEMANTIC}', 4)"
+    ids = f"array_to_string(list_transform(string_split(substring({pre}, 2), '.'), lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN '0' || lpad(p, 12, '0') ELSE '1' || p END), ' ')"
+    core = f"regexp_extract({v}, '^[^-+]*')"
+    return (
+        f"(CASE WHEN NOT regexp_matches({v}, '[0-9]') THEN NULL WHEN lower({eco}) = 'npm' AND regexp_matches({v}, '{_SEMANTIC}') THEN {nums(core)} || CASE WHEN {pre} = '' THEN ' 1' ELSE ' 0' || {ids} END "
+        f"ELSE {nums(v)} || CASE WHEN regexp_matches({v}, '[A-Za-z]') THEN ' 0' ELSE ' 1' END END)"
+    )
 
 
 # --- functions ----------------------------------------------------------------------------
@@ -85,11 +94,11 @@ def x_high_entropy_tokens(spark, root):
 
 @query("""
 SELECT doc_id, regexp_matches(text, '[^\\x00-\\x7F]') AS beyond_ascii,
-  CASE WHEN regexp_matches(text, '\\p{Cyrillic}') OR regexp_matches(text, '\\p{Greek}') THEN 2 ELSE 1 END AS scripts
-FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\p{Latin}')""")
+  regexp_matches(text, '\\p{Latin}')::INTEGER + regexp_matches(text, '\\p{Cyrillic}')::INTEGER + regexp_matches(text, '\\p{Greek}')::INTEGER + regexp_matches(text, '\\p{Armenian}')::INTEGER + regexp_matches(text, '\\p{Hebrew}')::INTEGER + regexp_matches(text, '\\p{Arabic}')::INTEGER AS scripts
+FROM documents WHERE text IS NOT NULL""")
 def x_scripts(spark, root):
-    """How many scripts each document is written in, and whether it leaves ASCII."""
-    t = table(spark, root, "documents").where("text is not null and text rlike '\\\\p{IsLatin}'")
+    """How many of the six scripts each document is written in, and whether it leaves ASCII."""
+    t = table(spark, root, "documents").where("text is not null")
     return t.select("doc_id", F.col("text").rlike(r"[^\x00-\x7F]").alias("beyond_ascii"), F.size(text.scripts(F.col("text"))).alias("scripts"))
 
 
@@ -134,19 +143,23 @@ def a_severity(spark, root):
 
 
 @query(f"""
-WITH v AS (SELECT DISTINCT ecosystem, name, version, {_vk('version')} AS k FROM dependency_nodes WHERE ecosystem IS NOT NULL AND name IS NOT NULL AND regexp_matches(version, '^\\d'))
-SELECT ecosystem, name, arg_min(version, k || '|' || version) AS lowest, arg_max(version, k || '|' || version) AS highest, count(*) AS versions FROM v GROUP BY ecosystem, name""")
+WITH v AS (SELECT DISTINCT ecosystem, name, version, {_vk('version', 'ecosystem')} AS k FROM dependency_nodes WHERE ecosystem IS NOT NULL AND name IS NOT NULL AND version IS NOT NULL)
+SELECT ecosystem, name, arg_min(version, (k, version)) FILTER (k IS NOT NULL) AS lowest, arg_max(version, (k, version)) FILTER (k IS NOT NULL) AS highest, count(*) AS versions FROM v GROUP BY ecosystem, name""")
 def x_version_order(spark, root):
     """Lowest and highest version of each package, pre-releases before releases."""
-    t = table(spark, root, "dependency_nodes").where("ecosystem is not null and name is not null and version rlike '^[0-9]'").select("ecosystem", "name", "version").distinct()
-    key = F.struct(versions.sort_key(F.col("version")).alias("k"), F.col("version").alias("v"))
+    t = table(spark, root, "dependency_nodes").where("ecosystem is not null and name is not null and version is not null").select("ecosystem", "name", "version").distinct()
+    k = versions.sort_key(F.col("version"), F.col("ecosystem"))
+    key = F.when(k.isNotNull(), F.struct(k.alias("k"), F.col("version").alias("v")))
     return t.groupBy("ecosystem", "name").agg(F.min(key).v.alias("lowest"), F.max(key).v.alias("highest"), F.count("*").alias("versions"))
 
 
-@query("""
-SELECT DISTINCT name, version, CASE WHEN regexp_matches(version, '[A-Za-z]') THEN true ELSE false END AS prerelease FROM dependency_nodes WHERE version IS NOT NULL""")
+@query(f"""
+SELECT DISTINCT ecosystem, name, version, CASE WHEN ecosystem = 'npm' AND regexp_matches(version, '{_SEMANTIC}') THEN regexp_extract(version, '{_SEMANTIC}', 4) <> '' ELSE regexp_matches(regexp_replace(version, '^v', ''), '[A-Za-z]') END AS prerelease
+FROM dependency_nodes WHERE version IS NOT NULL""")
 def x_prerelease(spark, root):
-    return table(spark, root, "dependency_nodes").where("version is not null").select("name", "version", versions.is_prerelease(F.col("version")).alias("prerelease")).distinct()
+    """Which versions are pre-releases."""
+    t = table(spark, root, "dependency_nodes").where("version is not null")
+    return t.select("ecosystem", "name", "version", F.coalesce(versions.is_prerelease(F.col("version"), F.col("ecosystem")), F.lit(False)).alias("prerelease")).distinct()
 
 
 @query("""
@@ -183,10 +196,9 @@ SELECT record_id, version, hook, array_to_string(list_filter([{cols}], lambda x:
 @query(_scripts_sql())
 def d_install_scripts(spark, root):
     """Install hooks of packument versions with what their commands do."""
-    table(spark, root, "registry_docs").createOrReplaceTempView("_scripts_docs")
     s = spark.sql("""
       SELECT DISTINCT record_id, coalesce(v.key, try_variant_get(v.value, '$.version', 'string')) AS version, s.key AS hook, try_variant_get(s.value, '$', 'string') AS command
-      FROM (SELECT record_id, variant_get(try_parse_json(payload), '$.versions') AS vs FROM _scripts_docs), LATERAL variant_explode(vs) v, LATERAL variant_explode(variant_get(v.value, '$.scripts')) s""")
+      FROM (SELECT record_id, variant_get(try_parse_json(payload), '$.versions') AS vs FROM {docs}), LATERAL variant_explode(vs) v, LATERAL variant_explode(variant_get(v.value, '$.scripts')) s""", docs=table(spark, root, "registry_docs"))
     return s.where(F.col("hook").isin(detectors.INSTALL_HOOKS) & F.col("command").isNotNull()).select("record_id", "version", "hook", F.array_join(detectors.script_labels(F.col("command")), ",").alias("does"))
 
 
@@ -209,10 +221,10 @@ def a_merge_nodes(spark, root):
 @query("""
 WITH n AS (SELECT project_id, package_key, coalesce(bool_or(direct), false) AS direct, min(depth) AS depth, count(*) AS c FROM dependency_nodes GROUP BY 1, 2)
 SELECT project_id, count(*) AS total, count_if(direct) AS direct, count_if(NOT direct) AS transitive, max(depth) AS max_depth,
-  (SELECT count(DISTINCT package_key) FROM dependency_nodes d WHERE d.project_id = n.project_id AND ecosystem = 'npm') AS npm FROM n GROUP BY project_id""")
+  (SELECT count(DISTINCT package_key) FROM dependency_nodes d WHERE d.project_id IS NOT DISTINCT FROM n.project_id AND ecosystem = 'npm') AS npm FROM n GROUP BY project_id""")
 def a_summary(spark, root):
     """Sizes and depths of the projects' graphs."""
-    s = graph.summary(table(spark, root, "dependency_nodes").where("ecosystem is not null"))
+    s = graph.summary(table(spark, root, "dependency_nodes"))
     return s.select("project_id", "total", "direct", "transitive", "max_depth", F.coalesce(F.try_element_at("by_ecosystem", F.lit("npm")), F.lit(0)).alias("npm"))
 
 
@@ -238,12 +250,12 @@ def w_prefer_tree(spark, root):
 
 
 @query("""
-WITH l AS (SELECT file_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM (SELECT file_id, regexp_split_to_array(content, '\\r\\n|\\n|\\r') AS lines FROM source_files WHERE language IN ('ini', 'toml'))),
+WITH l AS (SELECT file_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM (SELECT file_id, regexp_split_to_array(content, '\\r\\n|\\n|\\r') AS lines FROM source_files WHERE content IS NOT NULL)),
 s AS (SELECT file_id, n, line, last_value(CASE WHEN regexp_matches(line, '^\\[[^\\]]+\\]$') THEN line END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS section FROM l)
 SELECT file_id, n::INTEGER AS line_no, section, regexp_extract(line, '^\\s*([A-Za-z_][\\w.-]*)\\s*[=:]', 1) AS name FROM s WHERE regexp_matches(line, '^\\s*[A-Za-z_][\\w.-]*\\s*[=:]')""")
 def w_fill_sections(spark, root):
-    """The section each setting of ini and toml files stands in, carried forward line by line."""
-    f = table(spark, root, "source_files").where(F.col("language").isin("ini", "toml") & F.col("content").isNotNull())
+    """The section each setting stands in, carried forward line by line."""
+    f = table(spark, root, "source_files").where(F.col("content").isNotNull())
     lines = f.select("file_id", F.posexplode(F.split("content", r"\r\n|\n|\r")).alias("n", "line"))
     marked = lines.withColumn("section", F.when(F.col("line").rlike(r"^\[[^\]]+\]$"), F.col("line")))
     name = r"^\s*([A-Za-z_][\w.-]*)\s*[=:]"
@@ -318,7 +330,7 @@ j AS (SELECT p.ecosystem, p.name, p.version, a.id, a.k, a.ranges, a.vs FROM p JO
 r AS (SELECT ecosystem, name, version, id, k, unnest(ranges) AS r, generate_subscripts(ranges, 1) AS ri FROM j),
 e AS (SELECT ecosystem, name, version, id, k, ri, unnest(r.events) AS e, generate_subscripts(r.events, 1) AS ei FROM r WHERE r IS NOT NULL AND coalesce(r.type, '') <> 'GIT'),
 x AS (SELECT *, e['introduced'] AS i, e['fixed'] AS f, e['last_affected'] AS l FROM e WHERE e IS NOT NULL),
-s AS (SELECT *, CASE WHEN i IS NOT NULL AND (i = '0' OR {_vk('i')} <= {_vk('version')}) THEN 1 WHEN f IS NOT NULL AND {_vk('f')} <= {_vk('version')} THEN 0 WHEN l IS NOT NULL AND {_vk('l')} < {_vk('version')} THEN 0 END AS st FROM x),
+s AS (SELECT *, CASE WHEN i IS NOT NULL AND (i = '0' OR {_vk('i', 'ecosystem')} <= {_vk('version', 'ecosystem')}) THEN 1 WHEN f IS NOT NULL AND {_vk('f', 'ecosystem')} <= {_vk('version', 'ecosystem')} THEN 0 WHEN l IS NOT NULL AND {_vk('l', 'ecosystem')} < {_vk('version', 'ecosystem')} THEN 0 END AS st FROM x),
 inside AS (SELECT ecosystem, name, version, id, k, ri, arg_max(st, ei) AS st FROM s WHERE st IS NOT NULL GROUP BY ALL)
 SELECT DISTINCT ecosystem, name, version, id FROM (SELECT ecosystem, name, version, id FROM inside WHERE st = 1 UNION ALL SELECT ecosystem, name, version, id FROM j WHERE list_contains(vs, version))""")
 def j_vulnerable(spark, root):
@@ -391,21 +403,25 @@ def j_breached(spark, root):
 
 
 @query("""
-WITH RECURSIVE n AS (SELECT DISTINCT project_id AS g, package_key AS k FROM dependency_nodes WHERE project_id IS NOT NULL AND package_key IS NOT NULL),
+WITH RECURSIVE n AS (SELECT project_id AS g, package_key AS k, coalesce(bool_or(direct), false) AS direct FROM dependency_nodes WHERE project_id IS NOT NULL AND package_key IS NOT NULL GROUP BY 1, 2),
 raw AS (SELECT project_id AS g, package_key AS a, unnest(dependencies) AS b FROM dependency_nodes UNION SELECT project_id, unnest(parents), package_key FROM dependency_nodes),
 l AS (SELECT g, a, b FROM raw JOIN n n1 USING (g) JOIN n n2 USING (g) WHERE n1.k = a AND n2.k = b),
-w AS (SELECT DISTINCT project_id AS g, package_key AS k, 0 AS d FROM dependency_nodes WHERE direct AND package_key IS NOT NULL AND project_id IS NOT NULL
-      UNION SELECT w.g, l.b, w.d + 1 FROM w JOIN l ON l.g = w.g AND l.a = w.k WHERE w.d < 60)
-SELECT g AS project_id, k AS package_key, (min(d) + 1)::INTEGER AS depth FROM w GROUP BY g, k""")
+size AS (SELECT g, count(*) AS c FROM n GROUP BY g),
+w AS (SELECT g, k, 0 AS d FROM n WHERE direct
+      UNION SELECT w.g, l.b, w.d + 1 FROM w JOIN l ON l.g = w.g AND l.a = w.k JOIN size s ON s.g = w.g WHERE w.d < s.c),
+best AS (SELECT g, k, (min(d) + 1)::INTEGER AS depth FROM w GROUP BY g, k)
+SELECT g AS project_id, k AS package_key, coalesce(depth, CASE WHEN direct THEN 1 ELSE 2 END)::INTEGER AS depth FROM n LEFT JOIN best USING (g, k)""")
 def g_levels(spark, root):
-    """Depth of each package reached from a project's direct dependencies, those being 1."""
+    """Depth of each package from its project's direct dependencies, those being 1; packages
+    that none of them reaches count as 2."""
     from .dependencies import package_links
 
     from ..operators.hierarchy import clean_links
 
     nodes, links = clean_links(*package_links(spark, root))
-    seeds = table(spark, root, "dependency_nodes").where("direct and package_key is not null and project_id is not null").select(F.col("project_id").alias("grp"), F.col("package_key").alias("node"))
-    return graph.levels(seeds, links).select(F.col("grp").alias("project_id"), F.col("node").alias("package_key"), (F.col("depth") + 1).alias("depth"))
+    seeds = table(spark, root, "dependency_nodes").where("direct").select(F.col("project_id").alias("grp"), F.col("package_key").alias("node"))
+    reached = graph.levels(seeds, links)
+    return nodes.join(reached, ["grp", "node"], "left").select(F.col("grp").alias("project_id"), F.col("node").alias("package_key"), (F.coalesce("depth", F.lit(1)) + 1).alias("depth"))
 
 
 @query("""
@@ -428,10 +444,9 @@ n AS (SELECT record_id, coalesce(j->>'$.name', j->>'$.info.name') AS name, coale
 SELECT * FROM n""")
 def s_registry_metadata(spark, root):
     """Name, latest version, creation time and number of maintainers of registry documents."""
-    table(spark, root, "registry_docs").createOrReplaceTempView("_meta_docs")
     return spark.sql("""
       SELECT record_id, coalesce(try_variant_get(j, '$.name', 'string'), try_variant_get(j, '$.info.name', 'string')) AS name,
              coalesce(try_variant_get(j, '$["dist-tags"].latest', 'string'), try_variant_get(j, '$.info.version', 'string')) AS latest,
              try_variant_get(j, '$.time.created', 'string') AS created,
              size(try_variant_get(j, '$.maintainers', 'array<variant>')) AS maintainers
-      FROM (SELECT DISTINCT record_id, ecosystem, payload, try_parse_json(payload) AS j FROM (SELECT DISTINCT record_id, ecosystem, payload FROM _meta_docs)) WHERE j IS NOT NULL""".replace("SELECT DISTINCT record_id, ecosystem, payload, try_parse_json(payload) AS j", "SELECT record_id, try_parse_json(payload) AS j"))
+      FROM (SELECT record_id, try_parse_json(payload) AS j FROM (SELECT DISTINCT record_id, ecosystem, payload FROM {docs})) WHERE j IS NOT NULL""", docs=table(spark, root, "registry_docs"))

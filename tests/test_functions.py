@@ -76,21 +76,32 @@ def test_cvss(spark):
 
 
 def test_versions_in_order(spark):
-    ordered = ["0.9.0", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-rc.2", "1.0.0-rc.11", "1.0.0", "1.0.1", "1.2.0rc1", "1.2.0", "1.10.0", "2"]
-    df = spark.createDataFrame([(a, b) for a in ordered for b in ordered], "a string, b string")
-    for r in df.select("a", "b", versions.compare(F.col("a"), F.col("b")).alias("c")).collect():
-        i, j = ordered.index(r.a), ordered.index(r.b)
-        assert r.c == (i > j) - (i < j), (r.a, r.b)
-    assert column(spark, ["1.0.0", "1.0.0-rc.1", "1.0.0+build"], versions.is_prerelease) == [False, True, False]
-    pairs = spark.createDataFrame([("1.2.3", "2.0.0"), ("1.2.3", "1.3.0"), ("1.2.3", "1.2.4"), ("1.2.3", "1.2.3")], "a string, b string")
-    assert [r[0] for r in pairs.select(versions.bump(F.col("a"), F.col("b"))).collect()] == ["major", "minor", "patch", None]
-    assert column(spark, [["2.0.0", "1.9.0", None, "x"]], versions.lowest, "array<string>") == ["1.9.0"]
+    npm = ["0.9.0", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-rc.2", "1.0.0-rc.11", "1.0.0-rc10", "1.0.0-rc9", "1.0.0", "1.0.1", "1.2.3", "1.2.10", "1.9.9", "2.0.0"]
+    pypi = ["0.9", "1.0rc1", "1.0", "1.0.0.1", "1.2.3.4", "1.2.3.5", "3.0.0", "3.0.1", "9.0", "10.0"]
+    for eco, ordered in (("npm", npm), ("pypi", pypi)):
+        df = spark.createDataFrame([(a, b) for a in ordered for b in ordered], "a string, b string")
+        x, y, e = F.col("a"), F.col("b"), F.lit(eco)
+        by_key = F.when(versions.sort_key(x, e) < versions.sort_key(y, e), -1).when(versions.sort_key(x, e) > versions.sort_key(y, e), 1).otherwise(0)
+        for r in df.select("a", "b", versions.compare(x, y, e).alias("c"), by_key.alias("k")).collect():
+            i, j = ordered.index(r.a), ordered.index(r.b)
+            assert r.c == r.k == (i > j) - (i < j), (eco, r.a, r.b)
+    same = spark.createDataFrame([("1.0", "1.0.0", "pypi"), ("1.0.0rc1", "1.0.0rc2", "npm"), ("1.0.0+a", "1.0.0+b", "npm"), (None, "1", "npm")], "a string, b string, e string")
+    assert [r[0] for r in same.select(versions.compare(F.col("a"), F.col("b"), F.col("e"))).collect()] == [0, 0, 0, None]
+    assert column(spark, ["1.0.0", "1.0.0-rc.1", "1.0.0+build", "1.0.0rc1"], lambda c: versions.is_prerelease(c, F.lit("npm"))) == [False, True, False, True]
+    assert column(spark, ["3.0.0", "3.0.0rc1", "v3"], lambda c: versions.is_prerelease(c, F.lit("pypi"))) == [False, True, False]
+    pairs = spark.createDataFrame([("1.2.3", "2.0.0"), ("1.2.3", "1.3.0"), ("1.2.3", "1.2.4"), ("3.0", "3.0.0.4"), ("1", None)], "a string, b string")
+    assert [r[0] for r in pairs.select(versions.bump(F.col("a"), F.col("b"))).collect()] == ["major", "minor", "patch", "patch", None]
+    some = [["2.0.0", "1.9.0", None, "x", "1.10.0"]]
+    assert column(spark, some, lambda c: versions.lowest(c, F.lit("npm")), "array<string>") == ["1.9.0"]
+    assert column(spark, some, lambda c: versions.ordered(c, F.lit("npm")), "array<string>") == [["1.9.0", "1.10.0", "2.0.0"]]
+    assert column(spark, [["1.10.0", "1.9.0"]], lambda c: versions.lowest_listed(c, F.lit("npm")), "array<string>") == ["1.9.0"]
+    assert column(spark, [["1.10.0", "1.9.0"]], lambda c: versions.lowest_listed(c, F.lit("pypi")), "array<string>") == ["1.10.0"]
 
 
 def test_version_ranges(spark):
     rows = [("1.5.0", [{"introduced": "1.0.0"}, {"fixed": "2.0.0"}]), ("2.0.0", [{"introduced": "0"}, {"fixed": "2.0.0"}]), ("2.0.0", [{"introduced": "0"}, {"last_affected": "2.0.0"}]), ("3.0.0", [{"introduced": "0"}, {"fixed": "2.0.0"}, {"introduced": "2.5.0"}]), ("1.0.0", []), ("1.0.0", None), ("1.0.0", [None, {"introduced": "0"}])]
     df = spark.createDataFrame(rows, "v string, e array<map<string,string>>")
-    assert [r[0] for r in df.select(versions.within(F.col("v"), F.col("e"))).collect()] == [True, False, True, True, False, False, True]
+    assert [r[0] for r in df.select(versions.within(F.col("v"), F.col("e"), F.lit("npm"))).collect()] == [True, False, True, True, False, False, True]
 
 
 def test_detectors(spark):

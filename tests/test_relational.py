@@ -36,6 +36,13 @@ def test_row_numbers_and_prefix_rules(spark):
     df = spark.createDataFrame([(f"k{i:03d}",) for i in range(50)][::-1], "k string")
     got = relational.row_numbers(df, "k").collect()
     assert {r.k: r.n for r in got} == {f"k{i:03d}": i for i in range(50)}
+    # many partitions, and a key that a third of all rows share
+    many = spark.range(3_000_000).selectExpr("id", "case when id % 3 = 0 then 7 else hash(id) end as k")
+    numbered = relational.row_numbers(many, "k", name="at")
+    found = numbered.agg(F.count("*"), F.countDistinct("at"), F.min("at"), F.max("at")).first()
+    assert tuple(found) == (3_000_000, 3_000_000, 0, 2_999_999)
+    later = numbered.select("k", F.col("at").alias("n")).groupBy("k").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    assert later.orderBy("k").selectExpr("lo > lag(hi) over (order by k) as fine").where("not fine").isEmpty()
     names = spark.createDataFrame([("stripe",), ("@aws-sdk/s3",), ("x",), (None,)], "name string")
     assert rows(relational.prefix_rules(names, [("stripe", "Stripe")], [("@aws-sdk/", "AWS"), ("@", "other")])) == [("@aws-sdk/s3", "AWS"), ("stripe", "Stripe"), ("x", None), (None, None)]
 
