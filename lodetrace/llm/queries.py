@@ -6,6 +6,7 @@ QUERIES = {
     "p1_found": secrets.p1_found,
     "p1_redacted_files": secrets.p1_redacted_files,
     "p1_redacted_previews": secrets.p1_redacted_previews,
+    "p1_left_readable": secrets.p1_left_readable,
     "p2_found": advisory_groups.p2_found,
     "p6_found": licences.p6_found,
     "p7_found": leakage.p7_found,

@@ -9,52 +9,60 @@ import re
 from collections import Counter
 from typing import NamedTuple
 
+from .crf import Remembered
+
 # Public formats of credentials (rule name, pattern of the whole value).
 FORMATS = [
     ("aws-access-key", r"(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{16}"),
     ("github-pat", r"gh[posru]_[A-Za-z0-9]{36}"),
-    ("github-fine-grained-pat", r"github_pat_\w{82}"),
-    ("gitlab-pat", r"glpat-[\w-]{20}"),
+    ("github-fine-grained-pat", r"github_pat_[A-Za-z0-9_]{82}"),
+    ("gitlab-pat", r"glpat-[A-Za-z0-9_-]{20}"),
     ("stripe-secret", r"[rs]k_live_[A-Za-z0-9]{24,}"),
     ("slack-token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("slack-webhook", r"https://hooks\.slack\.com/services/T\w+/B\w+/\w{16,}"),
-    ("google-api-key", r"AIza[\w-]{35}"),
-    ("openai-key", r"sk-(?:proj-[\w-]{40,}|\w{20}T3BlbkFJ\w{20})"),
-    ("anthropic-key", r"sk-ant-[\w-]{24,}"),
+    ("slack-webhook", r"https://hooks\.slack\.com/services/T[A-Za-z0-9_]+/B[A-Za-z0-9_]+/[A-Za-z0-9_]{16,}"),
+    ("google-api-key", r"AIza[A-Za-z0-9_-]{35}"),
+    ("openai-key", r"sk-(?:proj-[A-Za-z0-9_-]{40,}|[A-Za-z0-9_]{20}T3BlbkFJ[A-Za-z0-9_]{20})"),
+    ("anthropic-key", r"sk-ant-[A-Za-z0-9_-]{24,}"),
     ("npm-token", r"npm_[A-Za-z0-9]{36}"),
-    ("pypi-token", r"pypi-AgEIcHlwaS[\w-]{16,}"),
+    ("pypi-token", r"pypi-AgEIcHlwaS[A-Za-z0-9_-]{16,}"),
     ("rubygems-key", r"rubygems_[a-f0-9]{48}"),
-    ("sendgrid-key", r"SG\.[\w-]{22}\.[\w-]{43}"),
+    ("sendgrid-key", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
     ("twilio-api-key", r"SK[a-f0-9]{32}"),
     ("digitalocean-token", r"dop_v1_[a-f0-9]{64}"),
     ("shopify-token", r"shp(?:at|ss|ca|pa)_[A-Fa-f0-9]{32}"),
-    ("square-access-token", r"sq0atp-[\w-]{22}|EAAA[\w-]{60}"),
+    ("square-access-token", r"sq0atp-[A-Za-z0-9_-]{22}|EAAA[A-Za-z0-9_-]{60}"),
     ("postman-key", r"PMAK-[a-f0-9]{24}-[a-f0-9]{34}"),
     ("newrelic-key", r"NRAK-[A-Z0-9]{27}"),
     ("databricks-token", r"dapi[a-f0-9]{32}"),
     ("doppler-token", r"dp\.(?:pt|st|sa|ct)\.[A-Za-z0-9]{40,44}"),
     ("huggingface-token", r"hf_[A-Za-z0-9]{34}"),
     ("linear-key", r"lin_api_[A-Za-z0-9]{40}"),
-    ("figma-token", r"figd_[\w-]{40,}"),
-    ("telegram-bot-token", r"\d{8,10}:AA[\w-]{32,33}"),
-    ("mailchimp-key", r"[a-f0-9]{32}-us\d{1,2}"),
-    ("terraform-token", r"[A-Za-z0-9]{14}\.atlasv1\.[\w=-]{60,}"),
-    ("planetscale-token", r"pscale_(?:pw|tkn)_[\w.-]{32,}"),
+    ("figma-token", r"figd_[A-Za-z0-9_-]{40,}"),
+    ("telegram-bot-token", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{32,33}"),
+    ("mailchimp-key", r"[a-f0-9]{32}-us[0-9]{1,2}"),
+    ("terraform-token", r"[A-Za-z0-9]{14}\.atlasv1\.[A-Za-z0-9_=-]{60,}"),
+    ("planetscale-token", r"pscale_(?:pw|tkn)_[A-Za-z0-9_.-]{32,}"),
     ("supabase-token", r"sbp_[a-f0-9]{40}"),
-    ("sentry-dsn", r"https://[a-f0-9]{32}@[\w.-]*ingest\.sentry\.io/\d+"),
+    ("sentry-dsn", r"https://[a-f0-9]{32}@[A-Za-z0-9_.-]*ingest\.sentry\.io/[0-9]+"),
     ("pulumi-token", r"pul-[a-f0-9]{40}"),
     ("grafana-token", r"glc_[A-Za-z0-9+/=]{32,}"),
     ("azure-storage-key", r"[A-Za-z0-9+/]{86}=="),
-    ("jwt", r"eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 ]
 _FORMAT = re.compile("|".join(f"(?P<f{i}>{p})" for i, (_, p) in enumerate(FORMATS)))
 
 # Words of values that stand for a credential without being one.
+_PLACE_WORDS = "example placeholder redacted removed dummy fake sample todo vault insert your changeme changeit".split()
+_PLACE_WHOLE = "none null nil true false undefined na n/a tbd secret password changeit test foo bar".split()
+#: Such a word as a part of a value: between marks, or where a capital follows; digits may end it.
 _PLACE = re.compile(
-    r"(?i)example|placeholder|change[-_ ]?(?:me|this)|replace[-_ ]?(?:me|this|with)|redacted|removed|dummy|fake|not[-_ ]?(?:a[-_ ]?)?real|sample|insert[-_ ]|your[-_ ]?|"
-    r"to[-_ ]?do\b|set[-_ ](?:by|in|via|me)|goes[-_ ]here|[-_ ]here\b|vault|xxxx|\*{3,}|\.{3}|0000000|12345678$|^(?:none|null|nil|true|false|undefined|n/?a|tbd|secret|password|changeit|test|foo|bar)$"
+    rf"(?:^|[^A-Za-z0-9]|(?<=[a-z])(?=[A-Z]))(?i:{'|'.join(_PLACE_WORDS)})[0-9]*(?=$|[^A-Za-z0-9]|(?<=[a-z])[A-Z])|EXAMPLE$|"
+    r"(?i:change[-_ ]?(?:me|this)|replace[-_ ]?(?:me|this|with)|not[-_ ]?(?:a[-_ ]?)?real|to[-_ ]do\b|set[-_ ](?:by|in|via|me)(?![a-z])|goes[-_ ]here|[-_ ]here\b)|"
+    rf"(?i:^(?:{'|'.join(_PLACE_WHOLE)})$)"
 )
-_REFER = re.compile(r"<\w[\w -]*>|^\$|^%\w+%$|^<[^>]*>$|^\[.*\]$|^\{\{|\$\{|\$\(|process\.env|os\.environ|os\.getenv|getenv\(|System\.|ENV\[|config\.|settings\.|secrets?\.|vault|load_|^@\w|\w\(.*\)$")
+#: A value blotted out, or a row of one character or of digits in order.
+_BLOT = re.compile(r"(?i:xxxx)|\*{3,}|\.{3}|0000000|12345678$")
+_REFER = re.compile(r"<\w[\w -]*>|^\$[A-Za-z_]\w*$|^%\w+%$|^<[^>]*>$|^\[.*\]$|^\{\{|\$\{|\$\(|process\.env|os\.environ|os\.getenv|getenv\(|System\.|ENV\[|config\.|settings\.|secrets?\.|vault[./:_]|load_|^@\w|\w\(.*\)$")
 _HEX = re.compile(r"[0-9a-fA-F]+$")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _HASHED = re.compile(r"sha\d{1,3}[-:=]", re.I)
@@ -65,12 +73,22 @@ _URL = r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s\"'`<>]*(?:<[\w -]+>[^\s\"'`<>]*)*"
 _RAW = re.compile(r"^\s*(?:[#;/]+\s*)?(?:export\s+|set\s+|-\s+)?[\w.-]+\s*(?:=|:(?=\s))\s*(?P<v>[^\s\"'`=>].*?)\s*$|<[A-Za-z][^<>]*>(?P<x>[^<>]+)</")
 _OUTER = re.compile(rf"(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+?-----)|(?P<q>{_QUOTED})|(?P<url>{_URL})|(?P<w>[A-Za-z0-9+/_-]{{16,}}={{1,2}}(?=$|[\s,;)<])|[A-Za-z0-9_+/~.\-]+)|(?P<p>[^\s])")
 #: What stands before a name that is looked up, not written out.
-LOOKUP = re.compile(r"(?:environ(?:\.get)?|[gG]etenv|process\.env|ENV|env|getProperty|get_secret|read_secret)\s*[\[(]\s*[\"'`]$")
+_LOOKUP = re.compile(r"(?:environ(?:\.get)?|[gG]etenv|process\.env|ENV|env|getProperty|get_secret|read_secret)\s*[\[(]\s*[\"'`]")
+_USER = re.compile(r"(?:-u|--user)\s+\S+?:['\"]?")
 _IDENT = re.compile(r"[A-Za-z_][\w.-]*$")
 _KEYWORD = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|auth|cred|private|signing|encryption|access|key")
 _NEUTRAL = re.compile(r"(?:id|name|type|scheme|hash|length|min|max|ttl|header|count|url|path|file|policy|expiry|field|label|sha|digest|checksum|integrity|etag|commit|ref|version|format|alg)s?$")
 #: A line without any of these holds no credential: it is labelled outside without decoding.
-WORTH = re.compile(r"(?i)pass|pwd|secret|token|key|auth|cred|-----|://[^/\s]*@|basic |bearer |(?<![\w/.-])\w[\w.+/:-]{15,}|-u\s|--user|[\"'`]\s*\+\s*[\"'`]")
+#: Words that announce one, marks around one, a long word, a word or literal that mixes
+#: letters with digits or symbols, literals put together; looked for in small letters.
+#: `tests/llm` compare with no such gate.
+WORTH = re.compile(
+    r"pass|pwd|secret|token|key|auth|cred|-----|://[^/\s]*@|basic |bearer |(?<![\w/.-])\w[\w.+/:-]{15,}|-u\s|--user|[\"'`]\s*\+\s*[\"'`]|\.join\(|(?:log_?in|sign_?in|connect|client|session)\w*\s*\(|"
+    r"(?<![\w.])(?=[^\s\"'`,;(){}\[\]<>]{8})(?:[a-z_]+[^\sa-z\"'`,;(){}\[\]<>]*[0-9]|[0-9]+[^\s0-9\"'`,;(){}\[\]<>]*[a-z])|[\"'`][^\s\"'`]*[a-z0-9][!#$%^&*?~][a-z0-9][^\s\"'`]*[\"'`]"
+)
+#: Calls and options that take a credential.
+_CALLEE = re.compile(r"(?i)log_?in|sign_?in|connect|auth|cred|dial|session|client")
+_OPTION = re.compile(r"-{1,2}(?:a|p|pw|pass\w*|auth\w*|token|secret|key)$")
 
 
 class Token(NamedTuple):
@@ -151,6 +169,10 @@ def tokens(line: str) -> list[Token]:
             return out
         elif m["w"]:
             out.append(Token(m.start(), m.end(), "word", m[0]))
+            if _OPTION.match(m[0]) and (arg := _ARGUMENT.match(line, m.end())):
+                out += _inner(line, arg.start(1), arg.end(1), "raw")
+                at = arg.end()
+                continue
         else:
             out.append(Token(m.start(), m.end(), "punct", m[0]))
         at = m.end()
@@ -158,27 +180,47 @@ def tokens(line: str) -> list[Token]:
 
 
 _QUOTED_ANY = re.compile(_QUOTED)
+_ARGUMENT = re.compile(r"\s+([^\s\"'`|&-][^\s\"'`|&]*)")
+_PLUS = re.compile(r"[\"'`]\s*(?:\+|\.|\\)?\s*[\"'`]")
+_LISTED = re.compile(r"[\"'`]\s*(?:\+|\.|\\|,)?\s*[\"'`]")
+
 
+def small(text: str) -> str:
+    """The text in small letters, of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
+
+@Remembered
 def format_of(value: str) -> str:
     m = _FORMAT.fullmatch(value)
     return FORMATS[int(m.lastgroup[1:])][0] if m else ""
 
 
-def placeholder(value: str) -> bool:
-    """Whether a value stands for a credential (masked, sample, to be replaced, referred to)."""
+@Remembered
+def unusable(value: str) -> bool:
+    """Whether a value cannot be a credential by its form: a reference to where one is kept,
+    blotted out, a row of few characters, or a documentation sample."""
     v = value.strip()
-    if _REFER.search(v) or _PLACE.search(v):
+    if _REFER.search(v) or _BLOT.search(v):
         return True
     body = re.sub(r"^[A-Za-z]{2,12}[-_]", "", v)
     return (len(body) >= 6 or body == v) and len(set(body)) <= 2 or v.endswith("EXAMPLE")
 
 
+@Remembered
+def placeholder(value: str) -> bool:
+    """Whether a value seems to stand for a credential, by its form or by its words."""
+    return unusable(value) or bool(_PLACE.search(value.strip()))
+
+
+@Remembered
 def entropy(s: str) -> float:
     n = len(s)
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
 
 
+@Remembered
 def shape(v: str) -> str:
     n = len(v)
     size = "1" if n < 4 else "2" if n < 8 else "3" if n < 12 else "4" if n < 20 else "5" if n < 32 else "6" if n <= 40 else "7" if n <= 64 else "8"
@@ -197,6 +239,7 @@ def shape(v: str) -> str:
     return f"{kind}|{size}"
 
 
+@Remembered
 def key_class(key: str) -> tuple[str, str]:
     """(normalised key, what its words say): a name ending in a neutral word names no credential."""
     k = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", key).lower()
@@ -216,6 +259,11 @@ def _decoded(v: str) -> str:
     return "sample" if placeholder(word) else "login"
 
 
+def looked_up(line: str) -> set[int]:
+    """Where names begin that are looked up, not written out."""
+    return {m.end() for m in _LOOKUP.finditer(line)}
+
+
 def token_features(toks: list[Token], line: str, block: str, body_next: bool) -> list[list[str]]:
     """Feature names of each token. `block`: kind of PEM block the line lies in;
     `body_next`: whether key material follows a BEGIN mark that ends this line."""
@@ -224,7 +272,7 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
     lits = [i for i, t in enumerate(toks) if t.kind == "quote"]
     run: list[int] = []
     for i in lits:
-        if run and re.fullmatch(r"[\"'`]\s*(?:\+|\.|\\)?\s*[\"'`]", line[toks[run[-1]].end : toks[i].start]):
+        if run and (_LISTED if ".join(" in line else _PLUS).fullmatch(line, toks[run[-1]].end, toks[i].start):
             run.append(i)
         else:
             run = [i]
@@ -232,14 +280,22 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
             v = "".join(toks[j].text for j in run)
             joined.update(dict.fromkeys(run, v))
     out = []
-    key, says, last_word = "", "none", ""
+    key, says, last_word, option = "", "none", "", ""
+    names = looked_up(line)
+    users = {m.end() for m in _USER.finditer(line)} if "-u" in line else ()
+    calls: list[list] = []  # open calls: kind of name, arguments so far
     comment = line.lstrip()[:1] in "#;" or line.lstrip()[:2] == "//"
     for i, t in enumerate(toks):
         before = toks[i - 1] if i else None
         f = [f"kind={t.kind}", f"block={block}"]
         if t.kind == "punct":
-            f.append(f"p={t.text}")
-            out.append(f)
+            out.append([*f, f"p={t.text}"])
+            if t.text == "(":
+                calls.append(["auth" if before and before.kind == "word" and _CALLEE.search(before.text) else "other", 0])
+            elif t.text == "," and calls:
+                calls[-1][1] += 1
+            elif t.text == ")" and calls:
+                calls.pop()
             continue
         v = joined.get(i, t.text)
         fm = format_of(v)
@@ -252,12 +308,16 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
             ctx = key_class(toks[i - 2].text)[1] if i > 1 else "none"
         ent = entropy(v)
         f += [f"fmt={fm or 'no'}|{ph}", f"any={bool(fm)}|{ph}", f"ph={ph}|{t.kind}", f"ctx={ctx}|{ph}|{t.kind}", f"sh={sh}|{ctx}", f"s={sh}", f"ent={int(ent * 2)}|{ctx}", f"key={key}|{ph}"]
-        f.append(f"pw={ctx}|{ph}|{len(v) >= 6}|{any(not c.islower() for c in v)}|{t.kind}")
+        f.append(f"pw={ctx}|{ph}|{len(v) >= 6}|{not (v.isalpha() and v.islower())}|{t.kind}")
         f.append(f"com={comment}|{bool(fm)}|{ph}")
-        f.append(f"lookup={bool(LOOKUP.search(line[: t.start]))}")
+        f.append(f"lookup={t.start in names}")
+        if t.kind == "quote" and calls:
+            f.append(f"call={calls[-1][0]}|{min(calls[-1][1], 3)}|{ph}|{sh}")
+        if option:
+            f.append(f"option={option}|{ph}|{t.kind}|{sh}")
         if last_word in ("basic", "bearer"):
             f.append(f"scheme={last_word}|{_decoded(v) if last_word == 'basic' else bool(fm)}|{ph}")
-        if i >= 2 and toks[i - 1].text in ":'\"" and re.search(r"(?:-u|--user)\s+\S+:['\"]?$", line[: t.start]):
+        if t.start in users:
             f.append(f"user={ph}")
         if t.kind in ("pem", "body"):
             m = _PEM.search(t.text)
@@ -269,6 +329,7 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
         if block != "none":
             f.append(f"in={block}|{key_material(t.text)}")
         out.append(f)
+        option = t.text if t.kind == "word" and _OPTION.match(t.text) else ""
         last_word = t.text.lower() if t.text.lower() in ("basic", "bearer") else ""
         nxt = line[t.end : t.end + 4].lstrip("\"'`]) ")[:1]
         name = t.text.lstrip("-")

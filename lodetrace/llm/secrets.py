@@ -4,8 +4,9 @@ Lines are cut into lexical tokens; a linear-chain CRF over shape, format and con
 labels each token outside or secret; Viterbi spans say exactly which characters of a literal
 are replaced. The model is trained here, on lines written by a seeded generator (keys, values
 and statements of its own in ten notations, with credentials, samples, references, masked
-values and hashes), so that every label is known. An exact check follows: a span that turns
-out to be a placeholder, or a key mark without a key body, is no credential.
+values and hashes), so that every label is known. An exact check of form follows: a span that
+is a reference, blotted out or a documentation sample, or a key mark without a key body, is
+no credential. What words a value is made of is for the model to weigh.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import base64
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..storage import spread, table
 from .crf import LinearChainCRF, feature_ids
-from .secret_lexer import _PEM, LOOKUP, WORTH, Token, format_of, key_material, placeholder, token_features, tokens
+from .secret_lexer import _PEM, WORTH, Token, format_of, key_material, looked_up, small, token_features, tokens, unusable
 
 #: Lines the model is trained on, and the seed they are written with.
 TRAIN_LINES, SEED = 10_000, 20
@@ -133,8 +135,34 @@ class Writer:
         ]
         return r.choice(forms)
 
+    def passed(self) -> str:
+        """A credential, or something else, as an argument of a call or command."""
+        r = self.r
+        S = lambda v: f"\x01{v}\x02"
+        w, v, n = r.choice(_WORDS), r.choice(_WORDS), r.randint(1, 99)
+        user, host = r.choice(["root", "admin", "app", "svc", w]), f"db.{v}.example"
+        pw = re.sub(r"[\"'`$\\<>%]", "7", self.password())
+        bare = re.sub(r"[^A-Za-z0-9_.-]", "7", pw)
+        q = r.choice("\"'")
+        do = r.choice(["connect", "login", "signIn", "log_in", "authenticate", "auth"])
+        token = self.vendor()
+        cut = r.randint(4, len(token) - 3)
+        return r.choice(
+            [
+                lambda: f"{w}.{do}({q}{user}{q}, {q}{S(pw)}{q})", lambda: f"{do}({q}{user}{q}, {q}{S(pw)}{q});", lambda: f"const {w} = new Client({q}{host}{q}, {q}{user}{q}, {q}{S(pw)}{q});",
+                lambda: f"{w} = Session.{do}({q}{host}{q}, {q}{user}{q}, {q}{S(pw)}{q})", lambda: f"requests.get(url, auth=HTTPBasicAuth({q}{user}{q}, {q}{S(pw)}{q}))",
+                lambda: f"redis-cli -a {S(bare)} ping", lambda: f"sshpass -p {q}{S(pw)}{q} ssh {user}@{host}", lambda: f"deploy --token {S(bare)} --env {v}",
+                lambda: f"const {w} = [{q}{S(token[:cut])}{q}, {q}{S(token[cut:])}{q}].join({q}{q});",
+                lambda: f"{w}.connect({q}{host}{q}, {q}{v}{q})", lambda: f"{do}({q}{user}{q}, {q}{v}{q})", lambda: f"{do}({q}{user}{q}, {v})", lambda: f"redis-cli -h {host} ping", lambda: f"redis-cli -a $REDIS_PASS ping", lambda: f"sshpass -p {q}<password>{q} ssh {user}@{host}",
+                lambda: f"{w}.put({q}{v}{q}, {n});", lambda: f"route({q}{w}{q}, {q}{v}-detail{q});", lambda: f"[{q}{w}{q}, {q}{v}{q}].join({q}-{q})", lambda: f"check({q}{w}{q}, {q}v{n}.{n}.2{q})", lambda: f"assertEquals({q}{w}{q}, {q}{self.hashed()}{q})",
+                lambda: f"{w}.get({q}{v}{n}{q})", lambda: f"say({q}{w} {v}!{q}, {n})", lambda: f"open({q}{w}-{n}.json{q})", lambda: f"render({q}{w}{n}{v}{q}, {q}#{self.chars(6, '0123456789abcdef')}{q})",
+            ]
+        )()
+
     def line(self) -> str:
         r = self.r
+        if r.random() < 0.06:
+            return self.passed()
         S = lambda v: f"\x01{v}\x02"
         sk, pk, nk = r.choice(_SECRET_KEYS), r.choice(_PLAIN_KEYS), r.choice(_NEUTRAL_KEYS)
         user, host = r.choice(_WORDS), f"db.{r.choice(_WORDS)}.example"
@@ -245,7 +273,7 @@ def trained(lines: int = TRAIN_LINES, seed: int = SEED) -> LinearChainCRF:
 # --- labelling texts ----------------------------------------------------------------------
 
 
-def _is_secret(t: Token, joined: str, block: str, body_next: bool, inline: bool) -> bool:
+def _is_secret(t: Token, block: str, body_next: bool, inline: bool) -> bool:
     """The exact check after decoding."""
     if t.kind == "pem":
         m = _PEM.search(t.text)
@@ -254,23 +282,22 @@ def _is_secret(t: Token, joined: str, block: str, body_next: bool, inline: bool)
         return key_material(t.text)
     if block != "none":
         return block == "private" and key_material(t.text)
-    return len(t.text) >= 3 and not placeholder(joined) and not placeholder(t.text)
+    return len(t.text) >= 3 and not unusable(t.text)
 
 
 def line_secrets(crf: LinearChainCRF, line: str, block: str = "none", body_next: bool = False) -> list[tuple[int, int, str, bool]]:
     """(start, end, rule, counts) of the secret spans of one line."""
-    if block == "none" and not WORTH.search(line):
-        return []
     toks = tokens(line)
     if not toks:
         return []
-    path = crf.viterbi([feature_ids(f) for f in token_features(toks, line, block, body_next)])
+    names = looked_up(line)
+    path = crf.decode(token_features(toks, line, block, body_next))
     out = []
     for i, (t, y) in enumerate(zip(toks, path)):
         if not y or t.kind == "punct":
             continue
         inline = i + 1 < len(toks) and toks[i + 1].kind == "body" and key_material(toks[i + 1].text)
-        if LOOKUP.search(line[: t.start]) or not _is_secret(t, t.text, block, body_next, inline):
+        if t.start in names or not _is_secret(t, block, body_next, inline):
             continue
         body = t.kind == "body" or block == "private"
         rule = "private-key" if t.kind == "pem" or body else format_of(t.text) or ("basic-auth-url" if t.kind == "pass" else "generic-secret")
@@ -309,10 +336,23 @@ def key_body(text: str, bounds: list[tuple[int, int]], no: int, mark: re.Match,
     return bool(first) or key_material(whole) and len(set(whole)) > 2, {n: (s, e) for n, s, e in (spans if closed else run)}
 
 
+def worth_lines(text: str, bounds: list[tuple[int, int]]) -> set[int]:
+    """Numbers of the lines that are decoded: those `WORTH` finds something in."""
+    hot, at, no = set(), 0, 0
+    low = small(text)
+    while m := WORTH.search(low, at):
+        no = bisect_right(bounds, (m.start(), len(text) + 1), no)
+        hot.add(no)
+        if bounds[no - 1][1] < m.end():  # a match over several lines
+            hot.update(range(no, bisect_right(bounds, (m.end(), 0), no) + 1))
+        if no == len(bounds):
+            break
+        at = bounds[no][0]
+    return hot
+
+
 def text_secrets(crf: LinearChainCRF, text: str) -> list[Secret]:
     """Every secret span of a text, by line; lines end at \\r\\n, \\n or \\r."""
-    if not WORTH.search(text):
-        return []
     bounds, at = [], 0
     for m in _BREAK.finditer(text):
         bounds.append((at, m.start()))
@@ -320,7 +360,10 @@ def text_secrets(crf: LinearChainCRF, text: str) -> list[Secret]:
     bounds.append((at, len(text)))
     out = []
     block, body = "none", {}
-    for no, (a, b) in enumerate(bounds, 1):
+    marked = "-----" in text
+    hot = worth_lines(text, bounds)
+    for no in range(1, len(bounds) + 1) if marked else sorted(hot):
+        a, b = bounds[no - 1]
         line = text[a:b]
         body_next = False
         marks = list(_PEM.finditer(line)) if "-----" in line else []
@@ -330,7 +373,7 @@ def text_secrets(crf: LinearChainCRF, text: str) -> list[Secret]:
             if "PRIVATE" not in marks[-1][2] or not (body_next or key_material(line[marks[-1].end() :])):
                 body = {}
             ours = ours or body.get(no)
-        found = [Secret(no, a + s, a + e, rule, counts) for s, e, rule, counts in line_secrets(crf, line, block, body_next)]
+        found = [Secret(no, a + s, a + e, rule, counts) for s, e, rule, counts in line_secrets(crf, line, block, body_next)] if no in hot or block != "none" else []
         out += joined([*found, Secret(no, *ours, "private-key", False)]) if ours else found
         if marks:
             block = "none" if marks[-1][1] == "END" else "private" if "PRIVATE" in marks[-1][2] else "public"
@@ -394,7 +437,8 @@ def find_secrets(df: DataFrame, row_id: str, text: str, with_text: bool = False)
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model()
         for pdf in batches:
-            got = [(i, *s) for i, t in zip(pdf["row_id"], pdf["text"]) for s in text_secrets(m, t)]
+            found = {t: text_secrets(m, t) for t in set(pdf["text"])}  # one content stands at several commits
+            got = [(i, *s) for i, t in zip(pdf["row_id"], pdf["text"]) for s in found[t]]
             yield pd.DataFrame(got, columns=["row_id", "line_no", "start", "end", "rule", "counts"])
 
     return src.where("text is not null and text <> ''").mapInPandas(spans, "row_id bigint, line_no int, start int, end int, rule string, counts boolean")
@@ -495,3 +539,13 @@ def p1_redacted_files(spark: SparkSession, root: str) -> DataFrame:
 def p1_redacted_previews(spark: SparkSession, root: str) -> DataFrame:
     """(row_id, redacted, spans): every preview without the credentials `p1_found` sees in it."""
     return redact_previews(table(spark, root, "file_secret_matches"), table(spark, root, "source_files"))
+
+
+def p1_left_readable(spark: SparkSession, root: str) -> DataFrame:
+    """(origin, found, left_readable): files and previews in which `p1_found` sees a credential,
+    and how many of them come out of redaction without any span, which should be none."""
+    found = p1_found(spark, root).select("origin", "row_id").distinct()
+    files = p1_redacted_files(spark, root).where("spans > 0").select(F.lit("source_files").alias("origin"), "row_id")
+    shown = p1_redacted_previews(spark, root).where("spans > 0").select(F.lit("file_secret_matches").alias("origin"), "row_id")
+    hidden = files.unionByName(shown).distinct().withColumn("hidden", F.lit(1))
+    return found.join(hidden, ["origin", "row_id"], "left").groupBy("origin").agg(F.count("*").alias("found"), F.count_if(F.col("hidden").isNull()).alias("left_readable"))

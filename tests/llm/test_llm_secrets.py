@@ -3,9 +3,9 @@ import itertools
 import numpy as np
 import pytest
 
-from lodetrace.llm.crf import LinearChainCRF, feature_ids
+from lodetrace.llm.crf import LinearChainCRF, Remembered, feature_ids
 from lodetrace.llm.secret_lexer import placeholder, tokens
-from lodetrace.llm.secrets import MASK, Writer, find_preview_secrets, find_secrets, labelled, line_secrets, p1_found, p1_redacted_previews, redact, redact_previews, text_secrets, trained
+from lodetrace.llm.secrets import MASK, Writer, find_preview_secrets, find_secrets, labelled, line_secrets, p1_found, p1_left_readable, p1_redacted_previews, redact, redact_previews, text_secrets, trained, worth_lines
 
 KEY = "AKIA" + "7ZLM7F5CY5SW2X6T"
 
@@ -23,7 +23,7 @@ def test_decoding_and_marginals_equal_enumeration():
         seq = [feature_ids([f"{i}", f"{i % 2}"]) for i in range(n)]
         paths = list(itertools.product((0, 1), repeat=n))
         s = np.array([score(m, seq, p) for p in paths])
-        assert tuple(m.viterbi(seq)) == paths[int(s.argmax())]
+        assert tuple(m.viterbi(seq)) == tuple(m.decode([[f"{i}", f"{i % 2}"] for i in range(n)])) == paths[int(s.argmax())]
         p = np.exp(s - s.max())
         p /= p.sum()
         got, pair = m._marginals(m.emissions(seq)[None], np.ones((1, n), bool))
@@ -149,3 +149,41 @@ def test_short_lines_of_a_private_key_are_body(crf):
     masked = sample.replace("your\nkey\nhere", "\n".join(["xxxxxxxxxxxxxxxx"] * 4))
     for text in (sample, masked, sample.replace("your", "...")):
         assert text_secrets(crf, text) == []
+
+
+@pytest.mark.parametrize(
+    ("line", "secret"),
+    [
+        ('db.connect("root", "Tr0ub4dor&3x")', ["Tr0ub4dor&3x"]), ('login("admin", "kQ7#mZ2!pW")', ["kQ7#mZ2!pW"]), ("redis-cli -a Kx9#pQ2mZ7 ping", ["Kx9#pQ2mZ7"]),
+        ('["AKIAQ7ZP", "LM2XK9TR4WVB"].join("")', ["AKIAQ7ZP", "LM2XK9TR4WVB"]), ('password = "Vaulted-9x-Kite"', ["Vaulted-9x-Kite"]), ('db_password: "sample99Kite!x"', ["sample99Kite!x"]),
+        ('password = "fakenham-71-Xr"', ["fakenham-71-Xr"]), ('password = "$4GWbHLXHaCc1ZL9XG"', ["$4GWbHLXHaCc1ZL9XG"]), ('password = "fake_ember_secret"', []), ('api_key = "dummy42"', []), ('login("admin", "home")', []),
+        ("redis-cli -a $REDIS_PASS ping", []), ('password = "$DB_PASSWORD"', []), ('check("ember", "v1.2.3")', []),
+    ],
+)
+def test_credentials_in_calls_options_and_parts(crf, line, secret):
+    assert [line[a:b] for a, b, *_ in line_secrets(crf, line)] == secret
+
+
+def test_lines_passed_over_without_decoding_hold_nothing(crf):
+    w, over, wrong, lost = Writer(99), 0, 0, []
+    for _ in range(4000):
+        line, spans = labelled(w.line())
+        if not worth_lines(line, [(0, len(line))]):
+            over += 1
+            lost += [line] if spans else []
+            wrong += bool(line_secrets(crf, line))
+    assert worth_lines("\u0130\n\u0130 PassWord\nx\n'a'\n +\n'b'", [(0, 1), (2, 12), (13, 14), (15, 18), (19, 21), (22, 25)]) == {2, 4, 5, 6}
+    assert over > 50 and not lost and wrong < 0.02 * over
+
+
+def test_nothing_found_stays_readable(spark):
+    got = {r.origin: r for r in p1_left_readable(spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {"source_files", "file_secret_matches"} and all(r.found and not r.left_readable for r in got.values())
+
+
+def test_results_kept_are_not_shipped():
+    from pyspark import cloudpickle
+
+    f = Remembered(len)
+    assert [f("ab"), f("ab"), f("")] == [2, 2, 0] and len(f.seen) == 2
+    assert cloudpickle.loads(cloudpickle.dumps(f)).seen == {}
