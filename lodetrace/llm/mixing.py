@@ -3,20 +3,21 @@
 Every document is measured with a public tokenizer. A source's budget is its share of all
 tokens. What whole repeats of the source cover is taken whole; the rest, smaller than one
 repeat, is filled with single further uses: first, in bulk, documents in a seeded order up to
-a bounded distance from the budget, then a bounded knapsack over how many documents there are
-of each exact length fits what is left as closely as a subset sum can. Documents of a length
+a bounded distance from the budget, then a bounded knapsack over how many unused documents
+there are of each exact length fits what is left as closely as a subset sum can. Documents of a length
 are exchangeable, so the chosen count of each length is taken in the seeded order.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut, spread, table
@@ -53,32 +54,32 @@ def fit_budget(lengths: dict[int, int], budget: int) -> dict[int, int]:
     the greatest not above `budget`: bounded knapsack over the reachable totals.
 
     Each length's count is split into powers of two; reachable totals are one bit each of a
-    big integer, so a step is a shift and an or; the choice is read back from the layers.
+    big integer, so a step is a shift and an or. Of each total only the step that first
+    reached it is kept, from which the choice is read back.
     """
     if budget <= 0:
         return {}
     full = (1 << (budget + 1)) - 1
-    items = []
+    first = np.full(budget + 1, -1, np.int32)
+    items, now = [], 1
     for n, c in sorted(lengths.items(), reverse=True):
-        c = min(c, budget // n) if n > 0 else 0
-        k = 1
-        while c > 0:
+        c, k = min(c, budget // n) if n > 0 else 0, 1
+        while c > 0 and not now >> budget & 1:
             t = min(k, c)
-            items.append((n, t))
+            new = (now << (n * t)) & full & ~now
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8), bitorder="little")[: budget + 1]
+                first[np.flatnonzero(bits)] = len(items)
+                items.append((n, t))
+                now |= new
             c -= t
             k *= 2
-    layers, now = [], 1
-    for n, t in items:
-        layers.append(now)
-        now |= (now << (n * t)) & full
-        if now >> budget & 1:
-            break
     total = now.bit_length() - 1
     take: dict[int, int] = {}
-    for (n, t), before in zip(reversed(items[: len(layers)]), reversed(layers)):
-        if not before >> total & 1:
-            take[n] = take.get(n, 0) + t
-            total -= n * t
+    while total:
+        n, t = items[first[total]]
+        take[n] = take.get(n, 0) + t
+        total -= n * t
     return take
 
 
@@ -149,25 +150,24 @@ def _bulk(mine: DataFrame, rest: dict[str, int], knapsack_tokens: int) -> tuple[
     return taken, left
 
 
-def _drawn(mine: DataFrame, left: dict[str, int], knapsack_tokens: int) -> dict[str, int]:
-    """Per source, the place up to which `mine` holds enough documents for the knapsack: those
-    of at most `left` tokens, twice `left` together and no fewer than the knapsack's bound."""
-    span = {s: (0, SPACE) for s, n in left.items() if n > 0}
-    drawn, held = dict.fromkeys(left, 0), dict.fromkeys(left, 0)
-    while span:
-        for s, lo, hi, width, got in list(_pieces(mine, span, left)):
-            wanted = max(2 * left[s], knapsack_tokens)
-            at = 0
-            edge = lambda k: min(hi, lo + k * width)
-            while edge(at) < hi and held[s] < wanted and (width == 1 or held[s] + got.get(at, 0) <= wanted + 4 * knapsack_tokens):
-                held[s] += got.get(at, 0)
-                at += 1
-            drawn[s] = edge(at)
-            if held[s] < wanted and drawn[s] < SPACE:
-                span[s] = (drawn[s], edge(at + 1)) if drawn[s] < hi else (hi, SPACE)
-            else:
-                del span[s]
-    return drawn
+def _picked(rest: DataFrame, chosen: list[tuple[str, int, int, int]]) -> DataFrame:
+    """Of each (source, length) of chosen(source, length, documents there are, documents to take)
+    the first documents of the seeded order, ranked among few more than are taken: places are
+    even, so a stretch of the order holds enough of them; where it does not, all are ranked."""
+    spark = rest.sparkSession
+    room = lambda have, take: SPACE if (want := take + 6 * math.isqrt(take) + 50) >= have else SPACE * want // have
+    upto = {(s, n): room(have, take) for s, n, have, take in chosen}
+    while True:
+        rows = [(s, n, take, upto[s, n]) for s, n, _, take in chosen]
+        picks = F.broadcast(spark.createDataFrame(rows, "source string, n_tokens bigint, take bigint, upto bigint"))
+        near = rest.join(picks, ["source", "n_tokens"]).where("o < upto")
+        got = {(r.source, r.n_tokens): r["count"] for r in near.groupBy("source", "n_tokens").count().collect()}
+        short = [(s, n) for s, n, _, take in chosen if got.get((s, n), 0) < take]
+        if not short:
+            break
+        upto.update(dict.fromkeys(short, SPACE))
+    rank = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("o", "doc_id"))
+    return near.withColumn("rank", rank).where("rank <= take").select("doc_id", F.lit(1).alias("once"))
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, knapsack_tokens: int = KNAPSACK_TOKENS) -> DataFrame:
@@ -176,14 +176,16 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, knapsack_tok
     `docs` has doc_id, source and n_tokens; `targets` source, target_share and max_repeats.
     Sources without documents and documents of sources without target contribute nothing;
     documents without tokens are never used. A source too small for its share is used whole
-    `max_repeats` times. Repeated rows count as one document each. The driver holds, per
-    source of `targets`, `PIECES` sums and one count per token length the knapsack draws on.
+    `max_repeats` times. Rows of one doc_id count as one document, the least of them; rows
+    without doc_id are never used but count in the total. The driver holds, per source of `targets`, `PIECES` sums and
+    one count per token length of what may still be used.
     """
     spark = docs.sparkSession
     order = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SPACE))
-    d = cut(docs.where("source is not null and doc_id is not null").select("doc_id", "source", "n_tokens", order.alias("o")))
+    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d"))
+    d = cut(one.select("doc_id", "d.source", "d.n_tokens", order.alias("o")))
     goals = [(r.source, r.target_share, r.max_repeats) for r in targets.where("source is not null").dropDuplicates(["source"]).collect()]
-    total = docs.agg(F.sum("n_tokens")).first()[0] or 0
+    total = sum(x.agg(F.sum("n_tokens")).first()[0] or 0 for x in (d, docs.where("doc_id is null")))
     named = spark.createDataFrame([(g[0],) for g in goals], "source string")
     mine = d.where("n_tokens > 0").join(F.broadcast(named), "source", "left_semi")
     # partial sums before the shuffle are as few as the sources, however hot one of them is
@@ -195,19 +197,12 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, knapsack_tok
     mine = mine.join(F.broadcast(bounds), "source").alias("m").join(F.broadcast(stretches.alias("b")), F.expr("m.source = b.source and o >= lo and o < hi and n_tokens <= cap"), "left")
     mine = mine.select("m.*", F.col("lo").isNotNull().alias("bulk"))
     rest = mine.where("not bulk and n_tokens <= left").select("doc_id", "source", "n_tokens", "o")
-    drawn = spark.createDataFrame(list(_drawn(rest, left, knapsack_tokens).items()), "source string, drawn bigint")
-    pool = rest.join(F.broadcast(drawn), "source").where("o < drawn")
+    # lengths are exact and no longer than what is left: as many at most as it has tokens
     lengths: dict[str, dict[int, int]] = {}
-    for r in pool.groupBy("source", "n_tokens").count().collect():
+    for r in rest.groupBy("source", "n_tokens").count().collect():
         lengths.setdefault(r.source, {})[r.n_tokens] = r["count"]
-    chosen = [(s, n, c) for s in lengths for n, c in fit_budget(lengths[s], left[s]).items()]
-    picks = spark.createDataFrame(chosen, "source string, n_tokens bigint, take bigint")
-    # the pool holds a bounded number of tokens per source, and so do its windows
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy("o", "doc_id"))
-    extra = pool.join(F.broadcast(picks), ["source", "n_tokens"]).withColumn("rank", rank).where("rank <= take").select("doc_id", "o", F.lit(1).alias("once")).distinct()
-    out = mine.join(extra, ["doc_id", "o"], "left")
+    chosen = [(s, n, lengths[s][n], c) for s in lengths for n, c in fit_budget(lengths[s], left[s]).items()]
+    out = mine.join(_picked(rest, chosen), "doc_id", "left")
     repeats = F.col("whole") + F.when(F.col("bulk"), 1).otherwise(F.coalesce("once", F.lit(0)))
     return out.select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats")).where("repeats > 0")
 
@@ -217,7 +212,7 @@ def mix_shares(docs: DataFrame, targets: DataFrame, mixed: DataFrame) -> DataFra
     shares are of all tokens of `docs`."""
     total = docs.agg(F.sum("n_tokens").alias("all_tokens"))
     used = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
-    t = targets.select("source", "target_share").join(used, "source", "left").join(F.broadcast(total))
+    t = targets.select("source", "target_share").join(used, "source", "left").crossJoin(F.broadcast(total))  # one row
     tokens = F.coalesce("tokens", F.lit(0))
     return t.select("source", "target_share", F.coalesce("documents", F.lit(0)).alias("documents"), tokens.alias("tokens"), (tokens / F.col("all_tokens")).alias("reached_share"))
 

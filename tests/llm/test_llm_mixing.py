@@ -69,3 +69,23 @@ def test_long_documents_do_not_end_the_filling(spark):
         for seed in (1, 2):
             got = mix_sources(docs, targets, seed, knapsack_tokens=100).collect()
             assert all(r.repeats == 1 for r in got) and sum(r.n_tokens for r in got) == want, (want, seed)
+
+
+def test_every_unused_length_counts_and_ids_once(spark):
+    # one short document far back in the order, many long ones, an id that comes three times
+    rows = [(i, "a", 400) for i in range(50)] + [(100 + i, "a", 10) for i in range(40)] + [(500, "a", 5)] + [(7, "a", 400)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint")
+    total = 50 * 400 + 40 * 10 + 5
+    targets = spark.createDataFrame([("a", 305 / total, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(4):
+        got = mix_sources(docs, targets, seed, knapsack_tokens=100).collect()
+        assert sum(r.n_tokens * r.repeats for r in got) == 305 and len({r.doc_id for r in got}) == len(got)
+    once = spark.createDataFrame([(1, "a", 10)] * 3 + [(2, "b", 10)], "doc_id bigint, source string, n_tokens bigint")
+    got = mix_sources(once, spark.createDataFrame([("a", 0.5, 1)], "source string, target_share double, max_repeats int")).collect()
+    assert [(r.doc_id, r.n_tokens, r.repeats) for r in got] == [(1, 10, 1)]
+
+
+def test_long_budget_needs_little_memory():
+    lengths = {n: 3 for n in range(300, 4_000, 7)}
+    take = fit_budget(lengths, 900_001)
+    assert sum(n * c for n, c in take.items()) == 900_001 and all(c <= lengths[n] for n, c in take.items())
