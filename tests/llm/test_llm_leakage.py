@@ -9,7 +9,7 @@ ITEMS = [(0, P0, "block kelp"), (1, P1, "block moss"), *((10 + i, p, "keep") for
 
 
 def found(text):
-    return [h.item for h in LeakScanner(ITEMS).scan(text)]
+    return [h.item for h in LeakScanner(ITEMS).scan(text) if h.kind == "passage"]
 
 
 def test_whole_cased_marked_up_and_wrapped():
@@ -52,12 +52,41 @@ def test_words_and_spans_agree():
         assert [words(t[a:b]) for a, b in word_spans(t) if "<" not in t] == ([[w] for w in words(t)] if "<" not in t else [])
 
 
-def test_blocks_and_passages_of_one_item(spark, monkeypatch):
+def test_blocks_and_passages_of_one_item(spark):
     texts = [P0, P1, P0.replace("mirror kept", "mirror worker"), *(p.replace("broken", "loader") for p in OTHERS), *OTHERS, P0.replace("broken", "failed")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     items = spark.createDataFrame([*ITEMS, (0, OTHERS[0].replace("90", "33"), "block kelp"), (0, P1, "other")], "item_id bigint, passage string, answer string")
     whole = sorted(map(tuple, find_leaks(docs, items).collect()))
-    monkeypatch.setattr("lodetrace.llm.leakage.BLOCK_ITEMS", 2)
-    assert sorted(map(tuple, find_leaks(docs, items).collect())) == whole
-    pairs = {(d, i) for d, i, *_ in whole}
+    assert sorted(map(tuple, find_leaks(docs, items, most_chars=300).collect())) == whole
+    pairs = {(d, i) for d, i, kind, *_ in whole}
     assert {(0, 0), (1, 0), (1, 1)} <= pairs and len(pairs) == len(whole)
+
+
+def test_answers_alone_and_long_tags():
+    hits = LeakScanner(ITEMS).scan("As they said: Block, KELP! And more.")
+    assert [(h.kind, h.item, h.first, h.last) for h in hits] == [("answer", 0, 3, 4)]
+    assert [h.kind for h in LeakScanner(ITEMS).scan(P0 + " block kelp")] == ["passage"] and LeakScanner(ITEMS).scan("keep it") == []
+    tag = '<span class="' + "wide " * 40 + '" data-x=1 hidden>'
+    assert found(P0.replace("nested", tag + "nested</span>")) == [0]
+    assert words("if a <b and c> d or List<int> <b") == words("if a   d or List  <b") and words("<" * 50_000 + "a " * 50_000)[:2] == ["a", "a"]
+
+
+def test_stretches_equal_a_search_without_shortcuts():
+    """Every stretch the scanner may report, by trying all of them."""
+    r = random.Random(8)
+    scanner = LeakScanner(ITEMS)
+    for n in range(60):
+        ws = words(r.choice([P0, P1, *OTHERS]))
+        for _ in range(r.randint(0, 8)):
+            i = r.randrange(len(ws))
+            ws[i : i + r.randint(0, 1)] = r.choice([[], ["filler"], [ws[r.randrange(len(ws))]]])
+        cut = ws[r.randrange(6) : len(ws) - r.randrange(14)]
+        for k, (item, passage) in enumerate(scanner.items):
+            need = max(12, -(-len(passage) // 3))
+            if len(passage) < need:
+                continue
+            where = {}
+            for j, w in enumerate(cut):
+                where.setdefault(w, []).append(j)
+            plain = scanner._chain(passage, [w in scanner.own for w in passage], 0, len(passage), cut, where, need)
+            assert scanner._stretch(passage, cut, 0, len(cut), need) == plain, n
