@@ -162,22 +162,36 @@ def x_prerelease(spark, root):
     return t.select("ecosystem", "name", "version", F.coalesce(versions.is_prerelease(F.col("version"), F.col("ecosystem")), F.lit(False)).alias("prerelease")).distinct()
 
 
-@query("""
-SELECT DISTINCT file_id, s AS specifier, regexp_extract(s, '^(@[^/]+/[^/]+|[^@/][^/]*)', 1) AS package
-FROM (SELECT file_id, unnest(regexp_extract_all(content, '(?:\\brequire\\(\\s*|\\bimport\\(\\s*|\\bfrom\\s+|\\bimport\\s+)[''"]([^''"]+)[''"]', 1)) AS s FROM source_files WHERE content IS NOT NULL)
-WHERE s NOT LIKE '.%' AND s NOT LIKE '/%' AND s NOT LIKE 'node:%' AND s <> ''""")
+# a token for DuckDB: comments, strings, templates, names, numbers, single characters
+_TOKEN = r"""//[^\n\r]*|/\*(?:[^*]|\*+[^*/])*\*+/|"(?:[^"\\\n\r]|\\[\s\S])*"|'(?:[^'\\\n\r]|\\[\s\S])*'|`(?:[^`\\]|\\[\s\S])*`|[A-Za-z_$][\w$]*|[0-9][\w.]*|[^\s\w]""".replace("'", "''")
+_LEXED = f"""
+toks AS (SELECT file_id, list_filter(regexp_extract_all(content, '{_TOKEN}'), lambda t: NOT starts_with(t, '//') AND NOT starts_with(t, '/*')) AS t FROM source_files WHERE content IS NOT NULL),
+lex AS (SELECT file_id, ';' || chr(1) || array_to_string(t, chr(1)) || chr(1) AS x FROM toks
+  WHERE len(list_filter(t, lambda c: c = '(')) = len(list_filter(t, lambda c: c = ')')) AND len(list_filter(t, lambda c: c = '[')) = len(list_filter(t, lambda c: c = ']')) AND len(list_filter(t, lambda c: c = '{{')) = len(list_filter(t, lambda c: c = '}}'))),
+mods AS (SELECT DISTINCT file_id, x AS specifier FROM (
+  SELECT file_id, unnest(regexp_extract_all(x, '\\x01import\\x01["'']([^"''\\\\\\x01]+)["'']\\x01', 1)) AS x FROM lex
+  UNION ALL SELECT file_id, unnest(regexp_extract_all(x, '\\x01(?:import|export)\\x01(?:[^;"''`=()\\x01]+\\x01)*?from\\x01["'']([^"''\\\\\\x01]+)["'']\\x01', 1)) FROM lex
+  UNION ALL SELECT file_id, unnest(regexp_extract_all(x, '(?:[^.]\\x01require|\\x01import)\\x01\\(\\x01["'']([^"''\\\\\\x01]+)["'']\\x01', 1)) FROM lex))"""
+
+
+@query(f"""
+WITH {_LEXED}
+SELECT file_id, specifier, regexp_extract(specifier, '^(@[^/]+/[^/]+|[^@/][^/]*)', 1) AS package FROM mods
+WHERE specifier NOT LIKE '.%' AND specifier NOT LIKE '/%' AND specifier NOT LIKE 'node:%'""")
 def d_imports(spark, root):
     """Packages that source files import."""
     t = table(spark, root, "source_files").where("content is not null").select("file_id", F.explode(detectors.imported(F.col("content"))).alias("specifier"))
     return t.withColumn("package", packages.specifier_package(F.col("specifier"))).where("package is not null").distinct()
 
 
-def _signals_sql() -> str:
-    cols = ", ".join("CASE WHEN regexp_matches(content, '{}') THEN '{}' END".format(p.replace("'", "''"), n) for n, p in detectors.CODE_SIGNALS)
-    return f"SELECT file_id, signal FROM (SELECT file_id, unnest([{cols}]) AS signal FROM source_files WHERE content IS NOT NULL) WHERE signal IS NOT NULL"
-
-
-@query(_signals_sql())
+@query(f"""
+WITH {_LEXED}
+SELECT file_id, 'child-process' AS signal FROM mods WHERE specifier IN ('child_process', 'node:child_process', 'vm', 'node:vm')
+UNION SELECT file_id, 'network' FROM mods WHERE specifier IN ('http', 'https', 'net', 'dgram', 'dns', 'tls', 'node:http', 'node:https', 'node:net', 'node:dns')
+UNION SELECT file_id, 'network' FROM lex WHERE regexp_matches(x, '[^.]\\x01fetch\\x01\\(')
+UNION SELECT file_id, 'dynamic-eval' FROM lex WHERE regexp_matches(x, '[^.]\\x01eval\\x01\\(|\\x01new\\x01Function\\x01')
+UNION SELECT file_id, 'env-access' FROM lex WHERE regexp_matches(x, '[^.]\\x01process\\x01(\\.\\x01env|\\[\\x01["'']env["'']\\x01\\])\\x01')
+UNION SELECT file_id, 'obfuscation' FROM lex WHERE regexp_matches(x, '[^.]\\x01Buffer\\x01\\.\\x01from\\x01\\(\\x01([^;\\x01]+\\x01)*?["'']base64["'']\\x01')""")
 def d_code_signals(spark, root):
     """What source files can do: start processes, evaluate, reach the network or environment."""
     return table(spark, root, "source_files").where("content is not null").select("file_id", F.explode(detectors.code_signals(F.col("content"))).alias("signal"))

