@@ -24,6 +24,11 @@ def pypi_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[-_.]+", "-")
 
 
+def normal_name(ecosystem: Column, name: Column) -> Column:
+    """A name as its ecosystem compares it."""
+    return F.when(F.lower(ecosystem) == "pypi", pypi_name(name)).otherwise(name)
+
+
 def _percent(c: Column) -> Column:
     """Percent-encoding that leaves the marks bare which encodeURIComponent leaves bare."""
     e = F.url_encode(c)

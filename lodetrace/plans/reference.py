@@ -371,17 +371,19 @@ def j_fixed_versions(spark, root):
 
 
 @query("""
-WITH pop AS (SELECT lower(name) AS target, row_number() OVER (ORDER BY count(DISTINCT project_id) DESC, lower(name)) AS rank FROM dependency_nodes WHERE name IS NOT NULL GROUP BY lower(name) HAVING count(DISTINCT project_id) >= 3),
-n AS (SELECT DISTINCT name FROM registry_docs WHERE name IS NOT NULL AND lower(name) NOT IN (SELECT target FROM pop)),
+WITH used AS (SELECT lower(name) AS target, count(DISTINCT project_id) AS c FROM dependency_nodes WHERE name IS NOT NULL GROUP BY lower(name) HAVING count(DISTINCT project_id) >= 2),
+pop AS (SELECT target, row_number() OVER (ORDER BY c DESC, target) AS rank FROM used),
+n AS (SELECT DISTINCT name FROM (SELECT name FROM registry_docs UNION SELECT package_name FROM documents UNION SELECT name FROM dependency_nodes) WHERE name IS NOT NULL AND lower(name) NOT IN (SELECT target FROM pop)),
 c AS (SELECT n.name, target, rank, levenshtein(lower(n.name), target) AS d FROM n, pop WHERE length(target) >= 5 AND abs(length(n.name) - length(target)) <= 2)
 SELECT name, target, d::INTEGER AS distance FROM c WHERE d <= CASE WHEN least(length(name), length(target)) >= 7 THEN 2 ELSE 1 END
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY d, rank, target) = 1""")
 def j_lookalikes(spark, root):
-    """Registry names within two edits of a name that three or more projects use."""
+    """Names of all tables within two edits of a name that two or more projects use."""
     d = table(spark, root, "dependency_nodes").where("name is not null")
-    used = d.groupBy(F.lower("name").alias("name")).agg(F.countDistinct("project_id").alias("c")).where("c >= 3")
+    used = d.groupBy(F.lower("name").alias("name")).agg(F.countDistinct("project_id").alias("c")).where("c >= 2")
     ranked = relational.row_numbers(used.withColumn("neg", -F.col("c")), "neg", "name", name="rank").select("name", "rank")
-    return lookalike.lookalikes(table(spark, root, "registry_docs").select("name"), ranked)
+    names = table(spark, root, "registry_docs").select("name").unionByName(table(spark, root, "documents").select(F.col("package_name").alias("name"))).unionByName(d.select("name"))
+    return lookalike.lookalikes(names, ranked)
 
 
 @query("SELECT DISTINCT name FROM registry_docs WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM dependency_nodes WHERE name IS NOT NULL)")
@@ -397,25 +399,6 @@ def j_projects_with_both(spark, root):
     return table(spark, root, "finding_snapshots").select("project_id").distinct().join(table(spark, root, "dependency_nodes").select("project_id").distinct(), "project_id", "left_semi")
 
 
-@query("""
-SELECT DISTINCT name, CASE WHEN name LIKE '@%' THEN 'scoped' WHEN name LIKE 's%' THEN 'group-s' WHEN name LIKE 't%' THEN 'group-t' END AS service FROM dependency_nodes WHERE name IS NOT NULL""")
-def j_prefix_rules(spark, root):
-    """The first prefix rule each package name fits."""
-    names = table(spark, root, "dependency_nodes").where("name is not null").select("name").distinct()
-    return relational.prefix_rules(names, [], [("@", "scoped"), ("s", "group-s"), ("t", "group-t")])
-
-
-@query("""
-WITH r AS (SELECT upper(left(h, 5)) AS prefix, upper(substring(h, 6)) AS suffix, n FROM (SELECT sha1(value) AS h, count(*) AS n FROM file_secret_matches WHERE password AND value IS NOT NULL GROUP BY value))
-SELECT DISTINCT v.value, r.n AS count FROM file_secret_matches v JOIN r ON upper(left(sha1(v.value), 5)) = r.prefix AND upper(substring(sha1(v.value), 6)) = r.suffix""")
-def j_breached(spark, root):
-    """Values found in hash ranges made of the scanner's own passwords."""
-    m = table(spark, root, "file_secret_matches")
-    h = F.upper(F.sha1("value"))
-    ranges = m.where("password and value is not null").groupBy("value").agg(F.count("*").alias("count")).select(F.left(h, F.lit(5)).alias("prefix"), F.substring(h, 6, 40).alias("suffix"), "count")
-    return advisories.breached(m.select("value"), ranges)
-
-
 @query("""
 WITH RECURSIVE n AS (SELECT project_id AS g, package_key AS k, coalesce(bool_or(direct), false) AS direct FROM dependency_nodes WHERE project_id IS NOT NULL AND package_key IS NOT NULL GROUP BY 1, 2),
 raw AS (SELECT project_id AS g, package_key AS a, unnest(dependencies) AS b FROM dependency_nodes UNION SELECT project_id, unnest(parents), package_key FROM dependency_nodes),

@@ -33,7 +33,9 @@ def sarif(findings: DataFrame, tool: str = "lodetrace") -> DataFrame:
     return results.join(rules, "project_id").select("project_id", _json(F.lit("2.1.0").alias("version"), F.array(run).alias("runs")).alias("document"))
 
 
-def _packages(nodes: DataFrame) -> DataFrame:
+def components(nodes: DataFrame) -> DataFrame:
+    """Packages of each project once, with their number, purl and scopes. Numbers follow the keys
+    within a project, whose short rows meet in one task."""
     n = nodes.where("project_id is not null and package_key is not null").groupBy("project_id", "package_key").agg(
         F.min("ecosystem").alias("ecosystem"), F.min("name").alias("name"), F.min("version").alias("version"), F.coalesce(F.bool_or("direct"), F.lit(False)).alias("direct"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("scopes", F.array().cast("array<string>")))))).alias("scopes")
     )
@@ -48,9 +50,23 @@ def _children(nodes: DataFrame, packs: DataFrame, by: str) -> DataFrame:
     return links.join(a, ["project_id", "package_key"]).join(b, ["project_id", "child"]).groupBy("project_id", "parent").agg(F.array_sort(F.collect_set("ref")).alias("children"))
 
 
+def relationships(nodes: DataFrame) -> DataFrame:
+    """(project_id, source, relation, target): the document describes the root, the root depends
+    on direct packages, and packages on those of their dependencies that are in the project."""
+    packs = nodes.where("project_id is not null and package_key is not null").groupBy("project_id", "package_key").agg(F.coalesce(F.bool_or("direct"), F.lit(False)).alias("direct"))
+    row = lambda df, a, r, b: df.select("project_id", a.alias("source"), F.lit(r).alias("relation"), b.alias("target"))
+    links = nodes.select("project_id", "package_key", F.explode("dependencies").alias("child")).distinct()
+    there = links.join(packs.select("project_id", "package_key"), ["project_id", "package_key"], "left_semi").join(packs.select("project_id", F.col("package_key").alias("child")), ["project_id", "child"], "left_semi")
+    return (
+        row(packs.select("project_id").distinct(), F.lit("DOCUMENT"), "DESCRIBES", F.lit("ROOT"))
+        .unionByName(row(packs.where("direct"), F.lit("ROOT"), "DEPENDS_ON", F.col("package_key")))
+        .unionByName(row(there, F.col("package_key"), "DEPENDS_ON", F.col("child")))
+    )
+
+
 def spdx(nodes: DataFrame) -> DataFrame:
     """(project_id, document): an SPDX 2.3 document of each project's packages."""
-    packs = _packages(nodes)
+    packs = components(nodes)
     listed = packs.groupBy("project_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("ref").alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator"))).alias("externalRefs")))).alias("packages"),
         F.array_sort(F.collect_list(F.when(F.col("direct"), F.struct(F.lit("SPDXRef-Root").alias("spdxElementId"), F.lit("DEPENDS_ON").alias("relationshipType"), F.col("ref").alias("relatedSpdxElement"))))).alias("roots"),
@@ -63,7 +79,7 @@ def spdx(nodes: DataFrame) -> DataFrame:
 
 def cyclonedx(nodes: DataFrame) -> DataFrame:
     """(project_id, document): a CycloneDX 1.5 document of each project's packages."""
-    packs = _packages(nodes)
+    packs = components(nodes)
     scope = F.when(F.array_contains("scopes", "production"), "required").otherwise("optional")
     parts = packs.groupBy("project_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("purl").alias("bom-ref"), F.lit("library").alias("type"), "name", "version", scope.alias("scope"), "purl"))).alias("components"),
@@ -74,6 +90,31 @@ def cyclonedx(nodes: DataFrame) -> DataFrame:
     return parts.join(deps, "project_id", "left").select("project_id", _json(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), "components", all_deps.alias("dependencies")).alias("document"))
 
 
+def bill_of_materials(nodes: DataFrame, form: str) -> DataFrame:
+    """(project_id, document) in the form `spdx` or `cyclonedx`."""
+    forms = {"spdx": spdx, "cyclonedx": cyclonedx}
+    if form not in forms:
+        raise ValueError(f"no such form: {form}")
+    return forms[form](nodes)
+
+
+def audit_json(summary: DataFrame, findings: DataFrame) -> DataFrame:
+    """(project_id, document): a project's summary with its findings by category and level, as
+    JSON. Counts, not findings, are gathered, so a project of any size makes one short row."""
+    by = findings.where("project_id is not null").groupBy("project_id", "category", "level").agg(F.count("*").alias("findings"))
+    by = by.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("category", "level", "findings"))).alias("findings"))
+    rows = summary.join(by, "project_id", "left")
+    return rows.select("project_id", _json(F.col("project_id").alias("project"), F.struct(*[c for c in summary.columns if c != "project_id"]).alias("summary"), F.coalesce("findings", F.array().cast("array<struct<category:string,level:string,findings:bigint>>")).alias("findings")).alias("document"))
+
+
+def badge(scores: DataFrame, label: str = "supply chain") -> DataFrame:
+    """(project_id, document): a badge of scores(project_id, score, grade) as JSON."""
+    s = F.col("score")
+    colour = F.when(s >= 90, "brightgreen").when(s >= 80, "green").when(s >= 70, "yellowgreen").when(s >= 60, "orange").otherwise("red")
+    message = F.concat(s.cast("string"), F.lit("/100 ("), "grade", F.lit(")"))
+    return scores.select("project_id", _json(F.lit(1).alias("schemaVersion"), F.lit(label).alias("label"), message.alias("message"), colour.alias("color")).alias("document"))
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """One line of JSON a project, as text files."""
     documents.select("document").write.mode("overwrite").text(path)
