@@ -46,18 +46,24 @@ def first_seen(matches: DataFrame, keys: list[str]) -> DataFrame:
     return keep_first(matches, keys, F.col("seq"))
 
 
-def read_files(spark: SparkSession, root: str, extensions: list[str] | None = None, ignore: list[str] | None = None, most_bytes: int = 1 << 20) -> DataFrame:
-    """(path, content) of text files below `root`, without skipped folders, ignored globs,
-    files with NUL bytes and files above `most_bytes`; paths are relative to `root`."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= most_bytes)
-    path = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace(".", "\\.") + "/", "")
-    t = b.select(path.alias("path"), "content")
-    t = t.where(~F.col("path").rlike(r"(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"))
+def read_files(spark: SparkSession, root: str, extensions: list[str] | None = None, ignore: list[str] | None = None, most_chars: int = 1 << 20) -> DataFrame:
+    """(path, content, error) of files below `root`, without skipped folders and ignored globs;
+    paths are relative to `root`. A file of more than `most_chars` characters, or with NUL
+    bytes, has an error in place of its content; the content of one that is too long in any
+    encoding is never loaded."""
+    b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    b = b.withColumn("path", F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace(".", "\\.") + "/", ""))
+    b = b.where(~F.col("path").rlike(r"(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"))
     if extensions:
-        t = t.where(extension(F.col("path")).isin(extensions))
+        b = b.where(extension(F.col("path")).isin(extensions))
     for g in ignore or []:
-        t = t.where(~F.col("path").rlike(glob_regex(g)))
-    return t.where(F.position(F.lit(b"\x00"), F.col("content")) == 0).select("path", F.decode("content", "UTF-8").alias("content"))
+        b = b.where(~F.col("path").rlike(glob_regex(g)))
+    long = F.lit("too long")
+    above = b.where(F.col("length") > 4 * most_chars).select("path", F.lit(None).cast("string").alias("content"), long.alias("error"))
+    t = b.where(F.col("length") <= 4 * most_chars).select("path", F.col("content").alias("b"))
+    t = t.select("path", F.when(F.position(F.lit(b"\x00"), F.col("b")) > 0, F.lit("holds NUL bytes")).alias("error"), F.decode("b", "UTF-8").alias("content"))
+    t = t.withColumn("error", F.coalesce("error", F.when(F.length("content") > most_chars, long)))
+    return t.select("path", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error").unionByName(above)
 
 
 def ignore_globs(text: str) -> list[str]:

@@ -3,7 +3,8 @@
 Input is one row per file: project_id, path, content. The npm lockfile of versions 2 and 3
 is a flat map, so its packages and links are DataFrame expressions with a nearest-ancestor
 join. The other formats are recursive or need a parser of their own and are read by a
-Python function over Arrow batches, one file at a time. Unreadable files give no rows.
+Python function over Arrow batches, one file at a time. A file that cannot be read counts as
+absent: the next in precedence is read; `lock_errors` names those a parser refused.
 
 Every reader returns (project_id, ecosystem, name, version, direct, scopes, dependencies),
 `dependencies` being package keys.
@@ -35,9 +36,43 @@ def base_name(path):
 
 
 def chosen_files(files: DataFrame, names: list[str]) -> DataFrame:
-    """Per project the file whose name comes first in `names`."""
+    """Per project the readable file whose name comes first in `names`: content that is there,
+    and of JSON files an object."""
     rank = F.array_position(F.array(*[F.lit(n) for n in names]), base_name(F.col("path")))
-    return keep_first(files.withColumn("_rank", rank).where("_rank > 0"), ["project_id"], F.col("_rank")).drop("_rank")
+    json_object = F.coalesce(F.expr("schema_of_variant(try_parse_json(content)) LIKE 'OBJECT%'"), F.lit(False))
+    readable = F.col("content").isNotNull() & (~F.col("path").endswith(".json") | json_object)
+    return keep_first(files.withColumn("_rank", rank).where(F.col("_rank") > 0).where(readable), ["project_id"], F.col("_rank")).drop("_rank")
+
+
+def project_roots(files: DataFrame) -> DataFrame:
+    """(project_id, name, version, path) of each project: named by its manifest, else by its npm
+    lockfile, else by its folder; the version is the manifest's or else the lockfile's."""
+    told = lambda name, out: files.where(base_name(F.col("path")) == name).select("project_id", F.regexp_replace("path", r"/?[^/]+$", "").alias("path"), F.from_json("content", "name string, version string").alias(out)).groupby("project_id").agg(F.min("path").alias("path"), F.first(out, True).alias(out))
+    m, k = told("package.json", "m"), told("package-lock.json", "k").withColumnRenamed("path", "_path")
+    r = files.select("project_id").distinct().join(m, "project_id", "left").join(k, "project_id", "left").withColumn("path", F.coalesce("path", "_path", F.lit("")))
+    folder = F.regexp_extract("path", r"([^/]+)/?$", 1)
+    return r.select("project_id", F.coalesce("m.name", "k.name", F.when(folder != "", folder).otherwise(F.col("project_id"))).alias("name"), F.coalesce("m.version", "k.version").alias("version"), "path")
+
+
+def installed_licences(files: DataFrame) -> DataFrame:
+    """(project_id, name, license) of packages installed at the top of node_modules: the text of
+    `license`, its `type`, or the first of `licenses`; null where none is declared. Folders with
+    a leading dot and manifests that cannot be read do not count."""
+    at = r"^(?:.*/)?node_modules/((?:@[^/]+/)?[^/.@][^/]*)/package\.json$"
+    t = files.where(F.col("path").rlike(at) & ~F.col("path").rlike(r"node_modules/.*node_modules/")).select("project_id", F.regexp_extract("path", at, 1).alias("name"), F.expr("try_parse_json(content)").alias("j"))
+    t = t.where(F.expr("schema_of_variant(j) LIKE 'OBJECT%'"))
+    text = F.when(F.expr("schema_of_variant(try_variant_get(j, '$.license', 'variant')) = 'STRING'"), F.try_variant_get("j", "$.license", "string"))
+    licence = F.coalesce(text, F.try_variant_get("j", "$.license.type", "string"), F.try_variant_get("j", "$.licenses[0].type", "string"))
+    return t.select("project_id", "name", F.when(licence != "", licence).alias("license"))
+
+
+#: What reads each ecosystem; anything unknown is read as npm.
+ECOSYSTEMS = {"npm": NPM_FILES, "pypi": PYPI_FILES}
+
+
+def lock_names(ecosystem: str) -> list[str]:
+    """The lockfiles of an ecosystem in their precedence."""
+    return ECOSYSTEMS.get(ecosystem, NPM_FILES)
 
 
 def manifest_scopes(files: DataFrame) -> DataFrame:
@@ -87,16 +122,18 @@ Node = tuple[str, str, bool, list[str], list[str]]
 
 
 def parse_npm_legacy(content: str, manifest: dict[str, str]) -> list[Node]:
-    """Version 1: a tree; of a name the instance met first (parents before children) counts."""
+    """Version 1: a tree, walked with every package before those below it and after those listed
+    before it; of a name the instance met first counts."""
     seen: dict[str, dict] = {}
-    stack = [json.loads(content).get("dependencies") or {}]
-    while stack:
-        level = stack.pop(0)
-        for name, e in level.items():
-            if isinstance(e, dict) and isinstance(e.get("version"), str):
-                seen.setdefault(name, e)
-                if isinstance(e.get("dependencies"), dict):
-                    stack.append(e["dependencies"])
+    walk = [iter((json.loads(content).get("dependencies") or {}).items())]
+    while walk:
+        name, e = next(walk[-1], (None, None))
+        if name is None:
+            walk.pop()
+        elif isinstance(e, dict) and isinstance(e.get("version"), str):
+            seen.setdefault(name, e)
+            if isinstance(e.get("dependencies"), dict):
+                walk.append(iter(e["dependencies"].items()))
     key = {n: f"npm:{n}@{e['version']}" for n, e in seen.items()}
     out = []
     for n, e in seen.items():
@@ -159,7 +196,8 @@ def _yarn_blocks(content: str) -> list[tuple[list[str], str, dict[str, str]]]:
     return blocks
 
 
-def parse_yarn(content: str, manifest: dict[str, str], ranges: dict[str, str] | None = None) -> list[Node]:
+def parse_yarn(content: str, manifest: dict[str, list[str]], ranges: dict[str, str] | None = None) -> list[Node]:
+    """`manifest` holds every scope of each direct name: one named in two sections has both."""
     where: dict[str, tuple[str, str]] = {}
     nodes: dict[tuple[str, str], set[str]] = {}
     blocks = _yarn_blocks(content)
@@ -178,7 +216,7 @@ def parse_yarn(content: str, manifest: dict[str, str], ranges: dict[str, str] |
             if hit and name and hit != (name[1], version):
                 nodes[(name[1], version)].add(f"npm:{hit[0]}@{hit[1]}")
     direct = {where.get(f"{n}@{r}") or where.get(f"{n}@npm:{r}"): manifest.get(n) for n, r in (ranges or {}).items()}
-    return [(n, v, direct.get((n, v)) is not None, [direct[(n, v)]] if direct.get((n, v)) else [], sorted(d)) for (n, v), d in nodes.items()]
+    return [(n, v, direct.get((n, v)) is not None, sorted(direct.get((n, v)) or []), sorted(d)) for (n, v), d in nodes.items()]
 
 
 def parse_poetry(content: str, manifest: dict[str, str]) -> list[Node]:
@@ -212,45 +250,60 @@ def parse_pyproject(content: str) -> dict[str, str]:
     return out
 
 
-def _manifest(content: str | None) -> tuple[dict[str, str], dict[str, str]]:
+def _manifest(content: str | None) -> tuple[dict[str, str], dict[str, str], dict[str, list[str]]]:
+    """Of each name in a manifest: the scope and range that hold, and all scopes."""
     try:
         doc = json.loads(content or "{}")
     except ValueError:
-        return {}, {}
-    scopes, ranges = {}, {}
+        return {}, {}, {}
+    scopes, ranges, every = {}, {}, {}
     for section, scope in reversed(SECTIONS):
         for n, r in (doc.get(section) or {}).items():
             scopes[n], ranges[n] = scope, r
-    return scopes, ranges
+            every.setdefault(n, []).append(scope)
+    return scopes, ranges, every
 
 
 def _read(name: str, content: str, manifest: str | None) -> list[Node]:
     if name in PYPI_FILES:
         return parse_poetry(content, parse_pyproject(manifest) if manifest else {})
-    scopes, ranges = _manifest(manifest)
+    scopes, ranges, every = _manifest(manifest)
     if name in NPM_FILES[:2]:
         return [] if json.loads(content).get("packages") else parse_npm_legacy(content, scopes)
-    return parse_pnpm(content, scopes) if name == "pnpm-lock.yaml" else parse_yarn(content, scopes, ranges)
+    return parse_pnpm(content, scopes) if name == "pnpm-lock.yaml" else parse_yarn(content, every, ranges)
 
 
-def other_locks(files: DataFrame) -> DataFrame:
-    """Packages of npm version 1, pnpm, yarn and poetry lockfiles, with their manifests."""
+def _parsed(files: DataFrame) -> DataFrame:
+    """Nodes of npm version 1, pnpm, yarn and poetry lockfiles with `file` and `error`: a file the
+    parser refuses gives one row that has an error only."""
     eco = lambda names, manifest, e: chosen_files(files, names).join(
         files.where(base_name(F.col("path")) == manifest).select("project_id", F.col("content").alias("manifest")).dropDuplicates(["project_id"]), "project_id", "left"
     ).select("project_id", F.lit(e).alias("ecosystem"), base_name(F.col("path")).alias("file"), "content", "manifest")
     src = eco(NPM_FILES, "package.json", "npm").unionByName(eco(PYPI_FILES, "pyproject.toml", "pypi").where("file = 'poetry.lock'"))
 
     def run(batches: Iterator[pd.DataFrame], read: Callable = _read) -> Iterator[pd.DataFrame]:
+        import yaml
+
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
                 try:
-                    rows += [(r.project_id, r.ecosystem, *n) for n in read(r.file, r.content, r.manifest if isinstance(r.manifest, str) else None)]
-                except Exception:  # a malformed file is an absent one
-                    continue
-            yield pd.DataFrame(rows, columns=["project_id", "ecosystem", "name", "version", "direct", "scopes", "dependencies"])
+                    rows += [(r.project_id, r.ecosystem, *n, r.file, None) for n in read(r.file, r.content, r.manifest if isinstance(r.manifest, str) else None)]
+                except (ValueError, TypeError, AttributeError, KeyError, yaml.YAMLError) as e:  # malformed, or of another shape
+                    rows.append((r.project_id, r.ecosystem, None, None, None, None, None, r.file, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["project_id", "ecosystem", "name", "version", "direct", "scopes", "dependencies", "file", "error"])
+
+    return src.mapInPandas(run, NODES + ", file string, error string")
+
+
+def other_locks(files: DataFrame) -> DataFrame:
+    """Packages of npm version 1, pnpm, yarn and poetry lockfiles, with their manifests."""
+    return _parsed(files).where("error is null").drop("file", "error")
+
 
-    return src.where("content is not null").mapInPandas(run, NODES)
+def lock_errors(files: DataFrame) -> DataFrame:
+    """(project_id, ecosystem, file, error) of lockfiles that could not be parsed."""
+    return _parsed(files).where("error is not null").select("project_id", "ecosystem", "file", "error")
 
 
 def inventory(files: DataFrame) -> DataFrame:

@@ -34,6 +34,20 @@ def patch_lines_to(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
 
 
+def manifests_to(spark: SparkSession, folder: str, path: str, checkpoint: str):
+    """Starts a query that writes the direct dependencies of every manifest saved in `folder`,
+    one folder a project, to `path`."""
+    from ..sources.lockfiles import manifest_scopes
+
+    saved = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "package.json").text(folder, wholetext=True)
+    named = saved.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("project_id"), F.lit("package.json").alias("path"), F.col("value").alias("content"))
+
+    def batch(df: DataFrame, number: int) -> None:
+        manifest_scopes(df).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    return named.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch).trigger(availableNow=True).start()
+
+
 def latest_values(updates: DataFrame, key: str, time: str, ttl: str) -> DataFrame:
     """The last value time of each key; keys unseen for `ttl` behind the newest row expire."""
     return updates.withWatermark(time, ttl).groupBy(F.session_window(time, ttl).alias("w"), key).agg(F.max(time).alias("last_seen"), F.count("*").alias("updates")).select(key, "last_seen", "updates")

@@ -1,0 +1,112 @@
+import json
+
+from pyspark.sql import functions as F
+
+from lodetrace.functions import dates
+from lodetrace.operators import findings, registry
+
+NODE = "project_id string, ecosystem string, name string, version string, direct boolean, scopes array<string>"
+
+
+def docs(spark):
+    npm = lambda name, versions, latest, **more: json.dumps({"name": name, "dist-tags": {"latest": latest}, "versions": {v: {"version": v, **more} for v in versions}, "repository": {"url": "git+https://github.com/x/y.git"}})
+    rows = [
+        (1, "npm", "lodash", npm("lodash", ["4.17.19", "4.17.20", "4.17.21", "4.18.0"], "4.18.0"), 2), (2, "npm", "chalk", npm("chalk", ["5.0.0", "5.3.0"], "5.3.0", license={"type": "MIT"}), 1), (3, "npm", "chalk", "{", 9),
+        (4, "npm", "lodash", npm("lodash", ["1.0.0"], "1.0.0"), 1), (5, "pypi", "My_Lib", json.dumps({"info": {"version": "2.0", "license": "ISC"}, "releases": {"2.0": [], "1.0": []}}), 1), (6, "npm", None, "{}", 1), (7, "npm", "x", None, 1),
+    ]
+    return spark.createDataFrame(rows, "record_id bigint, ecosystem string, name string, payload string, fetched_at int")
+
+
+def vulns(spark, *rows):
+    return spark.createDataFrame(rows, "ecosystem string, name string, version string, id string, cve string, fixed array<string>")
+
+
+def plan(spark, nodes, *found):
+    n = spark.createDataFrame(nodes, NODE)
+    return {r.name: r for r in findings.update_plan(n, docs(spark), vulns(spark, *found)).collect()}
+
+
+def test_least_fixing_version_is_proposed(spark):
+    node = ("p", "npm", "lodash", "4.17.20", True, ["production"])
+    got = plan(spark, [node], ("npm", "lodash", "4.17.20", "G-1", "CVE-1", ["4.17.21"]))["lodash"]
+    assert (got.target, got.bump, got.fixes, got.changelog) == ("4.17.21", "patch", ["G-1"], "https://github.com/x/y/releases")
+    # the greatest of the least fixes; those not above the current version ask for nothing
+    got = plan(spark, [node], ("npm", "lodash", "4.17.20", "G-1", "C", ["4.17.21"]), ("npm", "lodash", "4.17.20", "G-2", "C", ["5.0.0", "4.17.30"]), ("npm", "lodash", "4.17.20", "G-3", "C", ["4.0.0"]))["lodash"]
+    assert (got.target, got.fixes) == ("4.18.0", ["G-1", "G-2"])
+    assert plan(spark, [node], ("npm", "lodash", "4.17.20", "G", "C", ["6.0.0"]))["lodash"].target == "6.0.0"
+
+
+def test_newer_release_is_proposed_and_current_ones_left_out(spark):
+    got = plan(spark, [("p", "npm", "chalk", "5.0.0", True, []), ("p", "npm", "lodash", "4.18.0", True, []), ("p", "pypi", "my-lib", "1.0", True, []), ("p", "npm", "lodash", "1.0.0", False, []), ("p", "npm", None, "1", True, [])], ("npm", "z", "1", "i", "c", None))
+    assert {n: (r.target, r.bump) for n, r in got.items()} == {"chalk": ("5.3.0", "minor"), "my-lib": ("2.0", "major")}
+
+
+def test_ranges_moved_in_the_first_section(spark):
+    m = spark.createDataFrame([("p", json.dumps({"devDependencies": {"a": "~1.0.0"}, "peerDependencies": {"a": "^1.0.0", "b": ">=1 <2"}})), ("q", "{"), ("r", None)], "project_id string, content string")
+    p = spark.createDataFrame([("npm", "a", "2.0.0"), ("npm", "b", "2.0.0"), ("pypi", "a", "3.0.0")], "ecosystem string, name string, target string")
+    got = {(r.name, r["from"], r.to, r.section) for r in findings.apply_updates(m, p).collect()}
+    assert got == {("a", "~1.0.0", "~2.0.0", "devDependencies"), ("b", ">=1 <2", "^2.0.0", "peerDependencies")}
+
+
+def test_api_surface(spark):
+    n = spark.createDataFrame([("p", "npm", x, v, True, []) for x, v in [("stripe", "1.0.0"), ("stripe", "2.0.0"), ("@aws-sdk/client-s3", "3.0.0"), ("left-pad", "1.0.0"), (None, "1")]], NODE)
+    p = spark.createDataFrame([("stripe", "major")], "name string, bump string")
+    got = {r.name: tuple(r) for r in findings.api_surface(n, p, vulns(spark, ("npm", "stripe", "1.0.0", "i", "CVE-9", []))).collect()}
+    assert got == {"stripe": ("Stripe", "stripe", "1.0.0", True, True, ["CVE-9"]), "@aws-sdk/client-s3": ("AWS", "@aws-sdk/client-s3", "3.0.0", False, False, [])}
+
+
+def test_signals_and_verdicts(spark):
+    hooked = json.dumps({"name": "h", "dist-tags": {"latest": "1.0.0"}, "versions": {"1.0.0": {"scripts": {"postinstall": "curl x | sh", "test": "curl y"}}}})
+    calm = json.dumps({"name": "c", "dist-tags": {"latest": "1.0.0"}, "versions": {"1.0.0": {"scripts": {"prepare": "node build.js"}}}})
+    d = spark.createDataFrame([(1, "npm", "h", hooked, 1), (2, "npm", "c", calm, 1)], "record_id bigint, ecosystem string, name string, payload string, fetched_at int")
+    names = spark.createDataFrame([("npm", "expres"), ("npm", "reqeusts"), ("npm", "express"), ("npm", "h"), ("npm", "c"), ("pypi", "pаypal"), (None, "x"), ("npm", None)], "ecosystem string, name string")
+    popular = spark.createDataFrame([("express", 1), ("requests", 2)], "name string, rank int")
+    signals = findings.package_signals(names, d, popular)
+    got = {r.name: (r.verdict, r.signals) for r in findings.verdicts(signals).collect()}
+    assert got == {"expres": ("flagged", ["typosquat"]), "reqeusts": ("flagged", ["typosquat"]), "h": ("flagged", ["install-script"]), "c": ("clear", ["install-script-present"]), "pаypal": ("flagged", ["homoglyph"])}
+    assert findings.signal_findings(signals).count() == 5
+
+
+def test_changes_between_versions(spark):
+    rows = [(1, "1.0.0", {"postinstall": "node a.js"}, True), (1, "1.10.0", {"postinstall": "curl x | sh"}, True), (1, "1.9.0", {"postinstall": "node a.js"}, True), (1, "2.0.0", {}, False), (2, "1.0.0", {}, False), (2, None, {}, True)]
+    v = spark.createDataFrame(rows, "record_id bigint, version string, hooks map<string,string>, provenance boolean")
+    from lodetrace.functions import versions
+
+    got = {(r["from"], r.to): (r.scripts_changed, r.dangerous, r.provenance_lost, r.verdict) for r in findings.version_changes(v, versions.sort_key(F.col("version"), F.lit("npm"))).collect()}
+    assert got == {("1.9.0", "1.10.0"): (["postinstall"], ["postinstall"], False, "flagged"), ("1.10.0", "2.0.0"): ([], [], True, "caution")}
+    m = spark.createDataFrame([([("ann", None), (None, "b@x"), ("", None)], [("ann", "z"), ("cy", None), (None, None)])], "a array<struct<name:string,email:string>>, b array<struct<name:string,email:string>>")
+    added, removed = findings.maintainer_changes(F.col("a"), F.col("b"))
+    assert tuple(m.select(added, removed).first()) == (["cy"], ["b@x"])
+    code = spark.createDataFrame([("n", "1", "eval(x); eval(y)"), ("n", "1", "fetch(a)"), ("n", "2", None)], "name string, version string, content string")
+    assert {(r.signal, r.occurrences, r.files) for r in findings.capability_changes(code).collect()} == {("dynamic-eval", 2, 1), ("network", 1, 1)}
+
+
+def test_secrets_once_each(spark):
+    rows = [
+        (1, "p", "k", "d", "v", "s", 5, True, "f", None, 1), (2, "p", "k", "d", "v", "s", 9, True, "f", None, 2), (3, "p", "k", "d", "v", "s", 1, True, "f", "c0", 0),
+        (4, "p", "k", "d", "w", "s", 3, True, "f", "c2", 5), (5, "p", "k", "d", "w", "s", 4, True, "f", "c1", 4), (6, None, "stripe-secret", "d", "x", "s", None, False, "a", None, None),
+    ]
+    m = spark.createDataFrame(rows, "match_id bigint, pattern_id string, kind string, description string, value string, preview string, line int, password boolean, file string, commit string, matched_at int")
+    import hashlib
+
+    h = hashlib.sha1(b"v").hexdigest().upper()
+    s = findings.in_report_order(findings.secret_scan(m, spark.createDataFrame([(h[:5], h[5:], 7)], "prefix string, suffix string, count bigint")))
+    got = [(r.match_id, r.in_history, r.breached, r.breach_count) for r in s.orderBy("place").collect()]
+    assert got == [(6, False, None, None), (2, False, True, 7), (5, True, False, None)]
+    assert tuple(findings.secret_summary(s).first()) == (3, 2, 1, 1) and findings.secret_findings(s).count() == 3
+    assert [tuple(r) for r in findings.leaked_by_service(s).collect()] == [("Stripe", 1)]
+
+
+def test_registry_of_nothing(spark):
+    d = docs(spark)
+    assert {r.record_id for r in registry.latest_documents(d).collect()} == {1, 2, 5}
+    for f in (registry.packument_versions, registry.pypi_projects, registry.package_metadata):
+        assert f(d.limit(0)).count() == 0
+    assert {r.key: r.license for r in registry.package_metadata(d).collect()} == {"lodash": None, "chalk": "MIT", "my-lib": "ISC"}
+
+
+def test_dates(spark):
+    df = spark.createDataFrame([("2026-01-01T00:00:00Z",), ("no date",), (None,)], "t string")
+    d = dates.days_between(F.col("t"), F.lit("2026-02-15 12:00:00").cast("timestamp"))
+    got = [tuple(r) for r in df.select(d, dates.whole_days(d), dates.months(d)).collect()]
+    assert got == [(45.5, 46, 2), (None, None, None), (None, None, None)]

@@ -46,9 +46,11 @@ def test_inventory_of_all_formats(spark):
     assert got["p3", "a", "1.0.0"] == (True, ["production"], ["npm:b@1.5.0"])
     assert got["p3", "b", "2.0.0"] == (True, ["development"], []) and got["p3", "b", "1.5.0"] == (False, ["production"], ["npm:@s/c@3.0.0"])
     assert got["p3", "@s/c", "3.0.0"] == (False, ["optional"], []) and sum(k[0] == "p3" for k in got) == 4
-    assert got["p1", "a", "1.0.0"] == (True, ["production"], ["npm:b@1.0.0"]) and ("p1", "b", "9.0.0") not in got
+    # version 1 is walked in pre-order: the b below a is met before the b beside it
+    assert got["p1", "a", "1.0.0"] == (True, ["production"], ["npm:b@9.0.0"]) and ("p1", "b", "1.0.0") not in got
     assert got["pn", "a", "1.0.0"] == (True, ["production"], ["npm:@s/b@2.0.0"]) and got["pn", "@s/b", "2.0.0"][0] is False
-    assert got["y1", "a", "1.0.1"] == (True, ["production"], ["npm:@s/b@2.1.0"]) and got["y2", "a", "1.0.1"][2] == ["npm:b@2.0.0"]
+    # yarn: a stands in two sections of the manifest and has both scopes
+    assert got["y1", "a", "1.0.1"] == (True, ["development", "production"], ["npm:@s/b@2.1.0"]) and got["y2", "a", "1.0.1"][2] == ["npm:b@2.0.0"]
     assert got["po", "my-app", "1.0"] == (True, ["production"], ["pypi:req@2.0"]) and got["po", "req", "2.0"] == (False, ["development"], [])
     assert {k[1:] for k in got if k[0] == "re"} == {("flask", "1.0"), ("django", "2.0")}
     assert not any(k[0] in ("bad", "bad2", "none") for k in got)
@@ -107,7 +109,11 @@ def test_files_and_ignore(spark, tmp_path):
         (tmp_path / p).write_bytes(b)
     assert history.ignore_globs("# c\n\n skip/** \n") == ["skip/**"]
     got = history.read_files(spark, str(tmp_path), [".py"], ["skip/**"])
-    assert sorted(r.path for r in got.collect()) == ["a.py", "d/e.py"]
+    assert sorted((r.path, r.error) for r in got.collect()) == [("a.py", None), ("d/c.py", "holds NUL bytes"), ("d/e.py", None)]
+    (tmp_path / "long.py").write_text("é" * 30)
+    (tmp_path / "longer.py").write_text("x" * 50)
+    got = {r.path: (r.content, r.error) for r in history.read_files(spark, str(tmp_path), [".py"], ["skip/**"], most_chars=12).collect()}
+    assert got["long.py"] == got["longer.py"] == (None, "too long") and got["a.py"] == ("x", None)
 
 
 def tgz(entries):
@@ -167,3 +173,53 @@ def test_documents(spark, tmp_path):
     h = spark.createDataFrame([(i, i * 10) for i in range(5)], "recorded_at int, score int")
     reports.append_history(h, str(tmp_path / "h"))
     assert [r.score for r in reports.recent(spark.read.parquet(str(tmp_path / "h")), 2).collect()] == [30, 40]
+
+
+def test_files_that_cannot_be_read(spark):
+    tree = {"dependencies": {"a": {"version": "1.0.0", "dependencies": {"c": {"version": "3.0.0"}}}, "b": {"version": "1.0.0", "dependencies": {"c": {"version": "4.0.0"}}}, "c": {"version": "5.0.0"}}}
+    both = json.dumps({"dependencies": {"a": "^1.0.0"}, "peerDependencies": {"a": "^1.0.0"}})
+    rows = [
+        ("next", "package-lock.json", "{"), ("next", "yarn.lock", YARN1), ("pre", "package-lock.json", json.dumps(tree)), ("bad", "poetry.lock", "= ="), ("bad", "requirements.txt", REQS),
+        ("two", "yarn.lock", YARN1), ("two", "package.json", both), ("odd", "pnpm-lock.yaml", "a: [1"),
+    ]
+    df = spark.createDataFrame(rows, "project_id string, path string, content string")
+    got = {(r.project_id, r.name, r.version): r.scopes for r in lockfiles.inventory(df).collect()}
+    assert ("next", "a", "1.0.1") in got and got["two", "a", "1.0.1"] == ["peer", "production"]
+    assert [k[2] for k in got if k[:2] == ("pre", "c")] == ["3.0.0"]
+    errors = {(r.project_id, r.file) for r in lockfiles.lock_errors(df).collect()}
+    assert errors == {("bad", "poetry.lock"), ("odd", "pnpm-lock.yaml")}
+    assert lockfiles.lock_names("pypi") == lockfiles.PYPI_FILES and lockfiles.lock_names("x") == lockfiles.NPM_FILES
+
+
+def test_roots_and_installed_licences(spark):
+    rows = [
+        ("p", "w/p/package.json", '{"name": "n"}'), ("p", "w/p/package-lock.json", '{"name": "k", "version": "2.0.0"}'), ("q", "w/q/yarn.lock", ""), ("l", "w/l/package-lock.json", '{"name": "k"}'), ("f", "w/f/package.json", "{"),
+        ("p", "w/p/node_modules/a/package.json", '{"license": "MIT"}'), ("p", "w/p/node_modules/@s/b/package.json", '{"license": {"type": "ISC"}}'), ("p", "w/p/node_modules/c/package.json", '{"licenses": [{"type": "0BSD"}]}'), ("p", "w/p/node_modules/d/package.json", "{}"),
+        ("p", "w/p/node_modules/.bin/package.json", "{}"), ("p", "w/p/node_modules/e/package.json", "{"), ("p", "w/p/node_modules/a/node_modules/z/package.json", "{}"),
+    ]
+    df = spark.createDataFrame(rows, "project_id string, path string, content string")
+    top = df.where(~F.col("path").contains("node_modules"))
+    got = {r.project_id: (r.name, r.version) for r in lockfiles.project_roots(top).collect()}
+    assert got == {"p": ("n", "2.0.0"), "q": ("q", None), "l": ("k", None), "f": ("f", None)}
+    assert {r.name: r.license for r in lockfiles.installed_licences(df).collect()} == {"a": "MIT", "@s/b": "ISC", "c": "0BSD", "d": None}
+
+
+def test_saved_manifests(spark, tmp_path):
+    (tmp_path / "in/p").mkdir(parents=True)
+    (tmp_path / "in/p/package.json").write_text(PKG)
+    for _ in range(2):
+        flows.manifests_to(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {(r.project_id, r.name, r.scope) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("p", "a", "production"), ("p", "b", "development")}
+
+
+def test_reports_of_all_forms(spark):
+    n = spark.createDataFrame([("p", "npm:a@1", "npm", "a", "1", True, ["production"], ["npm:b@1", "npm:x@9"]), ("p", "npm:b@1", "npm", "b", "1", False, [], None)], "project_id string, package_key string, ecosystem string, name string, version string, direct boolean, scopes array<string>, dependencies array<string>")
+    for form, mark in (("spdx", "SPDX-2.3"), ("cyclonedx", "CycloneDX")):
+        assert mark in reports.bill_of_materials(n, form).first().document
+    with pytest.raises(ValueError):
+        reports.bill_of_materials(n, "other")
+    s = spark.createDataFrame([("p", 93, "A"), ("q", 12, "F")], "project_id string, score int, grade string")
+    assert [json.loads(r.document)["color"] for r in reports.badge(s).orderBy("project_id").collect()] == ["brightgreen", "red"]
+    f = spark.createDataFrame([("p", "secret", "error"), ("p", "secret", "error")], "project_id string, category string, level string")
+    doc = {r.project_id: json.loads(r.document) for r in reports.audit_json(s.select("project_id", "score"), f).collect()}
+    assert doc["p"] == {"project": "p", "summary": {"score": 93}, "findings": [{"category": "secret", "level": "error", "findings": 2}]} and doc["q"]["findings"] == []
