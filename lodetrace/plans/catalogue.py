@@ -12,4 +12,4 @@ QUERIES = {
     **reference.QUERIES,
 }
 
-SQL = {"p3_found": nested.P3_SQL, "p4_found": changes.P4_SQL, "p5_found": dependencies.P5_SQL, **reference.SQL}
+SQL = {"p3_found": nested.P3_SQL, "p4_found": changes.P4_SQL, "p5_found": dependencies.P5_SQL, "p5_hierarchy": dependencies.P5_HIERARCHY_SQL, **reference.SQL}
