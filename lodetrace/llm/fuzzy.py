@@ -63,6 +63,5 @@ def map_values(spark: SparkSession, typed: DataFrame, reference: DataFrame) -> D
     versions apart; the fewest edits win, a tie goes to the smaller entry; the rest comes
     out as `unmatched`. Null and empty values give no rows; other columns are ignored.
     """
-    typed.createOrReplaceTempView("_pigeonhole_typed")
-    reference.createOrReplaceTempView("_pigeonhole_reference")
-    return spark.sql(PIGEONHOLE.format(typed="_pigeonhole_typed", reference="_pigeonhole_reference", k_len=edits_sql("len"), k_spelling=edits_sql("length(spelling)")))
+    text = PIGEONHOLE.replace("{k_len}", edits_sql("len")).replace("{k_spelling}", edits_sql("length(spelling)"))
+    return spark.sql(text, typed=typed, reference=reference)

@@ -1,4 +1,7 @@
-"""Problem 6: licences typed in registry documents mapped to the reference list."""
+"""Problem 6: licences typed in registry documents mapped to the reference list.
+
+`P6_SQL` states the same result for DuckDB, by comparing every value with every spelling.
+"""
 
 from __future__ import annotations
 
@@ -95,11 +98,9 @@ SELECT spelling, min(entry) AS entry FROM plain WHERE spelling <> '' GROUP BY sp
 def spellings(spark: SparkSession, reference: DataFrame) -> DataFrame:
     """(spelling, entry): normalised spellings of each entry, from its id and full name by
     rule (with and without version, initials of makers' own licences) and from public names."""
-    rows = [(e.strip(), s.strip()) for line in PUBLIC_NAMES.strip().splitlines() for e, _, names in [line.partition(":")] for s in names.split(";")]
-    spark.createDataFrame(rows, "entry string, s string").createOrReplaceTempView("_licence_names")
-    reference.createOrReplaceTempView("_licence_reference")
-    known = "(SELECT n.entry, n.s FROM _licence_names n LEFT SEMI JOIN _licence_reference r ON r.license_id = n.entry)"
-    return spark.sql(SPELLINGS.format(reference="_licence_reference", names=known, plain=PLAIN.format(v="s")))
+    names = spark.createDataFrame(_public_names(), "entry string, s string")
+    names = names.join(reference, names.entry == reference.license_id, "left_semi")
+    return spark.sql(SPELLINGS.replace("{plain}", PLAIN.replace("{v}", "s")), names=names, reference=reference)
 
 
 def map_licences(spark: SparkSession, docs: DataFrame, reference: DataFrame) -> DataFrame:
@@ -109,26 +110,70 @@ def map_licences(spark: SparkSession, docs: DataFrame, reference: DataFrame) ->
     means no entry, comes out as `unmatched`. An array, number or boolean is taken as its JSON
     text. Of a key repeated in an object the last value counts.
     """
-    docs.createOrReplaceTempView("_licence_docs")
     before = spark.conf.get(REPEATED_KEYS)
     spark.conf.set(REPEATED_KEYS, "true")
     try:
-        held = cut(spark.sql(TYPED.format(docs="_licence_docs")))
+        held = cut(spark.sql(TYPED, docs=docs))
     finally:
         spark.conf.set(REPEATED_KEYS, before)
-    held.createOrReplaceTempView("_licence_held")
-    values = cut(spark.sql(f"SELECT raw, {PLAIN.format(v='raw')} AS value FROM (SELECT DISTINCT raw FROM _licence_held)"))
+    values = cut(spark.sql("SELECT raw, " + PLAIN.replace("{v}", "raw") + " AS value FROM (SELECT DISTINCT raw FROM {held})", held=held))
     mapped = cut(map_values(spark, values.select("value"), spellings(spark, reference)))
-    values.createOrReplaceTempView("_licence_values")
-    mapped.createOrReplaceTempView("_licence_mapped")
-    return spark.sql(f"""
+    return spark.sql(
+        """
         SELECT h.record_id, h.version, h.raw, m.entry AS license_id
-        FROM (SELECT *, CAST(pmod(xxhash64(record_id, version), {SALT}) AS INT) AS salt FROM _licence_held) h
+        FROM (SELECT *, CAST(pmod(xxhash64(record_id, version), {salt}) AS INT) AS salt FROM {held}) h
         JOIN (SELECT v.raw, coalesce(m.entry, 'unmatched') AS entry, salt
-              FROM _licence_values v LEFT JOIN _licence_mapped m ON m.value = v.value LATERAL VIEW explode(sequence(0, {SALT - 1})) s AS salt) m
-          ON h.raw = m.raw AND h.salt = m.salt""")
+              FROM {vals} v LEFT JOIN {mapped} m ON m.value = v.value LATERAL VIEW explode(sequence(0, {salt} - 1)) s AS salt) m
+          ON h.raw = m.raw AND h.salt = m.salt""",
+        held=held, vals=values, mapped=mapped, salt=SALT,
+    )
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """(record_id, version, license_id) of every licence typed in a registry document."""
     return map_licences(spark, table(spark, root, "registry_docs"), table(spark, root, "license_reference")).select("record_id", "version", "license_id").distinct()
+
+
+def _public_names() -> list[tuple[str, str]]:
+    return [(e.strip(), s.strip()) for line in PUBLIC_NAMES.strip().splitlines() for e, _, names in [line.partition(":")] for s in names.split(";")]
+
+
+def _plain_sql(v: str) -> str:
+    """`PLAIN` in DuckDB's expressions, which have no look-ahead."""
+    out = f"trim(regexp_replace(lower({v}), '[\\s_]+', ' ', 'g'))"
+    for pattern, by in (
+        ("^\\W*(licen[cs]e *:+ *|licen[cs]ed under (the )?|released under (the )?|distributed under (the )?)", ""), ("\\(?see (the )?licen[cs]e[a-z. ]*(file)?\\)?\\W*$", ""), ("licence", "license"),
+        ("([0-9])\\.0+($|[^0-9.]|\\.($|[^0-9]))", "\\1\\2"), ("([0-9])\\.([0-9])", "\\1\\2"), ("[^\\p{L}0-9?]+", ""),
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return out
+
+
+_DIGITS = lambda v: f"regexp_replace({v}, '[^0-9]', '', 'g')"
+P6_SQL = f"""
+WITH base AS (SELECT license_id AS entry, lower(full_name) AS whole, lower(license_id) AS id, regexp_extract(full_name, '([0-9]+([.][0-9]+)?)', 1) AS version, starts_with(license_id, 'LicenseRef-') AS own FROM license_reference),
+words AS (SELECT *, string_split(trim(regexp_replace(regexp_replace(whole, 'v?[0-9]+[.][0-9]+', ' ', 'g'), '[^a-z]+', ' ', 'g')), ' ') AS w FROM base),
+bare AS (SELECT entry, own, version, array_to_string(w, ' ') AS name, w[1] AS maker, array_to_string(list_filter(w, lambda x: x <> 'license'), ' ') AS short,
+  array_to_string(list_transform(w[2:11], lambda x: left(x, 1)), '') AS rest, array_to_string(list_transform(w, lambda x: left(x, 1)), '') AS letters FROM words),
+names AS (SELECT n.e AS entry, n.s FROM (VALUES {", ".join(f"('{e}', '{s}')" for e, s in _public_names())}) n(e, s) WHERE n.e IN (SELECT license_id FROM license_reference)),
+raw AS (
+  SELECT entry, id AS s FROM base UNION ALL SELECT entry, whole FROM base UNION ALL SELECT entry, replace(id, 'licenseref-', '') FROM base WHERE own
+  UNION ALL SELECT entry, unnest([name, short]) || ' {{' || version || '}}' FROM bare WHERE version <> '' AND entry NOT LIKE 'BSD%'
+  UNION ALL SELECT entry, s FROM (SELECT entry, unnest([name, short]) AS s FROM bare WHERE entry NOT LIKE 'BSD%') WHERE contains(s, ' ')
+  UNION ALL SELECT entry, unnest([maker || ' ' || rest, maker || ' {{' || version || '}}', maker || ' ' || rest || ' {{' || version || '}}', letters || ' {{' || version || '}} ' || maker, letters || ' ' || maker, letters, letters || ' {{' || version || '}}']) FROM bare WHERE own
+  UNION ALL SELECT entry, s FROM names),
+versioned AS (SELECT entry, replace(replace(replace(s, '{{', m), '}}', ''), '  ', ' ') AS s FROM raw, (VALUES (''), ('v'), ('version '), ('v.')) t(m)),
+led AS (SELECT entry, lead || s AS s FROM versioned, (VALUES (''), ('the ')) t(lead)),
+normal AS (SELECT DISTINCT entry, {_plain_sql('s')} AS spelling FROM led),
+either AS (SELECT entry, spelling FROM normal UNION SELECT entry, replace(spelling, 'license', 'licence') FROM normal),
+spelled AS (SELECT spelling, min(entry) AS entry, CASE WHEN length(spelling) < 5 THEN 0 WHEN length(spelling) < 6 THEN 1 ELSE 2 END AS k, {_DIGITS('spelling')} AS digits FROM either WHERE spelling <> '' GROUP BY spelling HAVING count(DISTINCT entry) = 1),
+doc AS (SELECT DISTINCT record_id, payload::JSON AS j FROM registry_docs WHERE json_valid(payload)),
+held AS (
+  SELECT record_id, coalesce(CASE WHEN json_type(j, '$.versions') = 'OBJECT' THEN key END, value->>'version') AS version, value->'license' AS l FROM doc, json_each(j, '$.versions') WHERE json_type(value) = 'OBJECT'
+  UNION ALL SELECT record_id, j->>'$.info.version', j->'$.info.license' FROM doc),
+typed AS (SELECT DISTINCT record_id, version, CASE json_type(l) WHEN 'OBJECT' THEN l->>'$.type' WHEN 'VARCHAR' THEN l->>'$' WHEN 'NULL' THEN NULL ELSE l::VARCHAR END AS raw FROM held WHERE l IS NOT NULL),
+put AS (SELECT record_id, version, raw, {_plain_sql('raw')} AS value FROM typed WHERE trim(regexp_replace(raw, '\\s', ' ', 'g')) <> ''),
+vals AS (SELECT DISTINCT value, {_DIGITS('value')} AS digits FROM put WHERE value <> ''),
+best AS (SELECT value, arg_min(entry, (levenshtein(value, spelling), entry)) AS entry FROM vals v JOIN spelled s ON s.digits = v.digits WHERE levenshtein(value, spelling) <= k GROUP BY value)
+SELECT DISTINCT record_id, version, coalesce(entry, 'unmatched') AS license_id FROM put LEFT JOIN best USING (value)
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "p9_share_by_source": truncation.p9_share_by_source,
 }
 
-SQL = {"p2_found": advisory_groups.P2_SQL}
+SQL = {"p2_found": advisory_groups.P2_SQL, "p6_found": licences.P6_SQL}
