@@ -13,9 +13,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator, Mapping, Sequence
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ _AFTER_ESCAPE = np.zeros(256, bool)
 _AFTER_ESCAPE[[ord(c) for c in '"\\/bfnrtu']] = True
 _HEX = np.zeros(256, bool)
 _HEX[[ord(c) for c in "0123456789abcdefABCDEF"]] = True
-_NUMBER = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\Z")
-_NAMED = {b"true", b"false", b"null"}
+_NUMBER = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+_NAMED = (b"true", b"false", b"null")
 
 
 class StructuralIndex:
@@ -65,7 +66,8 @@ class StructuralIndex:
         n = len(b)
         quote = b == 34
         slash = b == 92
-        if slash.any():
+        self.slashes = np.concatenate([[0], np.cumsum(slash)]) if slash.any() else None
+        if self.slashes is not None:
             # length of the run of backslashes that ends before each byte; odd: escaped
             at = np.arange(n)
             last_other = np.maximum.accumulate(np.where(slash, -1, at))
@@ -180,11 +182,25 @@ class StructuralIndex:
         size = np.bincount(par[~top], minlength=n)
         odd = np.where(k == OPEN_OBJ, (size > 0) & ((size & 3) != 3), (size > 0) & ((size & 1) == 0)) & opener
         self._bad(self.doc[odd])
+        self.raw = self.buf.tobytes()
         lit = np.flatnonzero(k == LITERAL)
-        raw = self.buf.tobytes()
-        wrong = [i for i in lit if (x := raw[self.pos[i] : self.end[i]]) not in _NAMED and not _NUMBER.match(x)]
+        named = np.zeros(len(lit), bool)
+        for word in _NAMED:
+            named |= self.equals(self.pos[lit], self.end[lit], word)
+        self.null = np.zeros(n, bool)
+        self.null[lit] = self.equals(self.pos[lit], self.end[lit], b"null")
+        wrong = [i for i in lit[~named].tolist() if not _NUMBER.fullmatch(self.raw, self.pos[i], self.end[i])]
         self._bad(self.doc[np.asarray(wrong, np.int64)])
-        self.raw = raw
+
+    def equals(self, start: np.ndarray, end: np.ndarray, word: bytes) -> np.ndarray:
+        """Which of the spans hold exactly `word`."""
+        same = end - start == len(word)
+        at = start[same]
+        fits = np.ones(len(at), bool)
+        for i, c in enumerate(word):
+            fits &= self.buf[at + i] == c
+        same[same] = fits
+        return same
 
     def text(self, token: int) -> bytes:
         return self.raw[self.pos[token] : self.end[token]]
@@ -199,57 +215,76 @@ class StructuralIndex:
 
 
 def _unquote(raw: bytes) -> str:
-    return json.loads(raw) if b"\\" in raw else raw[1:-1].decode("utf-8", "replace")
+    return json.loads(raw).encode("utf-8", "replace").decode() if b"\\" in raw else raw[1:-1].decode("utf-8", "replace")
+
+
+class Level(NamedTuple):
+    """Values of one depth that paths lead to."""
+
+    token: np.ndarray
+    above: np.ndarray  # place of each one's parent in the level above
+    mask: np.ndarray  # the paths it lies on, one bit each
+    segment: np.ndarray  # its key, place or name
+    place: np.ndarray
 
 
-def match_paths(index: StructuralIndex, paths: Mapping[str, Sequence[str]], named_by: Mapping[str, str]) -> list[tuple]:
-    """(doc, table, node, parent node, segments, place, kind, parent kind, text) of every
-    value whose path from the root is one of `paths`, `*` standing for any key or place."""
-    ix = index
+def _keys_equal(ix: StructuralIndex, keys: np.ndarray, word: str) -> np.ndarray:
+    same = ix.equals(ix.pos[keys] + 1, ix.end[keys] - 1, word.encode())
+    odd = np.flatnonzero(ix.slashes[ix.end[keys]] > ix.slashes[ix.pos[keys]]) if ix.slashes is not None else ()
+    for i in odd:  # written with escapes
+        same[i] = _unquote(ix.text(keys[i])) == word
+    return same
+
+
+def match_paths(index: StructuralIndex, paths: Mapping[str, Sequence[str]], named_by: Mapping[str, str]) -> list[Level]:
+    """The levels below the roots, as far as the longest of `paths` reaches (`*` any key or
+    place); bit q of a mask stands for path q. All of a level is compared at once."""
+    ix, pats = index, [tuple(p) for p in paths.values()]
     vals = ix.values()
-    if not len(vals):
-        return []
-    par, kind = ix.parent[vals], ix.kind[vals]
-    by_level: dict[int, np.ndarray] = {}
-    order = np.argsort(ix.level[vals], kind="stable")
-    levels, first = np.unique(ix.level[vals][order], return_index=True)
-    for i, lv in enumerate(levels):
-        by_level[int(lv)] = order[first[i] : first[i + 1] if i + 1 < len(levels) else None]
-    names = list(paths)
-    pats = [tuple(paths[n]) for n in names]
-    alive: dict[int, list[int]] = {int(vals[j]): list(range(len(pats))) for j in by_level.get(0, ())}
-    segs: dict[int, tuple] = {t: () for t in alive}
-    live = np.zeros(len(ix.kind), bool)
-    live[list(alive)] = True
-    out: list[tuple] = []
-    tag = {tuple(k.split(".")): v for k, v in named_by.items()}
-    none = np.zeros(0, np.int64)
-    for lv in range(1, max(map(len, pats), default=0) + 1):
-        at = by_level.get(lv, none)
-        at = at[live[par[at]]]  # only what lies below a value that a path has led to
-        nxt: dict[int, list[int]] = {}
-        for j in at.tolist():
-            t, p = int(vals[j]), int(par[j])
-            in_obj = ix.kind[p] == OPEN_OBJ
-            place = int(ix.slot[t] // (4 if in_obj else 2))
-            key = _unquote(ix.text(t - 2)) if in_obj else str(place)  # key, colon, value follow each other
-            hit = [q for q in alive[p] if len(pats[q]) >= lv and (pats[q][lv - 1] == "*" or (in_obj and pats[q][lv - 1] == key))]
-            if not hit:
+    at = ix.level[vals]
+    deepest = max(map(len, pats), default=0)
+    roots = vals[at == 0]
+    levels = [Level(roots, np.zeros(len(roots), np.int64), np.full(len(roots), (1 << len(pats)) - 1), np.full(len(roots), "", object), np.zeros(len(roots), np.int64))]
+    tags = {tuple(k.split(".")): v for k, v in named_by.items()}
+    where = np.full(len(ix.kind), -1, np.int64)
+    for lv in range(1, deepest + 1):
+        above = levels[-1]
+        where[above.token] = np.arange(len(above.token))
+        t = vals[at == lv]
+        up = where[ix.parent[t]]
+        t, up = t[up >= 0], up[up >= 0]
+        in_obj = ix.kind[ix.parent[t]] == OPEN_OBJ
+        was, mask = above.mask[up], np.zeros(len(t), np.int64)
+        segment = np.full(len(t), None, object)
+        for word in {p[lv - 1] for p in pats if len(p) >= lv}:
+            bits = sum(1 << q for q, p in enumerate(pats) if len(p) >= lv and p[lv - 1] == word)
+            if word == "*":
+                mask |= was & bits
                 continue
-            if not in_obj and ix.kind[t] == OPEN_OBJ and (want := tag.get(segs[p])) is not None:
-                key = _member(ix, t, want, key)
-            nxt[t] = hit
-            segs[t] = segs[p] + (key,)
-            for q in hit:
-                if len(pats[q]) == lv:
-                    raw = ix.text(t) if kind[j] in (STRING, LITERAL) else b""
-                    kd = "null" if raw == b"null" and kind[j] == LITERAL else KINDS[int(kind[j])]
-                    text = _unquote(raw) if kind[j] == STRING else raw.decode("utf-8", "replace") if kind[j] == LITERAL else None
-                    out.append((int(ix.doc[t]), names[q], t, p, segs[t], place, kd, KINDS[int(ix.kind[p])], text))
-        alive = nxt
-        live[:] = False
-        live[[t for t in nxt if ix.kind[t] in (OPEN_OBJ, OPEN_ARR)]] = True
-    return out
+            asked = np.flatnonzero(in_obj & (was & bits > 0))
+            hit = asked[_keys_equal(ix, t[asked] - 2, word)]  # key, colon, value follow each other
+            mask[hit] |= was[hit] & bits
+            segment[hit] = word
+        keep = mask > 0
+        t, up, mask, segment, in_obj = t[keep], up[keep], mask[keep], segment[keep], in_obj[keep]
+        place = ix.slot[t] // np.where(in_obj, 4, 2)
+        listed = np.flatnonzero(~in_obj)
+        if len(listed):
+            names = np.array([str(i) for i in range(int(place[listed].max()) + 1)], object)
+            segment[listed] = names[place[listed]]
+        rest = np.flatnonzero(np.equal(segment, None))
+        if len(rest):
+            segment[rest] = [_unquote(ix.text(k)) for k in (t[rest] - 2).tolist()]
+        for tag, member in tags.items():
+            if len(tag) == lv - 1:
+                inside, back = np.ones(len(t), bool), up
+                for lower in range(lv - 1, 0, -1):
+                    inside &= levels[lower].segment[back] == tag[lower - 1]
+                    back = levels[lower].above[back]
+                for i in np.flatnonzero(inside & ~in_obj & (ix.kind[t] == OPEN_OBJ)).tolist():
+                    segment[i] = _member(ix, int(t[i]), member, segment[i])
+        levels.append(Level(t, up, mask, segment, place))
+    return levels
 
 
 def _member(ix: StructuralIndex, obj: int, want: str, default: str) -> str:
@@ -282,33 +317,52 @@ def shred(df: DataFrame, record: str, text: str, paths: Mapping[str, Sequence[st
     tags = dict(named_by or {})
     wanted = {k: tuple(v) for k, v in paths.items()}
     schema = f"`{record}` bigint, child string, node int, parent int, path array<string>, place int, kind string, parent_kind string, value string"
-    cols = [record, "child", "node", "parent", "path", "place", "kind", "parent_kind", "value"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ids, texts, size = [], [], 0
-            for rid, t in zip(pdf[record].array, pdf[text].array):
-                if t is None or t is pd.NA or rid is None or rid is pd.NA:
-                    continue
-                raw = t.encode("utf-8", "surrogatepass")
+            for rid, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 if texts and size + len(raw) > CHUNK_BYTES:
-                    yield _rows(ids, texts, wanted, tags, cols)
+                    yield from _rows(ids, texts, wanted, tags, record)
                     ids, texts, size = [], [], 0
-                ids.append(int(rid))
+                ids.append(rid)
                 texts.append(raw)
                 size += len(raw)
             if texts:
-                yield _rows(ids, texts, wanted, tags, cols)
+                yield from _rows(ids, texts, wanted, tags, record)
 
     src = df.where(F.col(text).isNotNull() & F.col(record).isNotNull()).select(F.col(record).cast("bigint").alias(record), F.col(text).alias(text))
-    return src.mapInPandas(run, schema)
-
-
-def _rows(ids: list[int], texts: list[bytes], wanted: dict, tags: dict, cols: list[str]) -> pd.DataFrame:
-    index = StructuralIndex(texts)
-    first = np.searchsorted(index.doc, np.arange(len(texts))) if len(index.kind) else np.zeros(len(texts), int)
-    got = match_paths(index, wanted, tags)
-    return pd.DataFrame(
-        [(ids[d], name, t - int(first[d]), p - int(first[d]), list(seg), place, kd, pk, txt) for d, name, t, p, seg, place, kd, pk, txt in got],
-        columns=cols,
-    )
+    return src.mapInArrow(run, schema)
+
+
+def _rows(ids: list[int], texts: list[bytes], wanted: dict, tags: dict, record: str) -> Iterator[pa.RecordBatch]:
+    ix = StructuralIndex(texts)
+    if not len(ix.kind):
+        return
+    first = np.searchsorted(ix.doc, np.arange(len(texts)))
+    ids = np.asarray(ids, np.int64)
+    levels = match_paths(ix, wanted, tags)
+    kinds = np.array([KINDS.get(k, "") for k in range(9)], object)
+    for q, (name, path) in enumerate(wanted.items()):
+        here = np.flatnonzero(levels[len(path)].mask >> q & 1) if len(path) < len(levels) else ()
+        if not len(here):
+            continue
+        t = levels[len(path)].token[here]
+        doc, par = ix.doc[t], ix.parent[t]
+        segments, back = [], here
+        for lv in range(len(path), 0, -1):
+            segments.append(levels[lv].segment[back])
+            back = levels[lv].above[back]
+        flat = np.stack(segments[::-1], axis=1).ravel()
+        kind = kinds[ix.kind[t]]
+        kind[ix.null[t]] = "null"
+        value = np.full(len(t), None, object)
+        for i in np.flatnonzero((ix.kind[t] == STRING) | (ix.kind[t] == LITERAL)).tolist():
+            raw = ix.text(t[i])
+            value[i] = _unquote(raw) if ix.kind[t[i]] == STRING else raw.decode("utf-8", "replace")
+        columns = [
+            pa.array(ids[doc]), pa.array([name] * len(t), pa.string()), pa.array((t - first[doc]).astype(np.int32)), pa.array((par - first[doc]).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(path), dtype=np.int32)), pa.array(flat, pa.string())), pa.array(levels[len(path)].place[here].astype(np.int32)),
+            pa.array(kind, pa.string()), pa.array(kinds[ix.kind[par]], pa.string()), pa.array(value, pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=[record, "child", "node", "parent", "path", "place", "kind", "parent_kind", "value"])
