@@ -323,8 +323,9 @@ SELECT project_id, substring(sha256(string_agg(package_key, chr(10) ORDER BY pac
 FROM (SELECT DISTINCT project_id, package_key FROM dependency_nodes WHERE package_key IS NOT NULL) GROUP BY project_id""")
 def k_document_id(spark, root):
     """An identifier of each project's bill of materials that depends on its packages only."""
-    t = table(spark, root, "dependency_nodes").where("package_key is not null")
-    return t.groupBy("project_id").agg(F.left(F.sha2(F.array_join(F.array_sort(F.collect_set("package_key")), "\n"), 256), F.lit(32)).alias("document_id"))
+    from .reports import document_ids
+
+    return document_ids(table(spark, root, "dependency_nodes"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, count(*) AS events FROM events GROUP BY 1")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +55,26 @@ def _children(nodes: DataFrame, packs: DataFrame, by: str) -> DataFrame:
     return links.join(a, ["project_id", "package_key"]).join(b, ["project_id", "child"]).groupBy("project_id", "parent").agg(F.array_sort(F.collect_set("ref")).alias("children"))
 
 
+def document_ids(nodes: DataFrame) -> DataFrame:
+    """(project_id, document_id): half the SHA-256 of a project's sorted package keys, one a line.
+
+    Keys come sorted to the task of their project and are fed to the digest one by one, so a
+    project of any size needs no more memory than a batch. Null keys are left out.
+    """
+    keys = nodes.where("package_key is not null").select("project_id", "package_key").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for project, group in groupby(rows, lambda r: r[0]):
+            digest, first = hashlib.sha256(), True
+            for _, key in group:
+                digest.update((key if first else "\n" + key).encode())
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array([project], pa.string()), pa.array([digest.hexdigest()[:32]])], names=["project_id", "document_id"])
+
+    return keys.repartition("project_id").sortWithinPartitions("project_id", "package_key").mapInArrow(run, "project_id string, document_id string")
+
+
 def relationships(nodes: DataFrame) -> DataFrame:
     """(project_id, source, relation, target): the document describes the root, the root depends
     on direct packages, and packages on those of their dependencies that are in the project."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def hourly_counts(events: DataFrame, time: str = "ts", late: str = "2 hours") -> DataFrame:
@@ -51,3 +55,27 @@ def manifests_to(spark: SparkSession, folder: str, path: str, checkpoint: str):
 def latest_values(updates: DataFrame, key: str, time: str, ttl: str) -> DataFrame:
     """The last value time of each key; keys unseen for `ttl` behind the newest row expire."""
     return updates.withWatermark(time, ttl).groupBy(F.session_window(time, ttl).alias("w"), key).agg(F.max(time).alias("last_seen"), F.count("*").alias("updates")).select(key, "last_seen", "updates")
+
+
+def expiring_values(updates: DataFrame, key: str, time: str, ttl_seconds: int) -> DataFrame:
+    """A keyed state with expiry: (key, last_seen, updates, expired) of every key that a batch
+    brings or that expires, which it does when the watermark passes its last row by
+    `ttl_seconds`; a key seen again after that starts anew. For output mode `update`."""
+    fields = "key string, last_seen timestamp, updates bigint, expired boolean"
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n = state.get if state.exists else (None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(k[0], last, n, True)], columns=["key", "last_seen", "updates", "expired"])
+            return
+        for pdf in batches:
+            newest = pdf[time].max().to_pydatetime()
+            last, n = newest if last is None else max(last, newest), n + len(pdf)
+        state.update((last, n))
+        ends = int(pd.Timestamp(last).timestamp() * 1000) + ttl_seconds * 1000
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(k[0], last, n, False)], columns=["key", "last_seen", "updates", "expired"])
+
+    marked = updates.where(F.col(time).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(time).cast("timestamp").alias(time)).withWatermark(time, "0 seconds")
+    return marked.groupBy("key").applyInPandasWithState(run, fields, "last timestamp, n bigint", "update", GroupStateTimeout.EventTimeTimeout)

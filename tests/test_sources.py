@@ -223,3 +223,14 @@ def test_reports_of_all_forms(spark):
     f = spark.createDataFrame([("p", "secret", "error"), ("p", "secret", "error")], "project_id string, category string, level string")
     doc = {r.project_id: json.loads(r.document) for r in reports.audit_json(s.select("project_id", "score"), f).collect()}
     assert doc["p"] == {"project": "p", "summary": {"score": 93}, "findings": [{"category": "secret", "level": "error", "findings": 2}]} and doc["q"]["findings"] == []
+
+
+def test_keyed_state_expires(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("ts timestamp, key string").parquet(str(tmp_path / "in"))
+    seen = []
+    for n, rows in enumerate([[("2026-01-01 00:00:00", "a"), ("2026-01-01 00:05:00", "a"), ("2026-01-01 00:10:00", "b")], [("2026-01-01 03:00:00", "b")], [("2026-01-01 03:10:00", "a")], [("2026-01-01 03:20:00", "c")]]):
+        spark.createDataFrame(rows, "ts string, key string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = flows.expiring_values(stream, "key", "ts", 3600).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda df, i: seen.extend((r.key, r.updates, r.expired) for r in df.collect()))
+        q.trigger(availableNow=True).start().awaitTermination(120)
+    assert ("a", 2, False) in seen and ("a", 2, True) in seen and ("a", 1, False) in seen and ("b", 2, False) in seen
