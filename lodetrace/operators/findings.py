@@ -72,6 +72,29 @@ def vulnerabilities(nodes: DataFrame, osv: DataFrame, kev: DataFrame) -> DataFra
     return v.select("ecosystem", "name", "version", "id", "cve", "summary", "score", "severity", "exploited", "malicious", level_of(F.col("severity"), F.col("exploited")).alias("level"), "fixed", versions.lowest_listed(F.col("fixed"), F.col("_eco")).alias("lowest_fixed"))
 
 
+def _rank(c: str, order: list[str]) -> Column:
+    return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in order]), F.col(c)), F.lit(0))
+
+
+def in_severity_order(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Vulnerabilities numbered from 0: the worst first, then by package and advisory."""
+    keyed = rows.withColumn("_r", _rank("severity", ["critical", "high", "medium", "low", "none", "unknown"])).withColumn("_k", packages.package_key(F.col("ecosystem"), F.col("name"), F.col("version")))
+    return relational.row_numbers(keyed, "_r", "_k", "id", name=name).drop("_r", "_k")
+
+
+def in_plan_order(plan: DataFrame, name: str = "place") -> DataFrame:
+    """Updates numbered from 0: those that mend flaws first, then the smallest step, then by name."""
+    keyed = plan.withColumn("_f", F.size("fixes") == 0).withColumn("_b", _rank("bump", ["patch", "minor", "major"]))
+    return relational.row_numbers(keyed, "_f", "_b", "name", "ecosystem", "version", name=name).drop("_f", "_b")
+
+
+def reachable_first(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Findings with `reachable` numbered from 0: reachable ones first, unknown ones last, each in
+    the order of their other keys."""
+    keyed = rows.withColumn("_r", F.when(F.col("reachable"), 0).when(~F.col("reachable"), 1).otherwise(2))
+    return relational.row_numbers(keyed, "_r", *[c for c in rows.columns if c != "reachable"], name=name).drop("_r")
+
+
 def vulnerability_summary(rows: DataFrame) -> DataFrame:
     """(severity, vulnerabilities, exploited) of all six severities, whether there are any or not."""
     buckets = rows.sparkSession.createDataFrame([(s,) for s in ("critical", "high", "medium", "low", "none", "unknown")], "severity string")
@@ -298,6 +321,43 @@ def version_changes(versions_of: DataFrame, by: Column) -> DataFrame:
     return out.withColumn("verdict", verdict).where("verdict <> 'clear'")
 
 
+def change_findings(changes: DataFrame, name: Column) -> DataFrame:
+    """A finding of each row of `version_changes`: an error if flagged, else a warning."""
+    at = F.concat(name, F.lit("@"), F.col("to"))
+    told = F.concat_ws(" ", F.when(F.col("provenance_lost"), "Build provenance was removed."), F.when(F.size("dangerous") > 0, F.concat(F.lit("New dangerous install scripts: "), F.array_join("dangerous", ", "), F.lit("."))), F.when(F.size("scripts_changed") > 0, F.concat(F.lit("Install scripts changed: "), F.array_join("scripts_changed", ", "), F.lit("."))))
+    return _finding(
+        changes, 2, rule_id=f"{TOOL}/version-diff", level=F.when(F.col("verdict") == "flagged", "error").otherwise("warning"), category="malicious", title=F.concat(F.lit("Suspicious changes in "), at), message=told,
+        uri=packages.purl(F.lit("npm"), name, F.col("to")), fingerprint=F.concat(F.lit("version-diff:"), at), ecosystem="npm", name=name, version=F.col("to"),
+    )
+
+
+def not_clear(assessed: DataFrame) -> DataFrame:
+    """Assessments with a verdict worth showing."""
+    return assessed.where("verdict <> 'clear'")
+
+
+def check_candidate(name: str, ecosystem: str, docs: DataFrame, popular: DataFrame) -> DataFrame:
+    """The signals of one package that is about to be installed, one of them being that no
+    registry document describes it."""
+    spark = docs.sparkSession
+    one = spark.createDataFrame([(ecosystem, name)], "ecosystem string, name string")
+    known = package_metadata(docs).select(F.lower("ecosystem").alias("_e"), F.col("key").alias("_k"))
+    key = one.withColumn("_e", F.lower("ecosystem")).withColumn("_k", packages.normal_name(F.col("ecosystem"), F.col("name")))
+    absent = key.join(known, ["_e", "_k"], "left_anti").select("ecosystem", "name", F.lit("not-found").alias("signal"), F.lit("warning").alias("level"), F.lit("Not in the registry: a typing error or an unpublished name").alias("detail"))
+    return package_signals(one, docs, popular).unionByName(absent)
+
+
+def lint_manifest(names: DataFrame, signals: DataFrame, vulns: DataFrame, unused: DataFrame) -> DataFrame:
+    """(name, signals, cves, unused) of every name of a manifest: what detectors, advisories and
+    import analysis say of it (left joins by name)."""
+    s = signals.groupBy("name").agg(F.array_sort(F.collect_set("signal")).alias("signals"))
+    v = vulns.groupBy("name").agg(F.array_sort(F.collect_set("cve")).alias("cves"))
+    u = unused.select("name").distinct().withColumn("unused", F.lit(True))
+    none = F.array().cast(_TEXTS)
+    out = names.select("name").distinct().join(s, "name", "left").join(v, "name", "left").join(u, "name", "left")
+    return out.select("name", F.coalesce("signals", none).alias("signals"), F.coalesce("cves", none).alias("cves"), F.coalesce("unused", F.lit(False)).alias("unused"))
+
+
 def maintainer_changes(old: Column, new: Column) -> tuple[Column, Column]:
     """Maintainers added and removed: the identity of one is its name, or else its address; blank
     ones do not count."""

@@ -9,10 +9,10 @@ from ..functions.detectors import INSTALL_HOOKS
 from ..functions.packages import normal_name
 
 def latest_documents(docs: DataFrame) -> DataFrame:
-    """The last readable document of every (ecosystem, name): record_id, ecosystem, name, and
-    `key`, the name as the ecosystem compares it. Later means a later fetch, then a greater
+    """The last readable document of every (ecosystem, name): record_id, ecosystem (in small
+    letters), name, and `key`, the name as the ecosystem compares it. Later means a later fetch, then a greater
     record_id. Rows without a name or payload, and unreadable ones, are left out."""
-    d = docs.where("name is not null and ecosystem is not null and payload is not null").withColumn("key", normal_name(F.col("ecosystem"), F.col("name")))
+    d = docs.where("name is not null and ecosystem is not null and payload is not null").withColumn("key", normal_name(F.col("ecosystem"), F.col("name"))).withColumn("ecosystem", F.lower("ecosystem"))
     d = d.where(F.expr("schema_of_variant(try_parse_json(payload)) <> 'VOID'"))
     # only the number of the last one is shuffled, not the payloads
     last = d.groupBy("ecosystem", "key").agg(F.max(F.struct("fetched_at", "record_id")).record_id.alias("record_id"))

@@ -40,8 +40,8 @@ def fill_forward(df: DataFrame, partition: Sequence[str], order: Sequence[str],
 def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFrame:
     """The first `k` rows of each key. Spark keeps only k rows a key before the shuffle
     (window group limit), so a hot key does not gather in one task."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+    w, (rank,) = Window.partitionBy(*keys).orderBy(*order), free_names(df, "rank")
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).drop(rank)
 
 
 def ancestors(path: Column, mark: str = "/node_modules/") -> Column:
@@ -83,17 +83,28 @@ def row_numbers(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     in it, and the result is written before the parts are counted, as ranges that are sampled
     a second time would be others. Rows of equal `order` get positions in any order.
     """
-    place = F.monotonically_increasing_id()  # part << 33 | place
-    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", place.alias("_at")))
-    part = F.shiftright("_at", 33)
-    counts = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("c")).orderBy("_p").collect()
-    base, run = [], 0
+    at, part, base = free_names(df, "at", "part", "base")
+    ids = F.monotonically_increasing_id()  # part << 33 | place
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", ids.alias(at)))
+    of = F.shiftright(at, 33)
+    counts = ranged.groupBy(of.alias(part)).agg(F.count("*").alias("c")).orderBy(part).collect()
+    starts, run = [], 0
     for r in counts:
-        base.append((r["_p"], run))
+        starts.append((r[part], run))
         run += r["c"]
-    start = df.sparkSession.createDataFrame(base, "_p bigint, _b bigint")
-    numbered = ranged.withColumn("_p", part).join(F.broadcast(start), "_p")  # one row a part
-    return numbered.withColumn(name, F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_b")).drop("_p", "_b", "_at")
+    start = df.sparkSession.createDataFrame(starts, f"{part} bigint, {base} bigint")
+    numbered = ranged.withColumn(part, of).join(F.broadcast(start), part)  # one row a part
+    return numbered.withColumn(name, F.col(at).bitwiseAND((1 << 33) - 1) + F.col(base)).drop(part, base, at)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that are no columns of `df`, whatever those are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while (n := f"_{n}") in taken:
+            pass
+        out.append(n)
+    return out
 
 
 def snapshot_compare(old: DataFrame, new: DataFrame, key: str, arrays: Sequence[str]) -> DataFrame:

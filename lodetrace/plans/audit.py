@@ -9,7 +9,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detectors, packages, versions
+from ..functions import detectors, packages, secret_rules, versions
 from ..operators import findings, graph, registry
 from ..operators.hierarchy import clean_links
 from ..sources import history
@@ -65,7 +65,7 @@ vuln AS (SELECT h.ecosystem, h.name, h.version, h.id, a.cve, a.summary, a.score,
   FROM hits h JOIN about a USING (id) LEFT JOIN fixes f ON f.id = h.id AND f.eco = lower(h.ecosystem) AND f.name = {_NORM('h.ecosystem', 'h.name')}),
 vulns AS (SELECT *, CASE WHEN lower(ecosystem) = 'npm' AND len(list_filter(fixed, lambda x: NOT regexp_matches(x, '{_SEMANTIC}'))) = 0 THEN (SELECT arg_min(x, ({_vk('x', "'npm'")}, x)) FROM (SELECT unnest(fixed) AS x)) ELSE fixed[1] END AS lowest_fixed FROM vuln)"""
 _META = f"""
-docs AS (SELECT DISTINCT record_id, ecosystem, {_NORM('ecosystem', 'name')} AS key, fetched_at, payload::JSON AS j FROM registry_docs WHERE name IS NOT NULL AND ecosystem IS NOT NULL AND json_valid(payload) AND json_type(payload) <> 'NULL'),
+docs AS (SELECT DISTINCT record_id, lower(ecosystem) AS ecosystem, {_NORM('ecosystem', 'name')} AS key, fetched_at, payload::JSON AS j FROM registry_docs WHERE name IS NOT NULL AND ecosystem IS NOT NULL AND json_valid(payload) AND json_type(payload) <> 'NULL'),
 lastdoc AS (SELECT DISTINCT ON (record_id) * FROM docs WHERE (ecosystem, key, record_id) IN (SELECT (ecosystem, key, arg_max(record_id, (coalesce(epoch_us(fetched_at), -1), record_id))) FROM docs GROUP BY ecosystem, key)),
 now AS (SELECT *, json_extract(j, '/versions/' || replace(j->>'$."dist-tags".latest', '/', '~1')) AS n FROM lastdoc),
 meta AS (SELECT ecosystem, key, coalesce(j->>'$."dist-tags".latest', j->>'$.info.version') AS latest,
@@ -108,11 +108,13 @@ signals AS (
 # --- vulnerabilities and updates ------------------------------------------------------------
 
 
-@query(f"""WITH {_VULN} SELECT ecosystem, name, version, id, cve, severity, exploited, malicious, level, array_to_string(fixed, ' ') AS fixed, lowest_fixed FROM vulns""")
+@query(f"""WITH {_VULN} SELECT ecosystem, name, version, id, cve, severity, exploited, malicious, level, array_to_string(fixed, ' ') AS fixed, lowest_fixed,
+  row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 WHEN 'none' THEN 4 ELSE 5 END, ecosystem || ':' || name || '@' || version, id) - 1 AS place FROM vulns""")
 def d_vulnerabilities(spark, root):
-    """Package versions with the advisories that cover them, rated and with fixed versions."""
-    v = _vulnerabilities(spark, root)
-    return v.select("ecosystem", "name", "version", "id", "cve", "severity", "exploited", "malicious", "level", F.array_join("fixed", " ").alias("fixed"), "lowest_fixed")
+    """Package versions with the advisories that cover them, rated and with fixed versions, in
+    report order: the worst first, then by package."""
+    v = findings.in_severity_order(_vulnerabilities(spark, root))
+    return v.select("ecosystem", "name", "version", "id", "cve", "severity", "exploited", "malicious", "level", F.array_join("fixed", " ").alias("fixed"), "lowest_fixed", "place")
 
 
 @query(f"""WITH {_VULN} SELECT s.severity, count(v.id) AS vulnerabilities, count_if(coalesce(v.exploited, false)) AS exploited FROM (VALUES ('critical'), ('high'), ('medium'), ('low'), ('none'), ('unknown')) s(severity) LEFT JOIN vulns v USING (severity) GROUP BY s.severity""")
@@ -137,10 +139,12 @@ plan AS (SELECT ecosystem, name, version, target, fixes, CASE WHEN {_NTH('versio
 
 @query(f"""WITH {_PLAN} SELECT ecosystem, name, version, target, bump, array_to_string(fixes, ' ') AS fixes, changelog,
   CASE bump WHEN 'major' THEN 'Major update, likely breaking; review before applying.' WHEN 'minor' THEN 'Minor update.' ELSE 'Patch update, no breaking changes.' END ||
-  CASE WHEN len(fixes) > 0 THEN ' Resolves ' || array_to_string(fixes, ', ') || '.' WHEN bump = 'minor' THEN ' Keeps the dependency current.' ELSE '' END AS reason FROM plan""")
+  CASE WHEN len(fixes) > 0 THEN ' Resolves ' || array_to_string(fixes, ', ') || '.' WHEN bump = 'minor' THEN ' Keeps the dependency current.' ELSE '' END AS reason,
+  row_number() OVER (ORDER BY len(fixes) = 0, CASE bump WHEN 'patch' THEN 0 WHEN 'minor' THEN 1 ELSE 2 END, name, ecosystem, version) - 1 AS place FROM plan""")
 def d_update_plan(spark, root):
-    """What each direct package should move to, and why."""
-    p = findings.update_plan(_nodes(spark, root), table(spark, root, "registry_docs"), _vulnerabilities(spark, root))
+    """What each direct package should move to, and why; what mends flaws first, then the
+    smallest step."""
+    p = findings.in_plan_order(findings.update_plan(_nodes(spark, root), table(spark, root, "registry_docs"), _vulnerabilities(spark, root)))
     return p.withColumn("fixes", F.array_join("fixes", " "))
 
 
@@ -206,6 +210,22 @@ def a_leaked_by_service(spark, root):
     return findings.leaked_by_service(_secrets(spark, root))
 
 
+_q = lambda x: x.replace("'", "''")
+_RULED = f"""
+lines AS (SELECT file_id, unnest(l) AS line, generate_subscripts(l, 1)::INTEGER AS n FROM (SELECT file_id, regexp_split_to_array(content, '\\r\\n|\\n|\\r') AS l FROM source_files WHERE content IS NOT NULL AND NOT contains(content, chr(0)))),
+hit AS ({" UNION ALL ".join(f"SELECT file_id, n, '{r.id}' AS rule, {r.least_entropy} AS least, {r.password or r.id == 'generic-secret'} AS loose, unnest(regexp_extract_all(line, '{_q(r.pattern)}', 1)) AS value FROM lines" for r in secret_rules.RULES)}),
+once AS (SELECT file_id, n, rule, least, loose, value, count(*) AS occurrences FROM hit WHERE value <> '' GROUP BY ALL),
+chars AS (SELECT value, ch, count(*)::DOUBLE AS c FROM (SELECT value, unnest(string_split(value, '')) AS ch FROM (SELECT DISTINCT value FROM once)) GROUP BY ALL),
+bits AS (SELECT value, -sum(c / length(value) * log2(c / length(value))) AS e FROM chars GROUP BY value)"""
+
+
+@query(f"""WITH {_RULED} SELECT file_id, n AS line, rule, value, occurrences FROM once JOIN bits USING (value)
+WHERE e >= least AND NOT (loose AND regexp_matches(value, '{_q(secret_rules.PLACEHOLDER)}')) AND value NOT IN ({", ".join(f"'{d}'" for d in secret_rules.DOCUMENTED)})""")
+def d_secret_rules(spark, root):
+    """Credentials in source files by rule."""
+    return secret_rules.scan_content(table(spark, root, "source_files"), "file_id", "content").select("file_id", "line", "rule", "value", "occurrences")
+
+
 @query(f"WITH {_RANGES} SELECT DISTINCT value, n AS count FROM file_secret_matches JOIN ranges ON h = sha1(value)")
 def j_breached(spark, root):
     """Values that breach ranges hold."""

@@ -36,6 +36,8 @@ def test_row_numbers_and_prefix_rules(spark):
     df = spark.createDataFrame([(f"k{i:03d}",) for i in range(50)][::-1], "k string")
     got = relational.row_numbers(df, "k").collect()
     assert {r.k: r.n for r in got} == {f"k{i:03d}": i for i in range(50)}
+    clash = spark.createDataFrame([(2, 7, 8, 9), (1, 7, 8, 9)], "k int, _at int, _part int, __base int")
+    assert rows(relational.row_numbers(clash, "k", name="n")) == [(1, 7, 8, 9, 0), (2, 7, 8, 9, 1)]
     # many partitions, and a key that a third of all rows share
     many = spark.range(3_000_000).selectExpr("id", "case when id % 3 = 0 then 7 else hash(id) end as k")
     numbered = relational.row_numbers(many, "k", name="at")
