@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Matches whose lengths are summed together.
+RUN = 64
+
+
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 code units."""
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
@@ -55,16 +59,27 @@ def line_of(text: Column, offset: Column) -> Column:
 def match_positions(text: Column, pattern: str, group: int = 0) -> Column:
     """array of struct(offset, match, value): every match with its 0-based offset.
 
-    The text between matches is what a split by the pattern leaves, so the offsets are
-    running sums of the lengths of pieces and matches.
+    The text between matches is what a split by the pattern leaves, so the offsets are running
+    sums of the lengths of pieces and matches. Sums are made over runs of `RUN` matches first and
+    then within each, so that a text of n matches takes some n * sqrt(n) steps, not n * n.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), 0)
     value = F.regexp_extract_all(text, F.lit(pattern), group)
     pieces = F.split(text, pattern, -1)
-    steps = F.transform(F.sequence(F.lit(1), F.size(whole)), lambda i: F.length(F.element_at(pieces, i)) + F.when(i > 1, F.length(F.element_at(whole, F.greatest(i - 1, F.lit(1))))).otherwise(0))
-    at = lambda i: F.aggregate(F.slice(steps, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-    found = F.transform(F.sequence(F.lit(1), F.size(whole)), lambda i: F.struct(at(i).alias("offset"), F.element_at(whole, i).alias("match"), F.element_at(value, i).alias("value")))
-    return F.when(F.size(whole) == 0, F.array().cast("array<struct<offset:int,match:string,value:string>>")).otherwise(found)
+    one = F.struct(whole.alias("m"), value.alias("v"), F.arrays_zip(pieces.alias("p"), whole.alias("w")).alias("z"))
+    step = lambda z: F.transform(z, lambda x: F.length(x["p"]) + F.coalesce(F.length(x["w"]), F.lit(0)))
+    add = lambda a: F.aggregate(a, F.lit(0), lambda t, x: t + x)
+
+    def placed(x: Column) -> Column:
+        n = F.size(x["m"])
+        runs = F.transform(F.sequence(F.lit(0), F.floor(n / RUN).cast("int")), lambda r: add(F.slice(x["s"], r * RUN + 1, F.lit(RUN))))
+        y = F.struct(x["m"].alias("m"), x["v"].alias("v"), x["z"].alias("z"), x["s"].alias("s"), runs.alias("r"))
+        at = lambda y, i: add(F.slice(y["r"], F.lit(1), F.floor(i / RUN).cast("int"))) + add(F.slice(y["s"], F.floor(i / RUN).cast("int") * RUN + 1, i % RUN)) + F.length(F.get(y["z"], i)["p"])
+        row = lambda y: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(at(y, i).alias("offset"), F.get(y["m"], i).alias("match"), F.get(y["v"], i).alias("value")))
+        return F.when(n == 0, F.array().cast("array<struct<offset:int,match:string,value:string>>")).otherwise(F.element_at(F.transform(F.array(y), row), 1))
+
+    summed = F.transform(F.array(one), lambda x: F.struct(x["m"].alias("m"), x["v"].alias("v"), x["z"].alias("z"), step(x["z"]).alias("s")))
+    return F.element_at(F.transform(summed, placed), 1)
 
 
 def tokens_over(line: Column, least: int, bits: float) -> Column:

@@ -144,7 +144,8 @@ plan AS (SELECT ecosystem, name, version, target, fixes, CASE WHEN {_NTH('versio
 def d_update_plan(spark, root):
     """What each direct package should move to, and why; what mends flaws first, then the
     smallest step."""
-    p = findings.in_plan_order(findings.update_plan(_nodes(spark, root), table(spark, root, "registry_docs"), _vulnerabilities(spark, root)))
+    direct = _nodes(spark, root).where("direct")
+    p = findings.in_plan_order(findings.update_plan(direct, table(spark, root, "registry_docs"), findings.vulnerabilities(direct, table(spark, root, "osv_vulnerability"), table(spark, root, "kev_feed"))))
     return p.withColumn("fixes", F.array_join("fixes", " "))
 
 

@@ -82,13 +82,13 @@ WITH l AS (SELECT file_id, unnest(regexp_split_to_array(content, '\\r\\n|\\n|\\r
 t AS (SELECT DISTINCT file_id, tok FROM (SELECT file_id, unnest(regexp_split_to_array(line, '[\\s"''`()\\[\\]{}<>,;]+')) AS tok FROM l) WHERE length(tok) >= 40),
 c AS (SELECT file_id, tok, ch, count(*)::DOUBLE AS n FROM (SELECT file_id, tok, unnest(string_split(tok, '')) AS ch FROM t) GROUP BY ALL),
 e AS (SELECT file_id, tok, round(-sum(n / length(tok) * log2(n / length(tok))), 6) AS entropy FROM c GROUP BY file_id, tok)
-SELECT file_id, tok AS token, round(entropy, 3) AS entropy FROM e WHERE entropy >= 4.8
+SELECT file_id, tok AS token, round(entropy, 3) AS entropy FROM e WHERE entropy >= 5.2
 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY entropy DESC, tok) <= 10""")
 def x_high_entropy_tokens(spark, root):
     """The ten long tokens of highest entropy of each file."""
     lines = table(spark, root, "source_files").where("content is not null").select("file_id", F.explode(F.split("content", r"\r\n|\n|\r")).alias("line"))
-    toks = lines.where(F.length("line") >= 40).select("file_id", F.explode(text.tokens_over(F.col("line"), 40, 4.7)).alias("token")).distinct()
-    toks = toks.withColumn("entropy", F.round(text.entropy(F.col("token")), 6)).where("entropy >= 4.8")
+    toks = lines.where(F.length("line") >= 40).select("file_id", F.explode(text.tokens_over(F.col("line"), 40, 5.1)).alias("token")).distinct()
+    toks = toks.withColumn("entropy", F.round(text.entropy(F.col("token")), 6)).where("entropy >= 5.2")
     return relational.top_k(toks, ["file_id"], 10, F.desc("entropy"), F.col("token")).select("file_id", "token", F.round("entropy", 3).alias("entropy"))
 
 

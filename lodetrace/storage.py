@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Estimated bytes a task below which an input is spread out.
 SPREAD_BYTES = 64 << 20
+#: Rows of a few numbers each up to which a side of a join may be broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -45,6 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, of narrow rows, marked for broadcast if it has at most `most` of them; else as it is,
+    for a shuffled join. Computed once for the count and the join."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def null_safe_hash(*cols: Column) -> Column:
     """A 64-bit hash in which a null differs from any value and cannot trade places with one."""
     return F.xxhash64(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]), {"ignoreNullFields": "false"}))

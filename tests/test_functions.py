@@ -136,3 +136,9 @@ def test_imports_of_code(spark):
     code = "import a from 'foo';\nimport { b } from '@scope/bar';\nconst c = require('baz');\nimport('qux');\nexport * from 'quux';\nimport rel from './local'; import 'side'; // import x from 'no'\nvar s = \"import y from 'no2'\"; require(`t`); require(v)"
     assert sorted(column(spark, [code], detectors.imported)[0]) == sorted(["foo", "@scope/bar", "baz", "qux", "quux", "./local", "side"])
     assert column(spark, ["this is (((not valid", "", "'" + "\\\\" * 50_000 + "' require('x')"], detectors.imported) == [[], [], ["x"]]
+
+
+def test_positions_of_many_matches(spark):
+    t = "".join(f"k{i}={i}; " for i in range(3000))
+    got = column(spark, [t], lambda c: text.match_positions(c, r"(\w+)=(\d+)", 1))[0]
+    assert len(got) == 3000 and all(t[m.offset :].startswith(m.match) and m.value == f"k{i}" for i, m in enumerate(got))
