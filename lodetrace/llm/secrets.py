@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import spread, table
+from ..storage import broadcast_few, spread, table
 from .crf import LinearChainCRF, feature_ids
 from .secret_lexer import _PEM, WORTH, Token, format_of, key_material, looked_up, small, token_features, tokens, unusable
 
@@ -462,7 +462,8 @@ def preview_lines(matches: DataFrame, files: DataFrame) -> DataFrame:
     bare = shown.rlike(_BARE) & ~shown.contains("=") & ~shown.contains("://") & ~shown.contains("****") & (F.length(shown) >= 6)
     files = files.select("file_id", "content")
     asked = m.where(bare)
-    held = files.join(asked.select("file_id").distinct(), "file_id", "left_semi").dropDuplicates(["file_id"])
+    # the contents that are asked for are picked before they are shuffled, if their ids are few
+    held = files.join(broadcast_few(asked.select("file_id").distinct()), "file_id", "left_semi").dropDuplicates(["file_id"])
     found = asked.join(held, "file_id", "left")
     source = F.try_element_at(F.split("content", r"\r\n|\n|\r"), F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)).cast("int"))
     named = F.concat(F.coalesce(F.regexp_replace(F.lower("pattern_id"), "_", "-"), F.col("kind"), F.lit("value")), F.lit(': "'), F.col("shown"), F.lit('"'))
@@ -504,20 +505,23 @@ def find_preview_secrets(matches: DataFrame, files: DataFrame) -> DataFrame:
     return src.mapInPandas(spans, "row_id bigint, preview string, start int, end int, rule string, counts boolean")
 
 
-def redact_previews(matches: DataFrame, files: DataFrame) -> DataFrame:
-    """(row_id, redacted, spans) of every distinct (match_id, preview); null previews stay null."""
+def redact_previews(matches: DataFrame, files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, keep.., redacted, spans) of every distinct (match_id, preview, keep..) of the
+    matches; null previews stay null."""
     found = find_preview_secrets(matches, files).groupBy("row_id", "preview").agg(F.collect_set(F.struct("start", "end", "rule", "counts")).alias("found"))
-    every = matches.where("match_id is not null").select(F.col("match_id").cast("bigint").alias("row_id"), "preview").distinct()
+    every = matches.where("match_id is not null").select(F.col("match_id").cast("bigint").alias("row_id"), "preview", *[F.col(k).cast("string").alias(f"keep_{k}") for k in keep]).distinct()
+    names = [f"keep_{k}" for k in keep]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = []
-            for i, p, found in zip(pdf["row_id"], pdf["preview"], pdf["found"]):
+            for p, found in zip(pdf["preview"], pdf["found"]):
                 f = joined([Secret(1, s["start"], s["end"], s["rule"], s["counts"]) for s in (() if found is None else found)])
-                got.append((i, None if p is None else redact(p, f), len(f)))
-            yield pd.DataFrame(got, columns=["row_id", "redacted", "spans"])
+                got.append((None if p is None else redact(p, f), len(f)))
+            yield pd.concat([pdf[["row_id", *names]].reset_index(drop=True), pd.DataFrame(got, columns=["redacted", "spans"])], axis=1)
 
-    return every.join(found, ["row_id", "preview"], "left").mapInPandas(rows, "row_id bigint, redacted string, spans int")
+    out = every.join(found, ["row_id", "preview"], "left").mapInPandas(rows, "row_id bigint, " + "".join(f"`{n}` string, " for n in names) + "redacted string, spans int")
+    return out.select("row_id", *[F.col(n).alias(k) for n, k in zip(names, keep)], "redacted", "spans")
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -537,8 +541,9 @@ def p1_redacted_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_redacted_previews(spark: SparkSession, root: str) -> DataFrame:
-    """(row_id, redacted, spans): every preview without the credentials `p1_found` sees in it."""
-    return redact_previews(table(spark, root, "file_secret_matches"), table(spark, root, "source_files"))
+    """(row_id, pattern_id, commit, redacted, spans): every preview without the credentials that
+    `p1_found` sees in it."""
+    return redact_previews(table(spark, root, "file_secret_matches"), table(spark, root, "source_files"), ("pattern_id", "commit"))
 
 
 def p1_left_readable(spark: SparkSession, root: str) -> DataFrame:
