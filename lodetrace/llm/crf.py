@@ -16,9 +16,10 @@ BUCKETS = 1 << 15
 
 
 class Remembered:
-    """A function of one value that keeps its last results. They are not shipped to workers."""
+    """A function of one text that keeps its last results, those of long texts excepted. They are
+    not shipped to workers."""
 
-    MOST = 1 << 15
+    MOST, LONG = 1 << 15, 256
 
     def __init__(self, of):
         self.of, self.seen = of, {}
@@ -27,6 +28,8 @@ class Remembered:
         try:
             return self.seen[value]
         except KeyError:
+            if len(value) > self.LONG:
+                return self.of(value)
             if len(self.seen) >= self.MOST:
                 self.seen.clear()
             self.seen[value] = got = self.of(value)
@@ -91,7 +94,9 @@ class LinearChainCRF:
                     if len(says) >= Remembered.MOST:
                         says.clear()
                     w = self.w[_bucket(n)]
-                    says[n] = got = float(w[1] - w[0])
+                    got = float(w[1] - w[0])
+                    if len(n) <= Remembered.LONG:
+                        says[n] = got
                 d += got
             if i:
                 p0, q0, p1, q1 = a + t[0][0], b + t[1][0], a + t[0][1], b + t[1][1]

@@ -84,7 +84,7 @@ _NEUTRAL = re.compile(r"(?:id|name|type|scheme|hash|length|min|max|ttl|header|co
 #: `tests/llm` compare with no such gate.
 WORTH = re.compile(
     r"pass|pwd|secret|token|key|auth|cred|-----|://[^/\s]*@|basic |bearer |(?<![\w/.-])\w[\w.+/:-]{15,}|-u\s|--user|[\"'`]\s*\+\s*[\"'`]|\.join\(|(?:log_?in|sign_?in|connect|client|session)\w*\s*\(|"
-    r"(?<![\w.])(?=[^\s\"'`,;(){}\[\]<>]{8})(?:[a-z_]+[^\sa-z\"'`,;(){}\[\]<>]*[0-9]|[0-9]+[^\s0-9\"'`,;(){}\[\]<>]*[a-z])|[\"'`][^\s\"'`]*[a-z0-9][!#$%^&*?~][a-z0-9][^\s\"'`]*[\"'`]"
+    r"(?<![\w.])(?=[^\s\"'`,;(){}\[\]<>]{8})(?:[a-z_]+[^\sa-z\"'`,;(){}\[\]<>]*[0-9]|[0-9]+[^\s0-9\"'`,;(){}\[\]<>]*[a-z])|[\"'`](?=[^\s\"'`]*[a-z0-9][!#$%^&*?~][a-z0-9])[^\s\"'`]*+[\"'`]"
 )
 #: Calls and options that take a credential.
 _CALLEE = re.compile(r"(?i)log_?in|sign_?in|connect|auth|cred|dial|session|client")
@@ -270,15 +270,15 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
     # literals joined by + on the line are one value
     joined: dict[int, str] = {}
     lits = [i for i, t in enumerate(toks) if t.kind == "quote"]
-    run: list[int] = []
-    for i in lits:
-        if run and (_LISTED if ".join(" in line else _PLUS).fullmatch(line, toks[run[-1]].end, toks[i].start):
+    between, run = _LISTED if ".join(" in line else _PLUS, []
+    for i in [*lits, None]:
+        if i is not None and run and between.fullmatch(line, toks[run[-1]].end, toks[i].start):
             run.append(i)
-        else:
-            run = [i]
+            continue
         if len(run) > 1:
-            v = "".join(toks[j].text for j in run)
-            joined.update(dict.fromkeys(run, v))
+            joined.update(dict.fromkeys(run, "".join(toks[j].text for j in run)))
+        run = [i]
+    told: dict[str, tuple] = {}  # what a value says by itself
     out = []
     key, says, last_word, option = "", "none", "", ""
     names = looked_up(line)
@@ -298,15 +298,14 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
                 calls.pop()
             continue
         v = joined.get(i, t.text)
-        fm = format_of(v)
-        ph = placeholder(v)
-        sh = shape(v)
+        if v not in told:
+            told[v] = format_of(v), placeholder(v), shape(v), entropy(v)
+        fm, ph, sh, ent = told[v]
         ctx = says
         if t.kind == "pass":
             ctx = "url"
         elif t.kind == "value" and before and before.text == "=":
             ctx = key_class(toks[i - 2].text)[1] if i > 1 else "none"
-        ent = entropy(v)
         f += [f"fmt={fm or 'no'}|{ph}", f"any={bool(fm)}|{ph}", f"ph={ph}|{t.kind}", f"ctx={ctx}|{ph}|{t.kind}", f"sh={sh}|{ctx}", f"s={sh}", f"ent={int(ent * 2)}|{ctx}", f"key={key}|{ph}"]
         f.append(f"pw={ctx}|{ph}|{len(v) >= 6}|{not (v.isalpha() and v.islower())}|{t.kind}")
         f.append(f"com={comment}|{bool(fm)}|{ph}")

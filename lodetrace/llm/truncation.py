@@ -60,12 +60,11 @@ _ITEM = re.compile(r"^[^\S\n]*(?:[-*+•]|\d{1,3}[.)])[^\S\n]+[^\n]*", re.M)
 
 def strip_marks(text: str) -> tuple[str, str]:
     """The text without blanks and marks of a break at its end, and which marks those are."""
-    marks = []
-    while m := _MARK.search(text[-40:]):
-        mark = m[0].strip() or ("�" if "�" in m[0] else "\n" if "\n" in m[0] else " ")
-        marks.append(mark)
-        text = text[: len(text) - len(m[0])]
-    return text, "".join(marks)
+    marks, end = [], len(text)
+    while m := _MARK.search(tail := text[max(0, end - 40) : end]):
+        marks.append(m[0].strip() or ("�" if "�" in m[0] else "\n" if "\n" in m[0] else " "))
+        end -= len(tail) - m.start()
+    return text[:end], "".join(marks)
 
 
 def _klass(tok: str) -> str:

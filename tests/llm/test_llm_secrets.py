@@ -187,3 +187,9 @@ def test_results_kept_are_not_shipped():
     f = Remembered(len)
     assert [f("ab"), f("ab"), f("")] == [2, 2, 0] and len(f.seen) == 2
     assert cloudpickle.loads(cloudpickle.dumps(f)).seen == {}
+
+
+def test_very_long_lines(crf):
+    for line in ("a" * 1_000_000, "'" + "a&b=" * 250_000, '"' * 100_000, "x = '" + "Ab1#" * 100_000 + "'", "a_" * 300_000 + "=1", "<" * 100_000, "://" * 100_000, "k" * 300_000 + "(", ("'+" * 50_000)):
+        text_secrets(crf, line)
+    assert all(len(v) <= Remembered.LONG for v in crf.says)

@@ -42,6 +42,7 @@ def test_marks_and_pieces():
 
 
 def test_features_of_anything():
+    assert strip_marks("a" + "..." * 300_000)[0] == "a" and strip_marks(" " * 200_000) == ("", " " * 5000)
     for t in ("x", "….", "\n\n", "- ", "```", "# h", "a: b", "é" * 100_000, "\ud800", "http://a/b"):
         assert ending(t).names
 
