@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detectors, packages, text, versions
 from ..sources.reference_lists import CREDENTIAL_SERVICES, PACKAGE_SERVICES, PREFIX_SERVICES
+from ..storage import cut
 from . import advisories, relational
 from .lookalike import lookalikes
 from .registry import package_metadata, packument_versions
@@ -79,20 +80,20 @@ def _rank(c: str, order: list[str]) -> Column:
 def in_severity_order(rows: DataFrame, name: str = "place") -> DataFrame:
     """Vulnerabilities numbered from 0: the worst first, then by package and advisory."""
     keyed = rows.withColumn("_r", _rank("severity", ["critical", "high", "medium", "low", "none", "unknown"])).withColumn("_k", packages.package_key(F.col("ecosystem"), F.col("name"), F.col("version")))
-    return relational.row_numbers(keyed, "_r", "_k", "id", name=name).drop("_r", "_k")
+    return relational.row_numbers(cut(keyed), "_r", "_k", "id", name=name).drop("_r", "_k")
 
 
 def in_plan_order(plan: DataFrame, name: str = "place") -> DataFrame:
     """Updates numbered from 0: those that mend flaws first, then the smallest step, then by name."""
     keyed = plan.withColumn("_f", F.size("fixes") == 0).withColumn("_b", _rank("bump", ["patch", "minor", "major"]))
-    return relational.row_numbers(keyed, "_f", "_b", "name", "ecosystem", "version", name=name).drop("_f", "_b")
+    return relational.row_numbers(cut(keyed), "_f", "_b", "name", "ecosystem", "version", name=name).drop("_f", "_b")
 
 
 def reachable_first(rows: DataFrame, name: str = "place") -> DataFrame:
     """Findings with `reachable` numbered from 0: reachable ones first, unknown ones last, each in
     the order of their other keys."""
     keyed = rows.withColumn("_r", F.when(F.col("reachable"), 0).when(~F.col("reachable"), 1).otherwise(2))
-    return relational.row_numbers(keyed, "_r", *[c for c in rows.columns if c != "reachable"], name=name).drop("_r")
+    return relational.row_numbers(cut(keyed), "_r", *[c for c in rows.columns if c != "reachable"], name=name).drop("_r")
 
 
 def vulnerability_summary(rows: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def secret_scan(matches: DataFrame, ranges: DataFrame) -> DataFrame:
 def in_report_order(secrets: DataFrame, name: str = "place") -> DataFrame:
     """Secrets numbered from 0: the working tree before history, then by file and line."""
     keyed = secrets.withColumn("_l", F.coalesce("line", F.lit(0)))
-    return relational.row_numbers(keyed, "in_history", "file", "_l", "match_id", name=name).drop("_l")
+    return relational.row_numbers(cut(keyed), "in_history", "file", "_l", "match_id", name=name).drop("_l")
 
 
 def secret_summary(secrets: DataFrame) -> DataFrame:

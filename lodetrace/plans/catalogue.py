@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, changes, dependencies, nested, reference  # noqa: F401  audit adds its queries to those of reference
+from . import audit, changes, dependencies, formats, nested, reference  # noqa: F401  audit and formats add their queries to those of reference
 
 QUERIES = {
     "p3_found": nested.p3_found,
