@@ -257,18 +257,23 @@ def _step(c: Column) -> Column:
     return F.least(F.floor(F.log2(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)) + 1)), F.lit(TOP_STEP)).cast("int")
 
 
-def _survey(base: DataFrame, share: float) -> DataFrame:
-    """(k, s, h, n) in one scan: `p` texts that hold piece s; `s` different texts of length s;
-    `t` the texts (s) of the documents (h) that a fixed share by hash takes for the fit."""
-    none = F.lit(0).cast("bigint")
-    row = lambda k, s, h: F.struct(F.lit(k).alias("k"), s.alias("s"), h.alias("h"))
+def _survey(base: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """In one scan: vocabulary(piece, known), texts that hold each piece whole; lengths(size,
+    here), different texts of each length; and (doc_id, text) of the documents that a fixed share
+    by hash takes for the fit.
+
+    All three are counted as strings, which tell themselves apart: pieces begin with a letter,
+    lengths with 0, texts of the sample with 1.
+    """
     taken = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)
-    facts = F.concat(
-        F.transform(whole_pieces(F.col("text")), lambda p: row("p", p, none)),
-        F.array(row("s", F.length("text").cast("string"), F.xxhash64("text"))),
-        F.when(taken, F.array(row("t", F.col("text"), F.col("doc_id")))).otherwise(F.array().cast("array<struct<k:string,s:string,h:bigint>>")),
-    )
-    return cut(base.select(F.explode(facts).alias("r")).groupBy("r.k", "r.s", "r.h").agg(F.count("*").alias("n")))
+    length = F.concat(F.lit("0"), F.length("text").cast("string"), F.lit(":"), F.xxhash64("text").cast("string"))
+    sample = F.when(taken, F.array(F.concat(F.lit("1"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text")))).otherwise(F.array().cast("array<string>"))
+    facts = cut(base.select(F.explode(F.concat(whole_pieces(F.col("text")), F.array(length), sample)).alias("s")).groupBy("s").agg(F.count("*").alias("n")))
+    kind, first = F.left("s", F.lit(1)), F.substring_index(F.substring("s", 2, 40), ":", 1)
+    vocabulary = facts.where(~kind.isin("0", "1")).select(F.col("s").alias("piece"), F.col("n").alias("known"))
+    lengths = facts.where(kind == "0").groupBy(first.cast("int").alias("size")).agg(F.count("*").alias("here"))
+    texts = facts.where(kind == "1").select(F.when(first != "", first.cast("bigint")).alias("doc_id"), F.expr("substring(s, locate(':', s) + 1)").alias("text"))
+    return vocabulary, lengths, texts
 
 
 def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,20 +310,23 @@ def _with_limit(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 def _fitted(examples: DataFrame, limits: DataFrame) -> np.ndarray:
     """The model's weights; the driver holds hashed features of the sample, no texts."""
-    rows = sorted(examples.collect(), key=lambda r: (r.doc, r.of, r.k))
+    t = examples.toArrow().sort_by([(c, "ascending") for c in ("doc", "of", "k")])
+    ids = t["ids"].combine_chunks()
+    at, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+    columns = zip(*(t[c].to_pylist() for c in ("k", "piece", "open_word", "open_end", "tail", "known", "limit")))
     # lengths that stand out, the commonest ones
     peaks = limits.where("here >= 4 and at_limit >= 3").orderBy(F.desc("here"), "size").limit(PEAKS).select("here", _step(F.col("at_limit")).alias("limit")).collect()
     rng = random.Random(3)
     neg, pos, owner = [], [], []
-    for r in rows:
-        e = Ending(r.piece, [], r.open_word, r.open_end, r.tail)
+    for i, (k, piece, open_word, open_end, tail, known, own) in enumerate(columns):
+        e = Ending(piece, [], open_word, open_end, tail)
         # half of the cuts stand at a length at which many texts stop, if there are such
-        limit = r.limit if not r.k else rng.choices(peaks, [p.here for p in peaks])[0].limit if peaks and rng.random() < 0.5 else 0
-        ids = np.concatenate([np.array(r.ids, np.int64), hashed([*known_names(e, r.known), limit_name(e.open_end, limit)])])
-        if not r.k:
-            neg.append(ids)
+        limit = own if not k else rng.choices(peaks, [p.here for p in peaks])[0].limit if peaks and rng.random() < 0.5 else 0
+        row = np.concatenate([flat[at[i] : at[i + 1]], hashed([*known_names(e, known), limit_name(e.open_end, limit)])])
+        if not k:
+            neg.append(row)
         else:
-            pos.append(ids)
+            pos.append(row)
             owner.append(len(neg) - 1)
     return fit_cleaned(neg, pos, owner)
 
@@ -339,12 +347,10 @@ def truncation_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(c) for k, c in zip(keep, kept)])
     base = spread(base).where(F.col("text").rlike(r"\S"))
     total = docs.count()  # from the files' own counts
-    survey = _survey(base.select("doc_id", "text"), min(1.0, 1.1 * train_docs / max(total, 1)))
-    vocabulary = survey.where("k = 'p'").select(F.col("s").alias("piece"), F.col("n").alias("known"))
-    lengths = survey.where("k = 's'").groupBy(F.col("s").cast("int").alias("size")).agg(F.count("*").alias("here"))
+    vocabulary, lengths, texts = _survey(base.select("doc_id", "text"), min(1.0, 1.1 * train_docs / max(total, 1)))
     around = lengths.select(F.explode(F.sequence(F.col("size") - 20, F.col("size") + 20)).alias("size"), "here").groupBy("size").agg(F.sum("here").alias("near"))
     limits = cut(lengths.join(around, "size").select("size", "here", (F.col("here") / ((F.col("near") - F.col("here")) / 40.0 + 1.0)).alias("at_limit")))
-    sample = survey.where("k = 't'").select(F.col("h").alias("doc_id"), F.col("s").alias("text")).orderBy(F.xxhash64("doc_id", F.lit(11)), "text").limit(train_docs)
+    sample = texts.orderBy(F.xxhash64("doc_id", F.lit(11)), "text").limit(train_docs)
     examples = cut(sample.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_examples, EXAMPLE))
     w = _fitted(_with_limit(_with_known(examples, vocabulary), limits), limits)
     held = spark.sparkContext.broadcast(w)
