@@ -43,3 +43,32 @@ def same_as_sql(spark, duck):
         assert got == want
 
     return check
+
+
+def _altered(spark, root, change):
+    for p in Path(SF).glob("*.parquet"):
+        df = spark.read.parquet(str(p))
+        change(df).coalesce(1).write.parquet(f"{root}/{p.stem}.parquet")
+    return str(root)
+
+
+@pytest.fixture(scope="session")
+def empty_root(spark, tmp_path_factory):
+    """The tables without rows."""
+    return _altered(spark, tmp_path_factory.mktemp("empty"), lambda df: df.limit(0))
+
+
+@pytest.fixture(scope="session")
+def null_root(spark, tmp_path_factory):
+    """Forty rows of each table, each twice, and for every column one of them with a null in it; one row of
+    nulls only; and more columns than the tables have."""
+    from pyspark.sql import functions as F
+
+    def change(df):
+        some = df.limit(40)
+        out = some.unionByName(some).unionByName(df.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema]))
+        for c in df.columns:
+            out = out.unionByName(df.limit(1).withColumn(c, F.lit(None).cast(df.schema[c].dataType)))
+        return out.withColumn("_rank", F.lit(1)).withColumn("at", F.lit("x")).withColumn("salt", F.lit(2)).withColumn("piece", F.lit("p"))
+
+    return _altered(spark, tmp_path_factory.mktemp("nulls"), change)
