@@ -14,3 +14,16 @@ def test_query_runs(name, spark):
         assert df.count() == df.distinct().count() > 0
     else:
         assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(name, spark, empty_root):
+    assert queries.QUERIES[name](spark, empty_root).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_nulls_repeated_rows_and_more_columns(name, spark, null_root):
+    df = queries.QUERIES[name](spark, null_root)
+    rows = df.collect()
+    if name in COLUMNS:
+        assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) == COLUMNS[name] and len(rows) == len(set(rows))
