@@ -54,6 +54,7 @@ class LinearChainCRF:
         self.trans = np.zeros((2, 2))
         self.start = np.zeros(2)
         self.says: dict[str, float] = {}
+        self.parts: dict[tuple, float] = {}
 
     def emissions(self, seq: list[np.ndarray]) -> np.ndarray:
         """(tokens, 2) scores."""
@@ -80,24 +81,35 @@ class LinearChainCRF:
             path.append(step[path[-1]])
         return path[::-1]
 
-    def decode(self, seq: list[list[str]]) -> list[int]:
-        """The path of `viterbi` from the names of features; what a name says for label 1
-        against label 0 is looked up once."""
-        says, t = self.says, self.trans.tolist()
+    def _says(self, name: str) -> float:
+        """How far a feature speaks for label 1 against label 0."""
+        got = self.says.get(name)
+        if got is None:
+            w = self.w[_bucket(name)]
+            got = float(w[1] - w[0])
+            if len(name) <= Remembered.LONG:
+                if len(self.says) >= Remembered.MOST:
+                    self.says.clear()
+                self.says[name] = got
+        return got
+
+    def decode(self, seq: list[tuple[tuple, list[str]]], names_of) -> list[int]:
+        """The path of `viterbi` for tokens given as (part, names): `names_of(part)` are the names
+        of a part that recurs, whose sum is kept."""
+        parts, says, t = self.parts, self._says, self.trans.tolist()
         a, b = self.start.tolist()
         back = []
-        for i, names in enumerate(seq):
-            d = 0.0
+        for i, (part, names) in enumerate(seq):
+            d = parts.get(part)
+            if d is None:
+                spelt = names_of(part)
+                d = sum(map(says, spelt))
+                if max(map(len, spelt)) <= Remembered.LONG:
+                    if len(parts) >= Remembered.MOST:
+                        parts.clear()
+                    parts[part] = d
             for n in names:
-                got = says.get(n)
-                if got is None:
-                    if len(says) >= Remembered.MOST:
-                        says.clear()
-                    w = self.w[_bucket(n)]
-                    got = float(w[1] - w[0])
-                    if len(n) <= Remembered.LONG:
-                        says[n] = got
-                d += got
+                d += says(n)
             if i:
                 p0, q0, p1, q1 = a + t[0][0], b + t[1][0], a + t[0][1], b + t[1][1]
                 back.append((q0 > p0, q1 > p1))

@@ -91,6 +91,13 @@ _CALLEE = re.compile(r"(?i)log_?in|sign_?in|connect|auth|cred|dial|session|clien
 _OPTION = re.compile(r"-{1,2}(?:a|p|pw|pass\w*|auth\w*|token|secret|key)$")
 
 
+_DIGIT = re.compile(r"[0-9]")
+_LEAD = re.compile(r"^[A-Za-z]{2,12}[-_]")
+_WHOLE, _SETTING = re.compile(r"\S+"), re.compile(r"\w+=")
+_BRACED = re.compile(r"\[.*\]$|\{\{.*\}\}$|\$\(.*\)$")
+_ADDRESS = re.compile(r"([A-Za-z][A-Za-z0-9+.-]{1,20}://)(?:([^:@/\s]*)(:)([^@]*)(@)|([^:@/\s]+)(@))?(.*)$")
+
+
 class Token(NamedTuple):
     start: int
     end: int
@@ -113,17 +120,16 @@ def _inner(line: str, a: int, b: int, kind: str) -> list[Token]:
         if e:
             out.append(Token(e.start(), e.end(), "pem", e[0]))
         return out
-    whole = re.compile(r"\S+")
-    if re.match(r"\[.*\]$|\{\{.*\}\}$|\$\(.*\)$", s):
+    if _BRACED.match(s):
         return [Token(a, b, kind, s)]
-    for m in whole.finditer(line, a, b):
+    for m in _WHOLE.finditer(line, a, b):
         x, i = m[0], m.start()
-        if u := re.match(r"([A-Za-z][A-Za-z0-9+.-]{1,20}://)(?:([^:@/\s]*)(:)([^@]*)(@)|([^:@/\s]+)(@))?(.*)$", x):
+        if "://" in x and (u := _ADDRESS.match(x)):
             for g, k in ((1, "scheme"), (2, "user"), (3, "punct"), (4, "pass"), (5, "punct"), (6, "pass"), (7, "punct"), (8, "host")):
                 if u[g]:
                     out.append(Token(i + u.start(g), i + u.end(g), k, u[g]))
             continue
-        if ";" in x and "=" in x or (kind == "quote" and re.match(r"\w+=", x) and ";" in s):
+        if ";" in x and "=" in x or (kind == "quote" and ";" in s and _SETTING.match(x)):
             for p in re.finditer(r"([\w .-]+)(=)([^;]*)|[^;]+", x):
                 if p[2]:
                     out.append(Token(i + p.start(1), i + p.end(1), "name", p[1]))
@@ -180,6 +186,7 @@ def tokens(line: str) -> list[Token]:
 
 
 _QUOTED_ANY = re.compile(_QUOTED)
+_NOTHING: list[str] = []
 _ARGUMENT = re.compile(r"\s+([^\s\"'`|&-][^\s\"'`|&]*)")
 _PLUS = re.compile(r"[\"'`]\s*(?:\+|\.|\\)?\s*[\"'`]")
 _LISTED = re.compile(r"[\"'`]\s*(?:\+|\.|\\|,)?\s*[\"'`]")
@@ -204,7 +211,7 @@ def unusable(value: str) -> bool:
     v = value.strip()
     if _REFER.search(v) or _BLOT.search(v):
         return True
-    body = re.sub(r"^[A-Za-z]{2,12}[-_]", "", v)
+    body = _LEAD.sub("", v)
     return (len(body) >= 6 or body == v) and len(set(body)) <= 2 or v.endswith("EXAMPLE")
 
 
@@ -233,8 +240,11 @@ def shape(v: str) -> str:
     elif _HEX.match(v) and n >= 16:
         kind = f"hex{n}"
     else:
-        low, up, dig = any(c.islower() for c in v), any(c.isupper() for c in v), any(c.isdigit() for c in v)
-        odd = any(not c.isalnum() for c in v)
+        if v.isascii():
+            low, up, dig, odd = v != v.upper(), v != v.lower(), bool(_DIGIT.search(v)), not v.isalnum()
+        else:
+            low, up, dig = any(c.islower() for c in v), any(c.isupper() for c in v), any(c.isdigit() for c in v)
+            odd = any(not c.isalnum() for c in v)
         kind = "".join(x for x, on in (("a", low), ("A", up), ("9", dig), ("!", odd)) if on)
     return f"{kind}|{size}"
 
@@ -264,9 +274,28 @@ def looked_up(line: str) -> set[int]:
     return {m.end() for m in _LOOKUP.finditer(line)}
 
 
+def part_names(part: tuple) -> list[str]:
+    """Feature names of the part of a token that recurs (see `token_parts`)."""
+    kind, block, *rest = part
+    f = [f"kind={kind}", f"block={block}"]
+    if kind == "punct":
+        return [*f, f"p={rest[0]}"]
+    fm, ph, sh, ctx, bits, key, six, mixed, comment, lookup = rest
+    return [
+        *f, f"fmt={fm or 'no'}|{ph}", f"any={bool(fm)}|{ph}", f"ph={ph}|{kind}", f"ctx={ctx}|{ph}|{kind}", f"sh={sh}|{ctx}", f"s={sh}", f"ent={bits}|{ctx}", f"key={key}|{ph}",
+        f"pw={ctx}|{ph}|{six}|{mixed}|{kind}", f"com={comment}|{bool(fm)}|{ph}", f"lookup={lookup}",
+    ]
+
+
 def token_features(toks: list[Token], line: str, block: str, body_next: bool) -> list[list[str]]:
     """Feature names of each token. `block`: kind of PEM block the line lies in;
     `body_next`: whether key material follows a BEGIN mark that ends this line."""
+    return [part_names(part) + more for part, more in token_parts(toks, line, block, body_next)]
+
+
+def token_parts(toks: list[Token], line: str, block: str, body_next: bool) -> list[tuple[tuple, list[str]]]:
+    """Each token's features: what recurs from token to token as a tuple, which `part_names`
+    spells out, and the names of what few tokens have."""
     # literals joined by + on the line are one value
     joined: dict[int, str] = {}
     lits = [i for i, t in enumerate(toks) if t.kind == "quote"]
@@ -287,9 +316,8 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
     comment = line.lstrip()[:1] in "#;" or line.lstrip()[:2] == "//"
     for i, t in enumerate(toks):
         before = toks[i - 1] if i else None
-        f = [f"kind={t.kind}", f"block={block}"]
         if t.kind == "punct":
-            out.append([*f, f"p={t.text}"])
+            out.append((("punct", block, t.text), _NOTHING))
             if t.text == "(":
                 calls.append(["auth" if before and before.kind == "word" and _CALLEE.search(before.text) else "other", 0])
             elif t.text == "," and calls:
@@ -306,10 +334,8 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
             ctx = "url"
         elif t.kind == "value" and before and before.text == "=":
             ctx = key_class(toks[i - 2].text)[1] if i > 1 else "none"
-        f += [f"fmt={fm or 'no'}|{ph}", f"any={bool(fm)}|{ph}", f"ph={ph}|{t.kind}", f"ctx={ctx}|{ph}|{t.kind}", f"sh={sh}|{ctx}", f"s={sh}", f"ent={int(ent * 2)}|{ctx}", f"key={key}|{ph}"]
-        f.append(f"pw={ctx}|{ph}|{len(v) >= 6}|{not (v.isalpha() and v.islower())}|{t.kind}")
-        f.append(f"com={comment}|{bool(fm)}|{ph}")
-        f.append(f"lookup={t.start in names}")
+        part = (t.kind, block, fm, ph, sh, ctx, int(ent * 2), key, len(v) >= 6, not (v.isalpha() and v.islower()), comment, t.start in names)
+        f: list[str] = []
         if t.kind == "quote" and calls:
             f.append(f"call={calls[-1][0]}|{min(calls[-1][1], 3)}|{ph}|{sh}")
         if option:
@@ -327,7 +353,7 @@ def token_features(toks: list[Token], line: str, block: str, body_next: bool) ->
                 f.append(f"body={'PRIVATE' in before.text}|{key_material(t.text)}")
         if block != "none":
             f.append(f"in={block}|{key_material(t.text)}")
-        out.append(f)
+        out.append((part, f))
         option = t.text if t.kind == "word" and _OPTION.match(t.text) else ""
         last_word = t.text.lower() if t.text.lower() in ("basic", "bearer") else ""
         nxt = line[t.end : t.end + 4].lstrip("\"'`]) ")[:1]

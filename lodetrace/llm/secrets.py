@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..storage import broadcast_few, spread, table
 from .crf import LinearChainCRF, feature_ids
-from .secret_lexer import _PEM, WORTH, Token, format_of, key_material, looked_up, small, token_features, tokens, unusable
+from .secret_lexer import _PEM, WORTH, Token, format_of, key_material, looked_up, part_names, small, token_features, token_parts, tokens, unusable
 
 #: Lines the model is trained on, and the seed they are written with.
 TRAIN_LINES, SEED = 10_000, 20
@@ -291,7 +291,7 @@ def line_secrets(crf: LinearChainCRF, line: str, block: str = "none", body_next:
     if not toks:
         return []
     names = looked_up(line)
-    path = crf.decode(token_features(toks, line, block, body_next))
+    path = crf.decode(token_parts(toks, line, block, body_next), part_names)
     out = []
     for i, (t, y) in enumerate(zip(toks, path)):
         if not y or t.kind == "punct":
