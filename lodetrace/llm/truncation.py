@@ -52,8 +52,8 @@ _MARK = re.compile(r"[\s�]+$|\s*(?:…|\.{3}|\[…\]?|\[\.{3}\]?|\[truncated\]
 _BULLET = re.compile(r"\s*(?:[-*+•]|\d{1,3}[.)])\s+")
 _TRAILER = re.compile(r"[A-Z][A-Za-z-]{2,30}: \S+$")
 _END = re.compile(r"[.!?…:;](?=\s)")
+_DIGIT, _MIXED = re.compile(r"\d"), re.compile(r"[a-z][A-Z]")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_LAST_RUN = re.compile(r"[^\W\d_]+$")
 _FENCE = re.compile(r"^[^\S\n]*```", re.M)
 _ITEM = re.compile(r"^[^\S\n]*(?:[-*+•]|\d{1,3}[.)])[^\S\n]+[^\n]*", re.M)
 
@@ -70,11 +70,11 @@ def strip_marks(text: str) -> tuple[str, str]:
 def _klass(tok: str) -> str:
     if tok.isdigit():
         return "<n>"
-    if re.search(r"\d", tok):
+    if _DIGIT.search(tok):
         return "<v>" if tok[0].isdigit() else "<x>"
     if "/" in tok or "." in tok:
         return "<p>"
-    if "_" in tok or "-" in tok or re.search(r"[a-z][A-Z]", tok):
+    if "_" in tok or "-" in tok or _MIXED.search(tok):
         return "<i>"
     return tok.lower()
 
@@ -101,8 +101,10 @@ class Ending(NamedTuple):
 
 def ending(text: str) -> Ending:
     body, marks = strip_marks(text)
-    m = _LAST_RUN.search(body[-200:])
-    piece = _CAMEL.split(m[0])[-1].lower() if m else ""
+    at = end = len(body)
+    while at and body[at - 1].isalpha():
+        at -= 1
+    piece = _CAMEL.split(body[at:])[-1].lower() if at < end else ""
     at = body.rfind("\n") + 1
     line, head = body[at:], body[:at].rstrip()
     before = head[head.rfind("\n") + 1 :]
@@ -124,18 +126,17 @@ def ending(text: str) -> Ending:
     cuts = [m.end() for m in _END.finditer(content)]
     sentence = content[cuts[-1] :] if cuts else content
     toks = _TOKEN.findall(sentence)
-    ks = [_klass(t) for t in toks]
-    tail = ks[-4:]
-    word = re.search(r"\S*$", body[-400:])[0]
+    first, tail = [_klass(t) for t in toks[:2]], [_klass(t) for t in toks[-4:]]
+    word = body[-400:].rsplit(None, 1)[-1] if body else ""
     f = [f"shut={shut}", f"kind={kind}", f"ks={kind}|{shut}", f"mark={marks}", f"km={kind}|{marks}|{shut in '.!?'}", f"style={style}|{shut in '.!?'}"]
     hangs = ""
     if kind in ("bullet", "text", "quote", "comment") and shut not in ".!?":
         hangs = f"{kind}|{tail[-1] if tail and tail[-1][0] == '<' else 'w'}"
         for n in (1, 2, 3, 4):
             f.append(f"{n}g={'none' if len(tail) < n else ' '.join(tail[-n:])}")
-        f.append(f"open={' '.join(ks[:2])}|{len(ks)}")
-        f.append(f"oe={' '.join(ks[:2])}|{tail[-1] if tail else ''}")
-        f.append(f"words={min(len(ks), 20)}|{kind}")
+        f.append(f"open={' '.join(first)}|{len(toks)}")
+        f.append(f"oe={' '.join(first)}|{tail[-1] if tail else ''}")
+        f.append(f"words={min(len(toks), 20)}|{kind}")
     if len(line) <= 40:
         f.append(f"line={line}|{before[:12] if before.startswith('#') else ''}")
     f.append(f"under={before.startswith('#')}|{kind}|{shut == 'a'}")
