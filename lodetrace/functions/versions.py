@@ -123,3 +123,36 @@ def within(v: Column, events: Column, ecosystem: Column) -> Column:
     """Whether a version lies in a range of events, which are read in order: an `introduced`
     opens, a `fixed` or `last_affected` closes. No events match nothing."""
     return within_keys(sort_key(v, ecosystem), event_keys(events, ecosystem))
+
+
+#: Beyond every place of `place`.
+END = "~"
+
+
+def key_text(key: Column) -> Column:
+    """A sort key as text that orders as the keys do and never begins another key's; null for null."""
+    nth = lambda x: F.concat(F.char(F.length(x.cast("string")) + 97), x.cast("string"))
+    wide = lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    ids = lambda x: F.concat(x["word"].cast("int").cast("string"), wide(x["number"]), x["text"], F.lit(" "))
+    return _let(key, lambda k: F.concat(F.lit("k"), F.array_join(F.transform(k["numbers"], nth), ""), F.lit(" "), k["final"].cast("int").cast("string"), F.array_join(F.transform(k["ids"], ids), ""), F.lit(" ")))
+
+
+def place(v: Column, ecosystem: Column) -> Column:
+    """Text that orders the versions of an ecosystem as their sort keys do, equal keys by the
+    version as written; versions without a number come first."""
+    return F.concat(F.coalesce(key_text(sort_key(v, ecosystem)), F.lit("a")), F.lit(" "), v)
+
+
+def event_spans(events: Column, ecosystem: Column) -> Column:
+    """The places that `within` is true of, as disjoint array of struct(lo, hi), without hi.
+
+    Every event ends what is open at its place, an `introduced` opens the rest again."""
+    at = lambda e: F.when(e["open"], F.lit("")).when(e["kind"] == -1, F.concat(key_text(e["key"]), F.lit("!"))).otherwise(key_text(e["key"]))
+    cuts = F.filter(F.transform(event_keys(events, ecosystem), lambda e: F.struct((e["kind"] == 1).alias("opens"), at(e).alias("at"))), lambda c: c["at"].isNotNull())
+    none = F.array().cast("array<struct<lo:string,hi:string>>")
+
+    def step(spans: Column, c: Column) -> Column:
+        before = F.transform(F.filter(spans, lambda s: s["lo"] < c["at"]), lambda s: F.struct(s["lo"].alias("lo"), F.least(s["hi"], c["at"]).alias("hi")))
+        return F.concat(before, F.when(c["opens"], F.array(F.struct(c["at"].alias("lo"), F.lit(END).alias("hi")))).otherwise(none))
+
+    return F.aggregate(cuts, none, step)

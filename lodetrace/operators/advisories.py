@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cvss import base_score, severity, severity_label
 from ..functions.packages import pypi_name
-from ..functions.versions import event_keys, sort_key, within_keys
+from ..functions.versions import event_keys, event_spans, place, sort_key, within_keys
+from ..storage import cut
+
+#: Comparisons of package rows with spans that one task of `covered` makes, about.
+TASK_PAIRS = 50_000_000
 
 
 def affected_packages(osv: DataFrame) -> DataFrame:
@@ -36,6 +42,59 @@ def vulnerable(packages: DataFrame, osv: DataFrame) -> DataFrame:
     return p.join(a, ["_eco", "_name"]).where(listed | ranged).select("ecosystem", "name", "version", "id").distinct()
 
 
+def placed(packages: DataFrame) -> DataFrame:
+    """`packages` with _eco, _name and _at, by which `covered` finds them; those without an
+    ecosystem, name or version, which match nothing, are left out."""
+    p = packages.where("ecosystem is not null and name is not null and version is not null").withColumn("_eco", F.lower("ecosystem"))
+    return p.withColumn("_name", F.when(F.col("_eco") == "pypi", pypi_name(F.col("name"))).otherwise(F.col("name"))).withColumn("_at", place(F.col("version"), F.col("_eco")))
+
+
+def covered_spans(osv: DataFrame) -> DataFrame:
+    """(id, _eco, _name, _lo, _hi): the places of versions that an advisory lists or that lie in
+    one of its ranges (of types other than GIT); spans of one advisory and package are disjoint."""
+    none = F.array().cast("array<struct<lo:string,hi:string>>")
+    kept = F.filter("ranges", lambda r: r.isNotNull() & (F.coalesce(r["type"], F.lit("")) != "GIT"))
+    ranged = F.flatten(F.transform(kept, lambda r: event_spans(r["events"], F.col("eco"))))
+    at = lambda v: place(v, F.col("eco"))
+    listed = F.transform(F.filter("versions", lambda v: v.isNotNull()), lambda v: F.struct(at(v).alias("lo"), F.concat(at(v), F.lit("\0")).alias("hi")))
+    a = affected_packages(osv).where("eco is not null").select("id", F.col("eco").alias("_eco"), F.col("name").alias("_name"), F.explode(F.concat(F.coalesce(ranged, none), F.coalesce(listed, none))).alias("s"))
+    a = a.select("id", "_eco", "_name", F.col("s.lo").alias("_lo"), F.col("s.hi").alias("_hi"))
+    w = Window.partitionBy("_eco", "_name", "id").orderBy("_lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    a = a.withColumn("_new", F.when(F.col("_lo") <= ends, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    return a.groupBy("_eco", "_name", "id", "_run").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).drop("_run")
+
+
+def covered(packages: DataFrame, osv: DataFrame, task_pairs: int = TASK_PAIRS) -> DataFrame:
+    """Rows of `packages`, as `placed` gives them, with the id of each advisory that covers them,
+    every pair once, without the columns of `placed`.
+
+    There are as many pairs as packages times advisories of a name, far more than rows of the
+    input, so pairs are made last and never shuffled: only packages and spans are. The pairs of a
+    common name are dealt to many tasks as a grid of parts of its packages and of its spans.
+    `packages` are read twice, so they should be written before.
+    """
+    p, spans, name = packages, cut(covered_spans(osv)), ["_eco", "_name"]
+    names = cut(p.groupBy(*name).agg(F.count("*").alias("n")).join(spans.groupBy(*name).agg(F.count("*").alias("m")), name).withColumn("pairs", F.col("n").cast("double") * F.col("m")))
+    total = names.agg(F.sum("pairs")).first()[0] or 0.0
+    spark = p.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / task_pairs))
+    most = max(1.0, total / (2 * tasks))  # so that at most 2 * tasks names are dealt out
+    down = F.ceil(F.sqrt(F.col("pairs") / most * F.col("n") / F.col("m")))
+    down = F.least(F.greatest(down, F.lit(1)), F.ceil(F.col("pairs") / most)).cast("int")
+    large = names.where(F.col("pairs") > most).select(*name, down.alias("_down"), F.ceil(F.col("pairs") / most / down).cast("int").alias("_across"))
+    large = F.broadcast(cut(large))
+
+    def dealt(rows: DataFrame, own: str, other: str, by: str, copies: str) -> DataFrame:
+        r = rows.join(large, name, "left")
+        r = r.withColumn(own, F.coalesce(F.pmod(F.xxhash64(*[c for c in rows.columns if c not in name]), F.col(by)), F.lit(0)).cast("int"))
+        return r.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1))).drop("_down", "_across").repartition(tasks, *name, "_row", "_column")
+
+    left, right = dealt(p, "_row", "_column", "_down", "_across"), dealt(spans, "_column", "_row", "_across", "_down")
+    met = left.hint("merge").join(right, [*name, "_row", "_column"]).where("_lo <= _at and _at < _hi")
+    return met.drop(*name, "_row", "_column", "_at", "_lo", "_hi")
+
+
 def fixed_versions(osv: DataFrame) -> DataFrame:
     """(id, eco, name, fixed): distinct versions in which each package of an advisory is fixed."""
     a = affected_packages(osv)

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detectors, packages, secret_rules, versions
-from ..operators import findings, graph, registry
+from ..operators import advisories, findings, graph, registry
 from ..operators.hierarchy import clean_links
 from ..sources import history
 from ..sources.reference_lists import CREDENTIAL_SERVICES, NPM_POPULAR, PACKAGE_SERVICES, PREFIX_SERVICES, PYPI_POPULAR, popular_names, popular_union
-from ..storage import table
+from ..storage import cut, table
 from . import reference
 from .dependencies import _LINKS, package_links
 from .reference import _CVSS, _LEXED, _SEMANTIC, _vk, query
@@ -182,11 +182,17 @@ SELECT project_id, package_key, id, CASE WHEN project_id IN (SELECT g FROM reach
 def j_reachable_vulnerabilities(spark, root):
     """Vulnerable packages of each project, and whether its imports lead to them; null where
     nothing of the project is imported, as then nothing can be said."""
-    n = _nodes(spark, root).where("project_id is not null and package_key is not null").select("project_id", "package_key", "ecosystem", "name", "version").distinct()
-    met = n.join(_vulnerabilities(spark, root).select("ecosystem", "name", "version", "id"), ["ecosystem", "name", "version"]).select("project_id", "package_key", "id").distinct()
-    r = _reached(spark, root).select(F.col("grp").alias("project_id"), F.col("node").alias("package_key"))
-    out = met.join(r.withColumn("hit", F.lit(True)), ["project_id", "package_key"], "left").join(r.select("project_id").distinct().withColumn("any", F.lit(True)), "project_id", "left")
-    return out.select("project_id", "package_key", "id", F.when(F.col("any"), F.coalesce("hit", F.lit(False))).alias("reachable"))
+    n = _nodes(spark, root).where("project_id is not null and package_key is not null").select("project_id", "package_key", "ecosystem", "name", "version")
+    n = advisories.placed(n).groupBy("project_id", "package_key").agg(F.collect_set(F.struct("_eco", "_name", "_at")).alias("p"))
+    r = cut(_reached(spark, root).select(F.col("grp").alias("project_id"), F.col("node").alias("package_key")))
+    n = n.join(r.withColumn("hit", F.lit(True)), ["project_id", "package_key"], "left").join(r.select("project_id").distinct().withColumn("any", F.lit(True)), "project_id", "left")
+    n = n.select("project_id", "package_key", F.when(F.col("any"), F.coalesce("hit", F.lit(False))).alias("reachable"), (F.size("p") > 1).alias("several"), F.explode("p").alias("p"))
+    n = cut(n.select("project_id", "package_key", "reachable", "several", "p.*"))
+    last = findings.latest_advisories(table(spark, root, "osv_vulnerability"))
+    out = advisories.covered(n.where("not several").drop("several"), last)
+    if not (several := n.where("several").drop("several")).isEmpty():  # only a key with several versions or names can meet an advisory twice
+        out = out.unionByName(advisories.covered(several, last).distinct())
+    return out.select("project_id", "package_key", "id", "reachable")
 
 
 # --- credentials ----------------------------------------------------------------------------
