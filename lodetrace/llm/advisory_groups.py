@@ -21,11 +21,12 @@ def identifier(c: Column) -> Column:
 
 
 def advisory_pairs(spark: SparkSession, root: str) -> DataFrame:
-    """(a, b): the id of every delivery with each of its aliases; an exploited-flaw entry
-    with itself, as it names no other identifier."""
+    """(a, b): the id of every delivery with each of its aliases.
+
+    The feed of exploited flaws is not read: an entry names one identifier, so it links nothing
+    and makes no group of two or more."""
     osv = table(spark, root, "osv_vulnerability").select("id", F.explode("aliases").alias("alias"))
-    kev = table(spark, root, "kev_feed").select(identifier(F.col("cve_id")).alias("a"))
-    return osv.select(identifier(F.col("id")).alias("a"), identifier(F.col("alias")).alias("b")).unionByName(kev.withColumn("b", F.col("a")))
+    return osv.select(identifier(F.col("id")).alias("a"), identifier(F.col("alias")).alias("b"))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:

@@ -3,7 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from lodetrace.llm import queries
-from lodetrace.llm.advisory_groups import identifier
+from lodetrace.llm.advisory_groups import advisory_pairs, identifier
 from lodetrace.llm.components import _union_cell, connected_groups
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,10 @@ def test_identifiers(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_matches_sql(name, spark, same_as_sql):
     same_as_sql(queries.QUERIES[name](spark, SF), queries.SQL[name])
+
+
+def test_every_input_of_the_pairs_can_link(spark):
+    """Entries of the exploited-flaw feed name one identifier, which links nothing."""
+    pairs = advisory_pairs(spark, SF)
+    assert {f.rsplit("/", 1)[1] for f in pairs.inputFiles()} == {"osv_vulnerability.parquet"}
+    assert pairs.where("a <> b").count() > 0
